@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from itertools import chain
 
 import numpy as np
 import regex
@@ -23,7 +24,7 @@ from chirpline.llm.common import map_rows
 #: Bytes map to characters from this code point on: letters without any special role.
 FIRST_CHARACTER = 0x4E00
 #: Pre-tokens whose ids a task remembers.
-MEMO = 200_000
+MEMO = 400_000
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -36,8 +37,13 @@ def read_ranks(path: str) -> list[bytes]:
     return out
 
 
+#: A byte that no UTF-8 text holds.
+_BETWEEN = b"\xff"
+
+
 def as_characters(raw: bytes) -> str:
-    return "".join(chr(FIRST_CHARACTER + b) for b in raw)
+    """One character for each byte."""
+    return (np.frombuffer(raw, np.uint8).astype("<u2") + np.uint16(FIRST_CHARACTER)).tobytes().decode("utf-16-le")
 
 
 def serialised_model(tokens: list[bytes]) -> bytes:
@@ -65,17 +71,26 @@ class ByteBPE:
         self.tokens, self.split = tokens, regex.compile(pattern).findall
         self.memo: dict[str, bytes] = {}
 
+    def _learn(self, fresh: list[str]) -> None:
+        """Encode pre-tokens that the memo lacks."""
+        mapped = as_characters(_BETWEEN.join([p.encode("utf-8", "replace") for p in fresh]))
+        ids = self.encode_pieces(mapped.split(as_characters(_BETWEEN)), out_type=int, num_threads=1)
+        flat = (np.fromiter(chain.from_iterable(ids), "<i8") - 1).astype("<u4").tobytes()
+        ends = (4 * np.cumsum([len(i) for i in ids])).tolist()
+        self.memo.update(zip(fresh, (flat[s:e] for s, e in zip([0, *ends], ends))))
+
     def encode(self, text: str) -> bytes:
         """Ids of the whole text as little-endian unsigned 32-bit integers."""
-        parts, memo = self.split(text), self.memo
-        if fresh := [p for p in set(parts) if p not in memo]:
-            if len(memo) + len(fresh) > MEMO:
-                memo.clear()
-                fresh = list(set(parts))
-            ids = self.encode_pieces([as_characters(p.encode()) for p in fresh], out_type=int, num_threads=1)
-            for p, found in zip(fresh, ids):
-                memo[p] = (np.array(found, "<u4") - np.uint32(1)).astype("<u4").tobytes()
-        return b"".join([memo[p] for p in parts])
+        return self.encode_batch([text])[0]
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        parts = [self.split(t) for t in texts]
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        known = self.memo
+        if fresh := list({p for ps in parts for p in ps if p not in known}):
+            self._learn(fresh)
+        return [b"".join([known[p] for p in ps]) for ps in parts]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -95,7 +110,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -
         bpe = ByteBPE(*shared.value)
 
         def work(c):
-            ids = [bpe.encode(t or "") for t in c["text"]]
+            ids = bpe.encode_batch([t or "" for t in c["text"]])
             out = {"doc_id": c["doc_id"], "n_tokens": [len(i) // 4 for i in ids]}
             if with_ids:
                 out["ids"] = [np.frombuffer(i, "<u4").astype(np.int32) for i in ids]
