@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chirpline.llm import byte_bpe, decontam, line_dedup, near_dedup, quality
+from chirpline.llm import byte_bpe, decontam, fingerprint, language_id, line_dedup, near_dedup, paragraph_dedup, quality, secrets, toxicity
 from chirpline.llm.vocab import rank_file
 
 
@@ -14,6 +14,20 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return language_id.languages_of(docs, language_id.train(docs))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return toxicity.toxicity_scores(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+
+
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(_read(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return quality.quality_scores(docs, quality.train(docs, _read(spark, sf_dir, "labels")))
@@ -23,6 +37,14 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(_read(spark, sf_dir, "documents"))
+
+
+def op7_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraph_dedup.repeated_paragraphs(_read(spark, sf_dir, "documents"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark")).drop("items")
 
@@ -36,8 +58,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_quality, op5_line_dedup, op8_decontamination, op9_byte_bpe, op10_near_dedup)}
+    return {
+        f.__name__: f
+        for f in (op1_language_id, op2_toxicity, op3_fingerprint, op4_quality, op5_line_dedup, op6_secrets, op7_paragraph_dedup, op8_decontamination, op9_byte_bpe, op10_near_dedup)
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_line_dedup": line_dedup.SQL}
+    return {"op5_line_dedup": line_dedup.SQL, "op6_secrets": secrets.sql()}
