@@ -99,6 +99,14 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], dict[
     return df.mapInArrow(run, types)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def crc_fold(doc_id: Column | str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chirpline.llm.common import let
+from chirpline.llm.common import fresh, let
 
 WINDOW = 3
 
@@ -86,9 +86,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def dedup_lines_in(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns, text without repeated passages and n_chars to match."""
-    found = later_windows(docs).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("starts").alias("__starts"))
-    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left")
-    text = F.when(F.col("__starts").isNull(), F.col("text")).otherwise(F.array_join(without_spans(F.split("text", "\n"), F.col("__starts")), "\n"))
+    at, key, starts = (fresh(docs, c) for c in ("found_id", "found_key", "found_starts"))
+    found = later_windows(docs.select("doc_id", "text")).select(F.col("doc_id").alias(at), F.col("text_key").alias(key), F.col("starts").alias(starts))
+    joined = docs.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.xxhash64("text") == F.col(key)), "left")
+    text = F.when(F.col(starts).isNull(), F.col("text")).otherwise(F.array_join(without_spans(F.split("text", "\n"), F.col(starts)), "\n"))
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -55,17 +55,21 @@ def features_of(words: set[str]) -> set[str]:
 
 def swaps(text: str) -> list[tuple[set[str], set[str]]]:
     """For each sentence with an identity term and each term that may replace it: the
-    words that the swap removes from and adds to the sentence's indicators."""
+    features that the swap removes from and adds to the sentence's indicators."""
     out = []
     for sentence in _SENTENCE.split(text):
         words = words_of(sentence)
         for term in sorted(words & _GROUP.keys()):
             for other in _GROUP[term]:
                 if other != term and other not in words:
-                    out.append(({term}, {other}))
+                    before, after = features_of(words), features_of(words - {term} | {other})
+                    out.append((before - after, after - before))
     return out
 
 
+_TERMS = features_of(set(_GROUP))
+
+
 @dataclass
 class ToxicityModel:
     weights: dict[str, float]
@@ -78,7 +82,7 @@ class ToxicityModel:
 
 def telling_words(sets: list[set[str]], y: np.ndarray) -> list[str]:
     """Words whose log-odds between the classes lie beyond four standard errors, and all
-    identity terms of the sample."""
+    features of identity terms in the sample."""
     pos, neg = Counter(), Counter()
     for s, label in zip(sets, y):
         (pos if label == 1 else neg).update(s)
@@ -90,7 +94,7 @@ def telling_words(sets: list[set[str]], y: np.ndarray) -> list[str]:
             continue
         r = np.log((p + 0.5) * (n_neg - q + 0.5) / ((q + 0.5) * (n_pos - p + 0.5)))
         z = abs(r) / np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5) + 1 / (n_pos - p + 0.5) + 1 / (n_neg - q + 0.5))
-        if z >= 4.0 or w in _GROUP:
+        if z >= 4.0 or w in _TERMS:
             found.append((-z, w))
     return [w for _, w in sorted(found)[:MAX_FEATURES]]
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chirpline.llm import byte_bpe, decontam, line_dedup, near_dedup, quality
-from chirpline.llm.common import written
+from chirpline.llm.common import fresh, written
 from chirpline.llm.vocab import rank_file
 
 
@@ -30,8 +30,9 @@ def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Of rows that repeat a doc_id one stays; rows with a null doc_id all stay.
     """
-    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    one = docs.join(kept, F.col("doc_id").cast("long") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    at = fresh(docs, "kept_id")
+    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias(at)).distinct()
+    one = docs.join(kept, F.col("doc_id").cast("long") == F.col(at), "left_semi").dropDuplicates(["doc_id"])
     return one.unionByName(docs.where("doc_id is null"))
 
 
