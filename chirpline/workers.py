@@ -20,3 +20,15 @@ def prepare_workers(spark: SparkSession) -> None:
     known = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in known:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, known)])
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only
+    in local mode."""
+    import tempfile
+
+    if given := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return given
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="chirpline-")
