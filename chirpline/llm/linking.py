@@ -6,6 +6,7 @@ pairs inside a bucket are only formed between parts that are not yet connected.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -13,60 +14,75 @@ from pyspark.sql import functions as F
 
 from chirpline.llm.common import written
 
-#: Of 128 one-bit coordinates, a pair of similarity 0.8 differs in 13 on average with a
-#: deviation of 3.4; pairs that differ in more than this many are not candidates.
-MAX_BITS_APART = 32
 
+#: Words of 64 coordinates in the finer sketch of items whose buckets hold several parts.
+FINE = 32
 
-def plausible(a: str, b: str, threshold: float) -> Column:
+
+def most_apart(bits: int, threshold: float) -> int:
+    """One-bit coordinates of equal sets' minima differ with probability (1 - J) / 2.
+    Pairs at the threshold differ in more than this many with a probability below 1e-7."""
+    p = (1 - threshold) / 2
+    return int(bits * p + 5.3 * math.sqrt(bits * p * (1 - p)))
+
+
+def apart(a: str, b: str, words: int) -> Column:
+    """Coordinates of the one-bit sketches that differ."""
+    return sum((F.bit_count(F.get(f"{a}.bits", i).bitwiseXOR(F.get(f"{b}.bits", i))) for i in range(1, words)), F.bit_count(F.get(f"{a}.bits", 0).bitwiseXOR(F.get(f"{b}.bits", 0))))
+
+
+def plausible(a: str, b: str, words: int, threshold: float) -> Column:
     """Set sizes and one-bit sketches allow the similarity."""
-    apart = F.bit_count(F.col(f"{a}.bits_a").bitwiseXOR(F.col(f"{b}.bits_a"))) + F.bit_count(F.col(f"{a}.bits_b").bitwiseXOR(F.col(f"{b}.bits_b")))
     small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
-    return (apart <= MAX_BITS_APART) & (small >= large * F.lit(threshold - 1e-9))
+    return (apart(a, b, words) <= most_apart(64 * words, threshold)) & (small >= large * F.lit(threshold - 1e-9))
 
 
-def similar_links(items: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float = 0.8) -> DataFrame:
+def similar_links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame, DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame], words: int, threshold: float = 0.8) -> DataFrame:
     """Links (a, b) that connect all items which banding and verification connect.
 
     ``items`` has one row for each distinct set: id, n (set size), bands (array of
-    bucket keys), bits_a and bits_b (128 one-bit coordinates). ``verify`` takes pairs
-    (a, b) and returns those that are similar enough on their full sets.
-
-    First each item is compared with the nearest of its buckets' smallest members,
-    which connects large groups by one link for each member. Then every pair of a
-    bucket whose two parts are still apart is compared.
+    bucket keys) and bits (a one-bit sketch of 64 * ``words`` coordinates).
+    ``texts_of`` gives (id, text) of the wanted ids, and ``confirm`` takes pairs (a, b)
+    with those texts and returns the pairs whose full sets are similar enough.
+    ``finer`` makes (id, bits) with FINE words of sketch from texts.
+
+    First each item is compared with the nearest of its buckets' heads. The head of a
+    bucket is the member that shares the most buckets with others, so copies of one
+    original meet it rather than each other, and a large group is connected by one
+    link for each member. Then every pair of a bucket whose two parts are still apart
+    is compared, after a finer sketch has excluded those that are clearly too far:
+    the remoter copies of a popular original lie just below the threshold from each
+    other. Joins that carry many rows merge sorted shuffles at every size.
     """
-    rows = items.select("id", "n", "bits_a", "bits_b", F.posexplode("bands").alias("band", "key"))
-    heads = written(
-        rows.groupBy("band", "key").agg(F.min(F.struct("id", "n", "bits_a", "bits_b")).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "key", "h.*")
-    )
-    shared = written(rows.join(heads.select("band", "key"), ["band", "key"]))
-
-    apart = F.bit_count(F.col("x.bits_a").bitwiseXOR(F.col("h.bits_a"))) + F.bit_count(F.col("x.bits_b").bitwiseXOR(F.col("h.bits_b")))
+    rows = items.select("id", F.explode("bands").alias("key"))
+    buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = written(rows.join(buckets.hint("merge"), "key"))
+    known = written(items.select("id", "n", "bits").join(shared.groupBy("id").agg(F.sum("m").alias("weight")), "id"))
+    placed = written(shared.select("key", "id").join(known, "id"))
+    heads = placed.groupBy("key").agg(F.max(F.struct("weight", "id", "n", "bits")).alias("h")).select("key", "h.*")
     nearest = (
-        shared.alias("x")
-        .join(heads.alias("h"), (F.col("x.band") == F.col("h.band")) & (F.col("x.key") == F.col("h.key")) & (F.col("x.id") > F.col("h.id")) & plausible("x", "h", threshold))
+        placed.alias("x")
+        .join(heads.alias("h"), (F.col("x.key") == F.col("h.key")) & (F.struct("x.weight", "x.id") < F.struct("h.weight", "h.id")) & plausible("x", "h", words, threshold))
         .groupBy(F.col("x.id").alias("b"))
-        .agg(F.min(F.struct(apart.alias("apart"), F.col("h.id").alias("a"))).alias("best"))
+        .agg(F.min(F.struct(apart("x", "h", words).alias("apart"), F.col("h.id").alias("a"))).alias("best"))
         .select("best.a", "b")
     )
-    first = written(verify(written(nearest)))
+    texts = written(texts_of(known.select("id")))
+    first = written(confirm(written(nearest), texts))
     parts = components(first)
 
-    placed = shared.join(parts, "id", "left").withColumn("part", F.coalesce("part", "id"))
-    placed = written(placed)
-    mixed = placed.groupBy("band", "key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("band", "key")
-    open_rows = written(placed.join(mixed, ["band", "key"]))
+    still = written(placed.drop("weight").join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")))
+    mixed = still.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    open_rows = still.drop("bits").join(mixed, "key")
+    sketches = finer(texts.join(open_rows.select("id").distinct(), "id", "left_semi"))
+    open_rows = written(open_rows.join(sketches, "id"))
     pairs = (
         open_rows.alias("x")
-        .join(
-            open_rows.alias("y"),
-            (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & plausible("x", "y", threshold),
-        )
+        .join(open_rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & plausible("x", "y", FINE, threshold))
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         .distinct()
     )
-    second = verify(written(pairs))
+    second = confirm(written(pairs), texts)
     return written(first.unionByName(second))
 
 

@@ -17,11 +17,14 @@ import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from chirpline.llm.common import map_rows, written
-from chirpline.llm.linking import components, similar_links
+from chirpline.llm.linking import FINE, components, similar_links
 
 U64 = np.uint64
+#: Coordinates of a sketch, and words of 64 one-bit coordinates.
+COORDINATES, WORDS = 256, 4
 #: Odd multipliers of a 64-bit mixer (fixed values).
 MIX_A, MIX_B = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 GOLDEN = U64(0x9E3779B97F4A7C15)
@@ -86,29 +89,28 @@ class FastSimilaritySketch:
         return out
 
 
-def band_keys(sketch: np.ndarray, rows: int) -> np.ndarray:
-    """One signed 64-bit key for each band of ``rows`` coordinates."""
-    key = np.zeros(len(sketch) // rows, U64)
-    for column in sketch.reshape(-1, rows).T:
+def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """One signed 64-bit key for each band of ``rows`` coordinates; bands have keys apart."""
+    key = mix(np.arange(1, bands + 1, dtype=U64))
+    for column in sketch[: bands * rows].reshape(-1, rows).T:
         key = mix(key * GOLDEN + column)
     return key.view(np.int64)
 
 
-def one_bits(sketch: np.ndarray) -> tuple[int, int]:
-    """One bit of each of 128 coordinates, as two signed words."""
-    bits = (mix(sketch[:128]) & U64(1)).astype(np.uint8)
-    a, b = np.packbits(bits).view(">i8")
-    return int(a), int(b)
+def one_bits(sketch: np.ndarray, words: int) -> np.ndarray:
+    """One bit of each of 64 * ``words`` coordinates, as signed words."""
+    bits = (mix(sketch[: 64 * words]) & U64(1)).astype(np.uint8)
+    return np.packbits(bits).view("<i8")
 
 
 def sketched(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n, set_key (128-bit hash of the full set), bands, bits_a, bits_b."""
+    """doc_id, n, set_key (128-bit hash of the full set), bands, bits."""
 
     def make():
-        sketch = FastSimilaritySketch(bands * rows)
+        sketch = FastSimilaritySketch(COORDINATES)
 
         def work(c):
-            out = {k: [] for k in ("doc_id", "n", "set_key", "bands", "bits_a", "bits_b")}
+            out = {k: [] for k in ("doc_id", "n", "set_key", "bands", "bits")}
             memo: dict[bytes, tuple] = {}
             for doc_id, text in zip(c["doc_id"], c["text"]):
                 elements = shingle_hashes(words_of(text), shingle)
@@ -116,16 +118,31 @@ def sketched(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
                 if key not in memo:
                     if len(elements):
                         s = sketch(elements)
-                        memo[key] = (band_keys(s, rows), *one_bits(s))
+                        memo[key] = (band_keys(s, bands, rows), one_bits(s, WORDS))
                     else:
-                        memo[key] = ([], 0, 0)
+                        memo[key] = ([], [])
                 for k, v in zip(out, (doc_id, len(elements), key, *memo[key])):
                     out[k].append(v)
             return out
 
         return work
 
-    return map_rows(docs, make, "doc_id long, n long, set_key binary, bands array<long>, bits_a long, bits_b long")
+    return map_rows(docs, make, "doc_id long, n long, set_key binary, bands array<long>, bits array<long>")
+
+
+def fine_sketches(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, bits) with FINE words of one-bit coordinates for (id, text)."""
+
+    def make():
+        sketch = FastSimilaritySketch(64 * FINE)
+
+        def work(c):
+            sets = (shingle_hashes(words_of(t), shingle) for t in c["text"])
+            return {"id": c["id"], "bits": [one_bits(sketch(s), FINE) if len(s) else [0] * FINE for s in sets]}
+
+        return work
+
+    return map_rows(texts.select("id", "text"), make, StructType([texts.schema["id"], StructField("bits", ArrayType(LongType()))]))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
@@ -156,12 +173,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) ->
     return map_rows(pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t"), make, pairs.select("a", "b").schema)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 64, rows: int = 8) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 42, rows: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text).
 
     Documents whose full sets agree are first put into one class, so groups of copies
     cost one sketch comparison. At the threshold a pair shares a band of the default
-    sketch with probability 1 - 8e-6; beyond it the chance rises to certainty.
+    sketch with probability 1 - 3e-6; beyond it the chance rises to certainty.
 
     Null and empty texts have an empty set and are linked with nothing. A null doc_id
     gets a null component and is kept. Rows that repeat a doc_id count as one document
@@ -172,15 +189,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     linkable = signed.where("n > 0 and doc_id is not null")
     classes = written(linkable.groupBy("set_key").agg(F.min("doc_id").alias("id")))
     items = written(
-        linkable.withColumnRenamed("doc_id", "id").join(classes, ["set_key", "id"]).dropDuplicates(["set_key", "id"]).select("id", "n", "bands", "bits_a", "bits_b")
+        linkable.withColumnRenamed("doc_id", "id").join(classes, ["set_key", "id"]).dropDuplicates(["set_key", "id"]).select("id", "n", "bands", "bits")
     )
     texts = rows_in.select(F.col("doc_id").alias("id"), "text")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-        return confirmed(pairs, written(texts.join(wanted, "id")), shingle, percent)
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return texts.join(ids.hint("merge"), "id")
 
-    links = similar_links(items, verify, percent / 100)
+    links = similar_links(items, texts_of, lambda pairs, found: confirmed(pairs, found, shingle, percent), lambda found: fine_sketches(found, shingle), WORDS, percent / 100)
     same = linkable.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", F.col("id").alias("b"))
     split = written(same.groupBy("doc_id").agg(F.min("b").alias("a"), F.max("b").alias("high")).where("a < high").select("doc_id", "a"))
     if not split.isEmpty():  # a doc_id with several texts ties their classes
