@@ -20,6 +20,8 @@ from chirpline.llm.common import crc_fold, hash_sample, map_rows
 WINDOW, UNITS, COLUMNS = 64, 8, 4096
 #: Bounds of the training sample: texts of each language, and windows of each text.
 TEXTS, WINDOWS = 1500, 6
+#: Most languages that one network tells apart; those with the most texts are learned.
+LANGUAGES = 500
 _LETTER = re.compile(r"[^\W\d_]")
 
 
@@ -163,8 +165,8 @@ def training_windows(docs: DataFrame, texts: int = TEXTS, count: int = WINDOWS)
     the text, and equal texts count once, so copies can't fill the sample.
     """
     known = docs.where("lang is not null and text is not null").where(crc_fold("doc_id", 5) != 0).select("lang", "text").where(F.length("text") > 0)
-    sizes = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("size"))
-    share = F.broadcast(sizes.select("lang", F.least(F.lit(1.0), texts / F.greatest("size", F.lit(1))).alias("share")))  # a row for each language
+    sizes = known.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("size")).orderBy(F.desc("size"), "lang").limit(LANGUAGES)
+    share = F.broadcast(sizes.select("lang", F.least(F.lit(1.0), texts / F.greatest("size", F.lit(1))).alias("share")))  # at most LANGUAGES rows
     slot = F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1 << 24))
     picked = known.join(share, "lang").where(slot < F.col("share") * (1 << 24) + 1)
     start = lambda i: (F.pmod(F.xxhash64("text", i), F.greatest(F.length("text") - WINDOW, F.lit(1))) + 1).cast("int")
