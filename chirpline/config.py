@@ -114,3 +114,55 @@ class Viewport:
         want = now if mode == "page" else now - self.seconds * anchor
         start = max(first, min(total - self.seconds, want))
         return replace(self, start=start, end=start + self.seconds)
+
+
+@dataclass(frozen=True)
+class Navigation:
+    """A viewport with its bounds and spans; each move gives a new one."""
+
+    view: Viewport
+    seconds: float
+    nyquist: float
+    least: float = 0.05
+    most: float = 40.0
+    least_hz: float = 10.0
+
+    @classmethod
+    def opened(cls, seconds: float, rate: float, first: float = 10.0) -> Navigation:
+        """What a recording shows at first: its beginning, up to the Nyquist frequency."""
+        return cls(Viewport(0.0, min(first, seconds), 0.0, rate / 2), seconds, rate / 2)
+
+    def pan(self, by: float) -> Navigation:
+        return self.pan_to(self.view.start + by)
+
+    def pan_to(self, start: float) -> Navigation:
+        start = min(max(start, 0.0), max(0.0, self.seconds - self.view.seconds))
+        return replace(self, view=replace(self.view, start=start, end=start + self.view.seconds))
+
+    def zoom(self, factor: float, centre: float | None = None) -> Navigation:
+        v = self.view
+        start, end = _scaled(v.start, v.end, 0.0, self.seconds, self.least, self.most, factor, centre)
+        return replace(self, view=replace(v, start=start, end=end))
+
+    def zoom_hz(self, factor: float, centre: float | None = None) -> Navigation:
+        v = self.view
+        low, high = _scaled(v.low_hz, v.high_hz, 0.0, self.nyquist, self.least_hz, self.nyquist, factor, centre)
+        return replace(self, view=replace(v, low_hz=low, high_hz=high))
+
+    def zoom_both(self, factor: float, time: float | None = None, hz: float | None = None) -> Navigation:
+        return self.zoom(factor, time).zoom_hz(factor, hz)
+
+
+def _scaled(low: float, high: float, bound_low: float, bound_high: float, least: float, most: float, factor: float, centre: float | None) -> tuple[float, float]:
+    """A range scaled about a centre (its middle) within spans and bounds."""
+    now = high - low
+    if not (factor > 0 and math.isfinite(factor) and bound_high > bound_low):
+        return low, high
+    top = min(most, bound_high - bound_low)
+    span = min(max(now * factor, min(least, top)), top)
+    if abs(span - now) < 1e-9:
+        return low, high
+    centre = (low + high) / 2 if centre is None else centre
+    ratio = (centre - low) / now if now > 0 else 0.5
+    to = min(max(centre - span * ratio, bound_low), max(bound_low, bound_high - span))
+    return to, to + span

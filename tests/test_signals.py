@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chirpline.config import Stft, ValueScale, Viewport
+from chirpline.config import Navigation, Stft, ValueScale, Viewport
 from chirpline.functions import axis, colormap
 from chirpline.operators.stft import by_bin, spectra, stft, stft_arrays, stft_catalyst
 from chirpline.operators.transforms import applied, smooth_time
@@ -184,3 +184,21 @@ def test_bars_and_peaks_by_hand(spark):
     a = {r["k"]: r["low"] for r in peaks.envelope(samples, 0, 30, 10, 1.0).collect()}
     b = {r["k"]: r["low"] for r in peaks.envelope(samples, 6, 36, 10, 1.0).collect()}
     assert all(a[k] == b[k] for k in a.keys() & b.keys()) and a.keys() & b.keys()
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["pan", "pan_to", "zoom", "zoom_hz", "zoom_both"]), st.floats(-50, 50)), max_size=12), st.floats(0.2, 500))
+def test_navigation_stays_inside(moves, seconds):
+    n = Navigation.opened(seconds, 16000)
+    assert n.view.end == min(10, seconds) and n.view.high_hz == 8000
+    for name, by in moves:
+        n = getattr(n, name)(by)
+        v = n.view
+        assert -1e-9 <= v.start < v.end <= seconds + 1e-6 and -1e-9 <= v.low_hz < v.high_hz <= 8000 + 1e-6
+        assert v.seconds <= 40 + 1e-6 and v.high_hz - v.low_hz >= 10 - 1e-6
+
+
+def test_navigation_keeps_what_is_under_the_pointer():
+    n = Navigation.opened(100, 16000).pan_to(30).zoom(0.5, 34)
+    assert (n.view.start, n.view.end) == (32, 37)
+    assert n.zoom(1.0) == n and n.zoom(-1) == n and n.pan(1000).view.end == 100
