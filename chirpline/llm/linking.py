@@ -75,12 +75,12 @@ def similar_links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     mixed = still.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
     open_rows = still.drop("bits").join(mixed, "key")
     sketches = finer(texts.join(open_rows.select("id").distinct(), "id", "left_semi"))
-    open_rows = written(open_rows.join(sketches, "id"))
+    open_rows = written(open_rows.join(sketches.join(items.select("id", "bands"), "id"), "id"))
+    once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")  # of the buckets that they share
     pairs = (
         open_rows.alias("x")
-        .join(open_rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & plausible("x", "y", FINE, threshold))
+        .join(open_rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & plausible("x", "y", FINE, threshold) & once)
         .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-        .distinct()
     )
     second = confirm(written(pairs), texts)
     return written(first.unionByName(second))
@@ -100,7 +100,6 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = written(large)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
