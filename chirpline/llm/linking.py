@@ -91,21 +91,22 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps; each step hangs nodes on the
     smallest known neighbour, so the number of rounds grows with the logarithm of
-    the size. Minima are grouped with partial sums, so a node with very many links
-    doesn't load one task.
+    the size. They end when every node hangs on one root. Minima are grouped with
+    partial sums, so a node with very many links doesn't load one task.
     """
     edges = written(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    before = None
-    while True:
+    while not _loose(edges).isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            break
-        before = state
     own = edges.select(F.col("v").alias("id"), F.col("v").alias("part")).distinct()
     return written(edges.select(F.col("u").alias("id"), F.col("v").alias("part")).unionByName(own))
+
+
+def _loose(edges: DataFrame) -> DataFrame:
+    """Nodes that hang on several others, or on one that hangs itself."""
+    several = edges.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high")).where("low < high").select("u")
+    return several.unionByName(edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi"))
