@@ -8,7 +8,6 @@ score that a swap makes, so that the mention of a group by itself carries no wei
 from __future__ import annotations
 
 import re
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -80,23 +79,27 @@ class ToxicityModel:
         return float(sigmoid(self.bias + sum(get(w, 0.0) for w in features_of(words_of(text)))))
 
 
-def telling_words(sets: list[set[str]], y: np.ndarray) -> list[str]:
-    """Words whose log-odds between the classes lie beyond four standard errors, and all
+def indicators(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
+    """All features, and each text's as indices; a feature's string is kept once."""
+    index: dict[str, int] = {}
+    rows = [np.array([index.setdefault(f, len(index)) for f in sorted(features_of(words_of(t)))], np.int32) for t in texts]
+    return list(index), rows
+
+
+def telling(features: list[str], rows: list[np.ndarray], y: np.ndarray) -> list[int]:
+    """Features whose log-odds between the classes lie beyond four standard errors, and all
     features of identity terms in the sample."""
-    pos, neg = Counter(), Counter()
-    for s, label in zip(sets, y):
-        (pos if label == 1 else neg).update(s)
-    n_pos, n_neg = max(1, int((y == 1).sum())), max(1, int((y != 1).sum()))
-    found = []
-    for w in pos.keys() | neg.keys():
-        p, q = pos[w], neg[w]
-        if p + q < MIN_DOCS:
-            continue
-        r = np.log((p + 0.5) * (n_neg - q + 0.5) / ((q + 0.5) * (n_pos - p + 0.5)))
-        z = abs(r) / np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5) + 1 / (n_pos - p + 0.5) + 1 / (n_neg - q + 0.5))
-        if z >= 4.0 or w in _TERMS:
-            found.append((-z, w))
-    return [w for _, w in sorted(found)[:MAX_FEATURES]]
+
+    def counts(chosen):
+        found = [r for r, c in zip(rows, chosen) if c]
+        return np.bincount(np.concatenate(found) if found else [], minlength=len(features)).astype(float), max(1, len(found))
+
+    (p, n_pos), (q, n_neg) = counts(y == 1), counts(y != 1)
+    r = np.log((p + 0.5) * (n_neg - q + 0.5) / ((q + 0.5) * (n_pos - p + 0.5)))
+    z = np.abs(r) / np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5) + 1 / (n_pos - p + 0.5) + 1 / (n_neg - q + 0.5))
+    named = np.array([f in _TERMS for f in features], bool)
+    found = np.flatnonzero((p + q >= MIN_DOCS) & ((z >= 4.0) | named))
+    return sorted(found.tolist(), key=lambda i: (-z[i], features[i]))[:MAX_FEATURES]
 
 
 def fit(texts: list[str], y: np.ndarray, swap_penalty: float = 10.0, ridge: float = 2e-4, prior: float | None = None, steps: int = 400, rate: float = 0.05) -> ToxicityModel:
@@ -108,10 +111,13 @@ def fit(texts: list[str], y: np.ndarray, swap_penalty: float = 10.0, ridge: floa
     """
     if not len(y):
         return ToxicityModel({}, -30.0)
-    sets = [features_of(words_of(t)) for t in texts]
-    vocabulary = {w: i for i, w in enumerate(telling_words(sets, y))}
-    rows = [[vocabulary[w] for w in s if w in vocabulary] for s in sets]
-    idx = np.array([i for r in rows for i in r], np.int64)
+    features, everything = indicators(texts)
+    chosen = telling(features, everything, y)
+    vocabulary = {features[i]: k for k, i in enumerate(chosen)}
+    place = np.full(len(features), -1)
+    place[chosen] = np.arange(len(chosen))
+    rows = [place[r][place[r] >= 0] for r in everything]
+    idx = np.concatenate(rows).astype(np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     pairs = [(r, a) for t in texts if not _GROUP.keys().isdisjoint(words_of(t)) for r, a in swaps(t)]
     # terms without a place in the sample are swapped for those that have one
