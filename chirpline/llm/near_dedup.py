@@ -90,17 +90,19 @@ class FastSimilaritySketch:
 
 
 def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """One signed 64-bit key for each band of ``rows`` coordinates; bands have keys apart."""
+    """One signed 64-bit key for each band of ``rows`` coordinates; bands have keys apart.
+    Takes one sketch or rows of them."""
     key = mix(np.arange(1, bands + 1, dtype=U64))
-    for column in sketch[: bands * rows].reshape(-1, rows).T:
-        key = mix(key * GOLDEN + column)
+    banded = sketch[..., : bands * rows].reshape(*sketch.shape[:-1], bands, rows)
+    for i in range(rows):
+        key = mix(key * GOLDEN + banded[..., i])
     return key.view(np.int64)
 
 
 def one_bits(sketch: np.ndarray, words: int) -> np.ndarray:
-    """One bit of each of 64 * ``words`` coordinates, as signed words."""
-    bits = (mix(sketch[: 64 * words]) & U64(1)).astype(np.uint8)
-    return np.packbits(bits).view("<i8")
+    """One bit of each of 64 * ``words`` coordinates, as signed words, for one sketch or rows."""
+    bits = (mix(sketch[..., : 64 * words]) & U64(1)).astype(np.uint8)
+    return np.packbits(bits, axis=-1).view("<i8")
 
 
 def sketched(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
