@@ -129,7 +129,8 @@ def sketched(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
 
         return work
 
-    return map_rows(docs, make, "doc_id long, n long, set_key binary, bands array<long>, bits array<long>")
+    rest = StructType.fromDDL("n long, set_key binary, bands array<long>, bits array<long>")
+    return map_rows(docs.select("doc_id", "text"), make, StructType([docs.schema["doc_id"], *rest]))
 
 
 def fine_sketches(texts: DataFrame, shingle: int) -> DataFrame:
@@ -186,7 +187,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     gets a null component and is kept. Rows that repeat a doc_id count as one document
     with the links of all its texts. Other columns are ignored.
     """
-    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return near_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle, percent, bands, rows)
+
+
+def near_documents(rows_in: DataFrame, shingle: int = 5, percent: int = 80, bands: int = 42, rows: int = 6) -> DataFrame:
+    """``near_duplicates`` of (doc_id, text) for a doc_id of any type that has an order."""
     signed = written(sketched(rows_in, shingle, bands, rows))
     linkable = signed.where("n > 0 and doc_id is not null")
     classes = written(linkable.groupBy("set_key").agg(F.min("doc_id").alias("id")))

@@ -28,11 +28,22 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, that with the smallest doc_id.
 
-    Of rows that repeat a doc_id one stays; rows with a null doc_id all stay.
+    Texts that share a doc_id are documents of their own, in the order of their hashes. Of
+    rows that repeat doc_id and text one stays, the first by its other columns; rows with a
+    null doc_id all stay.
     """
-    at = fresh(docs, "kept_id")
-    kept = near_dedup.near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias(at)).distinct()
-    one = docs.join(kept, F.col("doc_id").cast("long") == F.col(at), "left_semi").dropDuplicates(["doc_id"])
+    at, key, row = (fresh(docs, c) for c in ("kept_id", "kept_key", "kept_row"))
+    text_key = F.xxhash64("text")
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shared = known.groupBy("doc_id").agg(F.min(text_key).alias("low"), F.max(text_key).alias("high")).where("low < high")
+    if shared.isEmpty():
+        own = F.col("doc_id").cast("long")
+    else:
+        own = F.struct(F.col("doc_id").cast("long").alias("doc_id"), text_key.alias("text_key"))
+    kept = near_dedup.near_documents(known.select(own.alias("doc_id"), "text")).where("kept").select(F.col("doc_id").alias(at)).distinct()
+    rest = F.to_json(F.struct(*[c for c in docs.columns if c != "text"]))
+    stay = docs.join(kept, own == F.col(at), "left_semi").groupBy(F.col("doc_id").alias(at), text_key.alias(key))
+    one = stay.agg(F.min_by(F.struct(*docs.columns), rest).alias(row)).select(f"{row}.*")
     return one.unionByName(docs.where("doc_id is null"))
 
 

@@ -34,3 +34,13 @@ def test_stages_take_odd_rows(spark, data):
     for _, stage in corpus_pipeline.STAGES:
         now = written(stage(spark, now, data))
     assert now.count() >= 0
+
+
+def test_texts_that_share_an_id_all_stay(spark):
+    rng = __import__("random").Random(8)
+    a, b, c = (cases.words(rng, 40) for _ in range(3))
+    rows = [(1, a, "y"), (1, b, "y"), (2, a + " more", "y"), (3, b, "y"), (4, c, "z"), (4, c, "x"), (None, c, "y")]
+    for order in (rows, rows[::-1]):
+        docs = spark.createDataFrame(order, "doc_id long, text string, source string")
+        got = sorted(map(tuple, corpus_pipeline.unique_documents(spark, docs, "").collect()), key=str)
+        assert got == sorted([(1, a, "y"), (1, b, "y"), (4, c, "x"), (None, c, "y")], key=str)
