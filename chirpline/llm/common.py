@@ -118,6 +118,16 @@ def hash_sample(df: DataFrame, key: Column, fraction: float) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 24)) < int(fraction * (1 << 24)) + 1)
 
 
+#: Rows of keys that may be broadcast, about 60 MB.
+FEW_ROWS = 1_000_000
+
+
+def few_or_merge(keys: DataFrame) -> DataFrame:
+    """A written table of keys as the side of a join: broadcast if it's counted to be small,
+    merged with sorted shuffles if not."""
+    return F.broadcast(keys) if keys.count() <= FEW_ROWS else keys.hint("merge")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once for each row and use it many times in ``body``."""
     return F.transform(F.array(value), body)[0]

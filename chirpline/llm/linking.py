@@ -1,7 +1,8 @@
 """From banded signatures to verified links and connected components.
 
 Every step is a join or a grouping. Nothing is collected, no bucket is capped, and
-pairs inside a bucket are only formed between parts that are not yet connected.
+pairs inside a bucket are only formed between parts that are not yet connected. The
+members of large buckets meet by their rarest elements instead, which is exact.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from chirpline.llm.common import written
 
 #: Words of 64 coordinates in the finer sketch of items whose buckets hold several parts.
 FINE = 32
+#: Buckets of more members are split by rare elements.
+LARGE = 100
 
 
 def most_apart(bits: int, threshold: float) -> int:
@@ -37,14 +40,16 @@ def plausible(a: str, b: str, words: int, threshold: float) -> Column:
     return (apart(a, b, words) <= most_apart(64 * words, threshold)) & (small >= large * F.lit(threshold - 1e-9))
 
 
-def similar_links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame, DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame], words: int, threshold: float = 0.8) -> DataFrame:
+def similar_links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame, DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], words: int, threshold: float = 0.8, fine: int = FINE, large: int = LARGE) -> DataFrame:
     """Links (a, b) that connect all items which banding and verification connect.
 
     ``items`` has one row for each distinct set: id, n (set size), bands (array of
-    bucket keys) and bits (a one-bit sketch of 64 * ``words`` coordinates).
+    bucket keys) and bits (a one-bit sketch of 64 * ``words`` coordinates). If it has a
+    column only, sets with the same value there that isn't null aren't linked.
     ``texts_of`` gives (id, text) of the wanted ids, and ``confirm`` takes pairs (a, b)
     with those texts and returns the pairs whose full sets are similar enough.
-    ``finer`` makes (id, bits) with FINE words of sketch from texts.
+    ``finer`` makes (id, bits) with ``fine`` words of sketch from texts, and ``elements``
+    (id, elements), the hashed sets.
 
     First each item is compared with the nearest of its buckets' heads. The head of a
     bucket is the member that shares the most buckets with others, so copies of one
@@ -52,17 +57,23 @@ def similar_links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     link for each member. Then every pair of a bucket whose two parts are still apart
     is compared, after a finer sketch has excluded those that are clearly too far:
     the remoter copies of a popular original lie just below the threshold from each
-    other. Joins that carry many rows merge sorted shuffles at every size.
+    other. In a bucket of more than ``large`` members pairs are formed only between those
+    with a common element among their rarest ones (``by_rare_elements``), so a frequent
+    passage that many sets share doesn't make them candidates. Joins that carry many rows
+    merge sorted shuffles at every size.
     """
+    if "only" not in items.columns:
+        items = items.withColumn("only", F.lit(None).cast("long"))
+    foreign = lambda a, b: F.coalesce(F.col(f"{a}.only") != F.col(f"{b}.only"), F.lit(True))
     rows = items.select("id", F.explode("bands").alias("key"))
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     shared = written(rows.join(buckets.hint("merge"), "key"))
-    known = written(items.select("id", "n", "bits").join(shared.groupBy("id").agg(F.sum("m").alias("weight")), "id"))
+    known = written(items.select("id", "n", "bits", "only").join(shared.groupBy("id").agg(F.sum("m").alias("weight")), "id"))
     placed = written(shared.select("key", "id").join(known, "id"))
-    heads = placed.groupBy("key").agg(F.max(F.struct("weight", "id", "n", "bits")).alias("h")).select("key", "h.*")
+    heads = placed.groupBy("key").agg(F.max(F.struct("weight", "id", "n", "bits", "only")).alias("h")).select("key", "h.*")
     nearest = (
         placed.alias("x")
-        .join(heads.alias("h"), (F.col("x.key") == F.col("h.key")) & (F.struct("x.weight", "x.id") < F.struct("h.weight", "h.id")) & plausible("x", "h", words, threshold))
+        .join(heads.alias("h"), (F.col("x.key") == F.col("h.key")) & (F.struct("x.weight", "x.id") < F.struct("h.weight", "h.id")) & foreign("x", "h") & plausible("x", "h", words, threshold))
         .groupBy(F.col("x.id").alias("b"))
         .agg(F.min(F.struct(apart("x", "h", words).alias("apart"), F.col("h.id").alias("a"))).alias("best"))
         .select("best.a", "b")
@@ -72,20 +83,37 @@ def similar_links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     parts = components(first)
 
     still = written(placed.drop("weight").join(parts, "id", "left").withColumn("part", F.coalesce("part", "id")))
-    mixed = still.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    open_rows = still.drop("bits").join(mixed, "key")
-    sketches = finer(texts.join(open_rows.select("id").distinct(), "id", "left_semi"))
-    open_rows = written(open_rows.join(sketches.join(items.select("id", "bands"), "id"), "id"))
+    mixed = still.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high").select("key", "members")
+    open_rows = written(still.drop("bits").join(mixed, "key"))
+    wanted = written(texts.join(open_rows.select("id").distinct(), "id", "left_semi"))
+    sketches = written(finer(wanted))
+    few = written(open_rows.where(F.col("members") <= large).join(sketches.join(items.select("id", "bands"), "id"), "id"))
+    apart_yet = (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & foreign("x", "y") & plausible("x", "y", fine, threshold)
     once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")  # of the buckets that they share
-    pairs = (
-        open_rows.alias("x")
-        .join(open_rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & plausible("x", "y", FINE, threshold) & once)
-        .select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    )
+    pair = [F.col("x.id").alias("a"), F.col("y.id").alias("b")]
+    pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & apart_yet & once).select(*pair)
+    many = open_rows.where(F.col("members") > large).select("id", "n", "only", "part").distinct()
+    rare = by_rare_elements(elements(wanted.join(many.select("id"), "id", "left_semi")), threshold)
+    met = written(rare.join(many.join(sketches, "id"), "id"))
+    pairs = pairs.unionByName(met.alias("x").join(met.alias("y"), (F.col("x.element") == F.col("y.element")) & apart_yet).select(*pair)).distinct()
     second = confirm(written(pairs), texts)
     return written(first.unionByName(second))
 
 
+def by_rare_elements(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, element) for the rarest elements of each (id, elements).
+
+    Two sets of at least the similarity share ceil(threshold * n) elements of the one with
+    n, so if all sets order their elements alike, the first n - ceil(threshold * n) + 1 of
+    either hold a common one.
+    """
+    rows = sets.select("id", F.explode("elements").alias("element"))
+    known = written(rows.groupBy("element").agg(F.count(F.lit(1)).alias("sets")))
+    ranked = rows.join(known.hint("merge"), "element").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("sets", "element"))).alias("order"))
+    first = F.size("order") - F.ceil(F.size("order") * F.lit(threshold - 1e-9)).cast("int") + 1
+    return ranked.select("id", F.explode(F.slice("order", F.lit(1), first)["element"]).alias("element"))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, part) for every linked id; part is the smallest id that can be reached.
 

@@ -133,15 +133,24 @@ def sketched(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     return map_rows(docs.select("doc_id", "text"), make, StructType([docs.schema["doc_id"], *rest]))
 
 
-def fine_sketches(texts: DataFrame, shingle: int) -> DataFrame:
-    """(id, bits) with FINE words of one-bit coordinates for (id, text)."""
+def shingle_elements(texts: DataFrame, shingle: int) -> DataFrame:
+    """(id, elements), the hashed shingle sets of (id, text)."""
 
     def make():
-        sketch = FastSimilaritySketch(64 * FINE)
+        return lambda c: {"id": c["id"], "elements": [shingle_hashes(words_of(t), shingle).view(np.int64) for t in c["text"]]}
+
+    return map_rows(texts.select("id", "text"), make, StructType([texts.schema["id"], StructField("elements", ArrayType(LongType()))]))
+
+
+def fine_sketches(texts: DataFrame, shingle: int, words: int = FINE) -> DataFrame:
+    """(id, bits) with ``words`` words of one-bit coordinates for (id, text)."""
+
+    def make():
+        sketch = FastSimilaritySketch(64 * words)
 
         def work(c):
             sets = (shingle_hashes(words_of(t), shingle) for t in c["text"])
-            return {"id": c["id"], "bits": [one_bits(sketch(s), FINE) if len(s) else [0] * FINE for s in sets]}
+            return {"id": c["id"], "bits": [one_bits(sketch(s), words) if len(s) else [0] * words for s in sets]}
 
         return work
 
@@ -201,9 +210,11 @@ def near_documents(rows_in: DataFrame, shingle: int = 5, percent: int = 80, band
     texts = rows_in.select(F.col("doc_id").alias("id"), "text")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        return texts.join(ids.hint("merge"), "id")
+        found = texts.join(ids.hint("merge"), "id")
+        # rows that repeat an id and a text are one
+        return found.groupBy("id", F.xxhash64("text").alias("key")).agg(F.min("text").alias("text")).select("id", "text")
 
-    links = similar_links(items, texts_of, lambda pairs, found: confirmed(pairs, found, shingle, percent), lambda found: fine_sketches(found, shingle), WORDS, percent / 100)
+    links = similar_links(items, texts_of, lambda pairs, found: confirmed(pairs, found, shingle, percent), lambda found: fine_sketches(found, shingle), lambda found: shingle_elements(found, shingle), WORDS, percent / 100)
     same = linkable.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", F.col("id").alias("b"))
     split = written(same.groupBy("doc_id").agg(F.min("b").alias("a"), F.max("b").alias("high")).where("a < high").select("doc_id", "a"))
     if not split.isEmpty():  # a doc_id with several texts ties their classes
