@@ -113,9 +113,9 @@ def crc_fold(doc_id: Column | str, folds: int) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % folds
 
 
-def hash_sample(df: DataFrame, key: Column, fraction: float) -> DataFrame:
+def hash_sample(df: DataFrame, key: Column, fraction: Column) -> DataFrame:
     """Rows whose key hash falls in the fraction: the same rows at every run."""
-    return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 24)) < int(fraction * (1 << 24)) + 1)
+    return df.where(F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 24)) < fraction * (1 << 24))
 
 
 #: Rows of keys that may be broadcast, about 60 MB.

@@ -6,27 +6,28 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chirpline.llm.common import crc_fold, hash_sample
+from chirpline.llm.common import crc_fold, hash_sample, written
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows: int, folds: int = 4, held_out: int = 2) -> DataFrame:
-    """(text, label) of at most about ``rows`` labelled documents of each class.
+    """(text, label) of at most about ``rows`` distinct labelled texts of each class.
 
-    Only rows outside the held-out fold count. Sampling is by the hash of the text, and
-    equal texts count once, so a group of copies can't fill the sample. The size of a
-    class is counted first and gives the sampled fraction; all rows of a rare class are
-    taken.
+    Only rows outside the held-out fold count. Equal texts count once, with the highest
+    of their labels, and sampling is by the hash of the text, so a group of copies can't
+    fill the sample. The distinct texts of a class are counted first and give the sampled
+    fraction; all of a rare class are taken. Hashes are joined and grouped; only the texts
+    of the sample are fetched.
     """
-    known = labels.where(F.col(label).isin(0, 1)).where(crc_fold("doc_id", folds) != held_out).select("doc_id", F.col(label).cast("int").alias("label"))
-    sizes = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    parts = None
-    for value, count in sorted(sizes.items()):
-        part = hash_sample(known.where(F.col("label") == value), F.col("doc_id"), min(1.0, rows / count))
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        parts = known
-    texts = docs.select("doc_id", "text").where("text is not null")
-    return texts.join(parts, "doc_id").groupBy(F.col("text")).agg(F.max("label").alias("label"))
+    known = labels.where(F.col(label).isin(0, 1)).where(crc_fold("doc_id", folds) != held_out).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("label"))
+    hashed = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("key"))
+    distinct = written(hashed.join(known, "doc_id").groupBy("key").agg(F.max("label").alias("label"), F.min("doc_id").alias("doc_id")))
+    sizes = {r["label"]: r["count"] for r in distinct.groupBy("label").count().collect()}
+    share = F.lit(0.0)
+    for value, count in sizes.items():
+        share = F.when(F.col("label") == value, F.lit(min(1.0, rows / count))).otherwise(share)
+    sample = F.broadcast(hash_sample(distinct, F.col("key"), share))  # about 2 * rows rows
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("key"))
+    return texts.join(sample, ["doc_id", "key"]).groupBy("text").agg(F.max("label").alias("label"))
 
 
 def sigmoid(x):

@@ -4,7 +4,9 @@ Features are indicators of word n-grams, of the words themselves and of their sh
 (runs of letters, capitals, digits and other signs). Each indicator is scaled by the
 class log-count ratio of its n-gram, and a linear hinge-loss model over the scaled
 indicators is fitted by dual coordinate descent. Margins become probabilities by a
-calibration on the part of the sample that the fit didn't see.
+calibration on the part of the sample that the fit didn't see. A text's row of scaled
+indicators has unit length both in the fit and in the score, so that margins don't grow
+with the length of a text.
 """
 
 from __future__ import annotations
@@ -20,9 +22,8 @@ from pyspark.sql import functions as F
 from chirpline.llm.common import crc_fold, filter_rows, map_rows
 from chirpline.llm.linear import labelled_sample, platt, sigmoid
 
-#: At most about so many labelled documents of each class are used to fit.
+#: At most about so many labelled texts of each class are used to fit; this bounds the model.
 SAMPLE_ROWS = 3000
-MAX_FEATURES = 30_000
 MIN_DOCS = 5
 
 #: Classes of bytes for shapes: a small letter or any byte beyond ASCII, A capital, 0 digit.
@@ -47,15 +48,24 @@ def ngrams(text: str | None) -> set[bytes]:
 
 @dataclass
 class NaiveBayesSVM:
-    weights: dict[bytes, float]
+    """``weights`` has for each n-gram its log-count ratio and its weight in the margin."""
+
+    weights: dict[bytes, tuple[float, float]]
     bias: float
     slope: float
     offset: float
 
+    def margin(self, grams: set[bytes]) -> float:
+        """The fitted linear function of the unit row (1, ratios of the n-grams)."""
+        get, norm, total = self.weights.get, 1.0, self.bias
+        for g in grams:
+            if found := get(g):
+                norm += found[0] * found[0]
+                total += found[0] * found[1]
+        return total / norm**0.5
+
     def score(self, text: str | None) -> float:
-        get = self.weights.get
-        margin = self.bias + sum(get(g, 0.0) for g in ngrams(text))
-        return float(sigmoid(self.slope * margin + self.offset))
+        return float(sigmoid(self.slope * self.margin(ngrams(text)) + self.offset))
 
 
 def log_count_ratios(sets: list[set[bytes]], y: np.ndarray, alpha: float = 1.0) -> dict[bytes, float]:
@@ -78,7 +88,7 @@ def log_count_ratios(sets: list[set[bytes]], y: np.ndarray, alpha: float = 1.0)
         if z >= 3.0:
             found.append((z, g, float(r)))
     found.sort(key=lambda x: (-x[0], x[1]))
-    return {g: r for _, g, r in found[:MAX_FEATURES]}
+    return {g: r for _, g, r in found}
 
 
 def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, size: int, c: float = 0.1, epochs: int = 30, seed: int = 7) -> np.ndarray:
@@ -122,16 +132,14 @@ def fit(texts: list[str], y: np.ndarray) -> NaiveBayesSVM:
 
     def row(s):
         idx = np.array([0, *(place[g] for g in s if g in place)])
-        # rows have unit length, so long texts don't outweigh short ones
         val = scale[idx]
         return idx, val / np.sqrt(val @ val)
 
     rows = [row(s) for s in fit_sets]
     w = dual_coordinate_descent(rows, np.where(y[~aside] == 1, 1.0, -1.0), len(scale))
-    weights = {g: float(w[i] * scale[i]) for g, i in place.items()}
-    model = NaiveBayesSVM(weights, float(w[0]), 1.0, 0.0)
+    model = NaiveBayesSVM({g: (r, float(w[place[g]])) for g, r in ratios.items()}, float(w[0]), 1.0, 0.0)
     rest = aside if aside.sum() >= 20 else np.ones(len(y), bool)
-    margins = np.array([model.bias + sum(weights.get(g, 0.0) for g in s) for s, a in zip(sets, rest) if a])
+    margins = np.array([model.margin(s) for s, a in zip(sets, rest) if a])
     model.slope, model.offset = platt(margins, (y[rest] == 1).astype(float))
     return model
 
@@ -147,9 +155,11 @@ def quality_scores(docs: DataFrame, model: NaiveBayesSVM, threshold: float = 0.7
     """doc_id, held_out, score, predicted of every row.
 
     Null and empty texts get the score of a text without n-grams. Repeated rows get the
-    same result each. held_out is null where doc_id is. Other columns are ignored.
+    same result each. held_out is null where doc_id is. A score at the threshold itself is
+    predicted 1. Very long texts are scored whole; an empty table gives no rows. Other
+    columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES n-grams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # n-grams of at most 2 * SAMPLE_ROWS texts
 
     def make():
         m = shared.value

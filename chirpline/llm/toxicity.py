@@ -1,8 +1,14 @@
 """Toxicity by a classifier with counterfactual regularisation.
 
-A logistic model over indicators of words and word beginnings is fitted to labelled texts. In their sentences
-identity terms are swapped for others, and the fit is penalised for each change of
-score that a swap makes, so that the mention of a group by itself carries no weight.
+A logistic model over indicators of words and word beginnings is fitted to labelled
+texts. In their sentences identity terms are swapped for others, and the fit is penalised
+for each change of score that a swap makes, so that the mention of a group by itself
+carries no weight.
+
+Terms come from a table of English ones and from the labelled texts themselves: a word
+that toxic texts name more often, but neutral ones name as well, may be swapped for the
+words that stand in the most similar contexts and are about as frequent. Words of toxic
+texts alone are no identity terms and keep their weight.
 """
 
 from __future__ import annotations
@@ -17,11 +23,16 @@ from pyspark.sql import functions as F
 from chirpline.llm.common import crc_fold, map_rows
 from chirpline.llm.linear import labelled_sample, sigmoid
 
-#: At most about so many labelled documents of each class are used to fit.
+#: At most about so many labelled texts of each class are used to fit; this bounds the model.
 SAMPLE_ROWS = 3000
-MAX_FEATURES = 20_000
 MIN_DOCS = 5
-#: Groups of terms that may stand for each other in a sentence (fixed values).
+#: A learned identity term has so many neutral texts at least, leans to the toxic ones by so
+#: many standard errors, and is swapped for so many others whose contexts have this cosine
+#: at least; so many swaps are penalised.
+NEUTRAL, LEANING, PARTNERS, ALIKE, SWAPS = 10, 2.0, 3, 0.25, 20_000
+#: Slots for the words before and after a term.
+CONTEXT = 256
+#: Groups of English terms that may stand for each other in a sentence.
 IDENTITY_TERMS = [
     ["women", "men"],
     ["woman", "man"],
@@ -35,7 +46,6 @@ IDENTITY_TERMS = [
     ["deaf", "blind", "disabled"],
     ["old", "young"],
 ]
-_GROUP = {term: group for group in IDENTITY_TERMS for term in group}
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 
@@ -52,23 +62,56 @@ def features_of(words: set[str]) -> set[str]:
     return out
 
 
-def swaps(text: str) -> list[tuple[set[str], set[str]]]:
+def swap_terms(texts: list[str], y: np.ndarray, groups: list[list[str]] = IDENTITY_TERMS) -> dict[str, list[str]]:
+    """Each identity term and the terms that may replace it: those of its group in the
+    table, or its nearest words among the texts by context and frequency."""
+    out = {t: [o for o in g if o != t] for g in groups for t in g}
+    tokens = [_WORD.findall(t.lower()) for t in texts]
+    names = sorted({w for ws in tokens for w in ws})
+    if not names:
+        return out
+    place = {w: k for k, w in enumerate(names)}
+    rows = [np.array([place[w] for w in ws], np.int64) for ws in tokens]
+    in_toxic, in_neutral = (np.bincount(np.concatenate([np.unique(r) for r, k in zip(rows, y) if (k == 1) == toxic] or [[]]).astype(int), minlength=len(names)) for toxic in (True, False))
+    odds = np.log((in_toxic + 0.5) / (in_neutral + 0.5)) - np.log(((y == 1).sum() + 0.5) / ((y != 1).sum() + 0.5))
+    z = odds / np.sqrt(1 / (in_toxic + 0.5) + 1 / (in_neutral + 0.5))
+    known = np.flatnonzero(in_neutral >= NEUTRAL)
+    if not len(known):
+        return out
+    at = np.full(len(names), -1)
+    at[known] = np.arange(len(known))
+    slots = []
+    for r in rows:
+        second, first = at[r[1:]], at[r[:-1]]
+        slots += [second[second >= 0] * 2 * CONTEXT + r[:-1][second >= 0] % CONTEXT, first[first >= 0] * 2 * CONTEXT + CONTEXT + r[1:][first >= 0] % CONTEXT]
+    context = np.sqrt(np.bincount(np.concatenate(slots), minlength=len(known) * 2 * CONTEXT).reshape(len(known), -1))
+    context /= np.linalg.norm(context, axis=1, keepdims=True) + 1e-9
+    often = np.log(in_neutral[known])
+    for k in np.flatnonzero(z[known] >= LEANING):
+        term = names[known[k]]
+        if term not in out:
+            alike = context @ context[k]
+            near = np.where((alike >= ALIKE) & (z[known] < LEANING), alike - 0.1 * np.abs(often - often[k]), -np.inf)
+            best = np.argsort(-near, kind="stable")[:PARTNERS]
+            out[term] = [names[known[b]] for b in best if np.isfinite(near[b])]
+    return {t: o for t, o in out.items() if o}
+
+
+def swaps(text: str, terms: dict[str, list[str]]) -> list[tuple[set[str], set[str]]]:
     """For each sentence with an identity term and each term that may replace it: the
     features that the swap removes from and adds to the sentence's indicators."""
     out = []
     for sentence in _SENTENCE.split(text):
         words = words_of(sentence)
-        for term in sorted(words & _GROUP.keys()):
-            for other in _GROUP[term]:
-                if other != term and other not in words:
-                    before, after = features_of(words), features_of(words - {term} | {other})
+        for term in sorted(words & terms.keys()):
+            rest = features_of(words - {term})
+            for other in terms[term]:
+                if other not in words:
+                    before, after = features_of({term}) - rest, features_of({other}) - rest
                     out.append((before - after, after - before))
     return out
 
 
-_TERMS = features_of(set(_GROUP))
-
-
 @dataclass
 class ToxicityModel:
     weights: dict[str, float]
@@ -86,9 +129,10 @@ def indicators(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
     return list(index), rows
 
 
-def telling(features: list[str], rows: list[np.ndarray], y: np.ndarray) -> list[int]:
+def telling(features: list[str], rows: list[np.ndarray], y: np.ndarray, terms: set[str]) -> list[int]:
     """Features whose log-odds between the classes lie beyond four standard errors, and all
     features of identity terms in the sample."""
+    of_terms = features_of(terms)
 
     def counts(chosen):
         found = [r for r, c in zip(rows, chosen) if c]
@@ -97,12 +141,12 @@ def telling(features: list[str], rows: list[np.ndarray], y: np.ndarray) -> list[
     (p, n_pos), (q, n_neg) = counts(y == 1), counts(y != 1)
     r = np.log((p + 0.5) * (n_neg - q + 0.5) / ((q + 0.5) * (n_pos - p + 0.5)))
     z = np.abs(r) / np.sqrt(1 / (p + 0.5) + 1 / (q + 0.5) + 1 / (n_pos - p + 0.5) + 1 / (n_neg - q + 0.5))
-    named = np.array([f in _TERMS for f in features], bool)
+    named = np.array([f in of_terms for f in features], bool)
     found = np.flatnonzero((p + q >= MIN_DOCS) & ((z >= 4.0) | named))
-    return sorted(found.tolist(), key=lambda i: (-z[i], features[i]))[:MAX_FEATURES]
+    return sorted(found.tolist(), key=lambda i: (-z[i], features[i]))
 
 
-def fit(texts: list[str], y: np.ndarray, swap_penalty: float = 10.0, ridge: float = 2e-4, prior: float | None = None, steps: int = 400, rate: float = 0.05) -> ToxicityModel:
+def fit(texts: list[str], y: np.ndarray, swap_penalty: float = 10.0, ridge: float = 2e-4, prior: float | None = None, steps: int = 400, rate: float = 0.05, groups: list[list[str]] = IDENTITY_TERMS) -> ToxicityModel:
     """Weights that minimise log loss + ridge * ||w||^2 + swap_penalty * mean squared
     change of the margin over all swaps, by Adam over the whole sample.
 
@@ -112,14 +156,15 @@ def fit(texts: list[str], y: np.ndarray, swap_penalty: float = 10.0, ridge: floa
     if not len(y):
         return ToxicityModel({}, -30.0)
     features, everything = indicators(texts)
-    chosen = telling(features, everything, y)
+    terms = swap_terms(texts, y, groups)
+    chosen = telling(features, everything, y, set(terms))
     vocabulary = {features[i]: k for k, i in enumerate(chosen)}
     place = np.full(len(features), -1)
     place[chosen] = np.arange(len(chosen))
     rows = [place[r][place[r] >= 0] for r in everything]
     idx = np.concatenate(rows).astype(np.int64)
     owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    pairs = [(r, a) for t in texts if not _GROUP.keys().isdisjoint(words_of(t)) for r, a in swaps(t)]
+    pairs = penalised(texts, terms)
     # terms without a place in the sample are swapped for those that have one
     s_idx = np.array([vocabulary[w] for r, a in pairs for w in (*r, *a) if w in vocabulary], np.int64)
     s_own = np.array([k for k, (r, a) in enumerate(pairs) for w in (*r, *a) if w in vocabulary], np.int64)
@@ -144,6 +189,12 @@ def fit(texts: list[str], y: np.ndarray, swap_penalty: float = 10.0, ridge: floa
     return ToxicityModel({t: float(w[i]) for t, i in vocabulary.items()}, float(w[n]))
 
 
+def penalised(texts: list[str], terms: dict[str, list[str]], most: int = SWAPS) -> list[tuple[set[str], set[str]]]:
+    """The swaps of the texts; of more than ``most``, so many drawn at random."""
+    pairs = [p for t in texts for p in swaps(t, terms)]
+    return pairs if len(pairs) <= most else [pairs[k] for k in sorted(np.random.default_rng(17).choice(len(pairs), most, replace=False))]
+
+
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
     """Fit on a bounded sample of rows outside the held-out fold; a text is the only input."""
     known = labels.where(F.col("toxic").isin(0, 1)).where(crc_fold("doc_id", 4) != 2)
@@ -156,9 +207,11 @@ def toxicity_scores(docs: DataFrame, model: ToxicityModel, threshold: float = 0.
     """doc_id, held_out, score, predicted of every row.
 
     Null and empty texts get the score of a text without words. Repeated rows get the
-    same result each; held_out is null where doc_id is. Other columns are ignored.
+    same result each; held_out is null where doc_id is. A score at the threshold itself is
+    predicted 1. Very long texts are scored whole; an empty table gives no rows. Other
+    columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_FEATURES words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # words of at most 2 * SAMPLE_ROWS texts
 
     def make():
         m = shared.value

@@ -9,6 +9,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from chirpline.llm import byte_bpe, decontam, language_id, quality, toxicity, vocab
+from chirpline.llm.linear import labelled_sample
 from tests.llm import cases
 
 
@@ -69,29 +70,104 @@ def test_quality_held_out(spark, data):
     assert quality.quality_scores(cases.frame(spark), none).first()["score"] == 0.5
 
 
-def test_dual_coordinate_descent_separates():
+def test_dual_coordinate_descent_closes_the_gap():
     rng = np.random.default_rng(4)
     x = rng.standard_normal((200, 5))
-    y = np.where(x[:, 0] + 0.5 * x[:, 1] > 0, 1.0, -1.0)
-    w = quality.dual_coordinate_descent([(np.arange(5), r) for r in x], y, 5, c=10.0, epochs=100)
-    assert ((x @ w > 0) == (y > 0)).mean() > 0.97
-
-
-def test_swaps_cost_nothing_after_training():
+    y = np.where(x[:, 0] + 0.5 * x[:, 1] + 0.3 * rng.standard_normal(200) > 0, 1.0, -1.0)
+    w = quality.dual_coordinate_descent([(np.arange(5), r) for r in x], y, 5, c=1.0, epochs=400)
+    assert ((x @ w > 0) == (y > 0)).mean() > 0.85
+    cost = 0.5 / np.array([(y == s).mean() for s in y])
+    primal = lambda v: 0.5 * v @ v + (cost * np.maximum(0, 1 - y * (x @ v))).sum()
+    for _ in range(300):
+        assert primal(w + 0.01 * rng.standard_normal(5)) > primal(w) - 1e-3
+
+
+def test_quality_score_is_the_fitted_function():
+    """The score of any text, short or long, from ratios and weights in plain sums."""
+    rng = random.Random(2)
+    texts = [f"{cases.words(rng, rng.randint(1, 60))} {'GOOD words HERE' if k % 2 else 'bad!!! 12 stuff'} {cases.words(rng, 3)}" for k in range(300)]
+    y = np.array([k % 2 for k in range(300)])
+    model = quality.fit(texts, y)
+    assert model.weights
+    for t in [texts[0], texts[1] * 40, "", "GOOD"]:
+        row = {b"": (1.0, model.bias)} | {g: model.weights[g] for g in quality.ngrams(t) if g in model.weights}
+        norm = np.sqrt(sum(r * r for r, _ in row.values()))
+        margin = sum(r / norm * w for r, w in row.values())
+        assert abs(model.score(t) - 1 / (1 + np.exp(-(model.slope * margin + model.offset)))) < 1e-9
+    ratios = quality.log_count_ratios([quality.ngrams(t) for t in texts], y)
+    g = b"wgood"
+    p, q = (sum(g in quality.ngrams(t) for t, k in zip(texts, y) if k == c) for c in (1, 0))
+    assert abs(ratios[g] - np.log(((p + 1) / 152) / ((q + 1) / 152))) < 1e-9
+
+
+def test_samples_take_copies_once(spark):
+    docs = spark.createDataFrame([(k, "copy" if k < 500 else f"text {k}", "x") for k in range(1000)] + [(None, "n", "x"), (7, None, "x"), (501, "text 501", "x")], "doc_id long, text string, label string")
+    labels = spark.createDataFrame([(k, k % 2, 5) for k in range(1000)] + [(1, None, 5), (2, 7, 5), (3, 1, 5)], "doc_id long, quality int, toxic int")
+    got = labelled_sample(docs, labels, "quality", 10_000).collect()
+    want = {"copy": 1} | {f"text {k}": k % 2 for k in range(500, 1000) if fold(k, 4) != 2}
+    assert {r["text"]: r["label"] for r in got} == want and len(got) == len(want)
+    some = labelled_sample(docs, labels, "quality", 50).collect()
+    assert 60 < len(some) < 140 and {(r["text"], r["label"]) for r in some} <= set(want.items())
+    assert labelled_sample(docs.limit(0), labels, "quality", 5).count() == 0
+
+
+def group_texts(groups):
+    """Toxic texts name the first group more often; neutral ones name both."""
     rng = random.Random(3)
     texts, y = [], []
     for k in range(400):
         toxic = k % 2
-        group = rng.choice(["women", "muslim"]) if toxic or rng.random() < 0.2 else rng.choice(["men", "christian"])
-        texts.append(f"{cases.words(rng, 5)} {group} {'idiot scum' if toxic else 'house garden'} {cases.words(rng, 3)}.")
+        group = rng.choice(groups[0]) if toxic or rng.random() < 0.2 else rng.choice(groups[1])
+        texts.append(f"the {group} had {'idiot scum' if toxic else 'house garden'} {cases.words(rng, 5)}.")
         y.append(toxic)
-    free = toxicity.fit(texts, np.array(y, float), swap_penalty=0.0)
-    fair = toxicity.fit(texts, np.array(y, float))
+    return texts, np.array(y, float)
+
+
+def test_swaps_cost_nothing_after_training():
+    texts, y = group_texts([["women", "muslim"], ["men", "christian"]])
+    free, fair = toxicity.fit(texts, y, swap_penalty=0.0), toxicity.fit(texts, y)
     change = lambda m: abs(m.score("the women met") - m.score("the men met"))
     assert change(free) > 0.05 > change(fair)
     assert fair.score("idiot scum") > 0.5 > fair.score("women in a garden")
 
 
+def test_terms_are_learned_from_the_texts():
+    """Words that no table has, and that toxic texts alone use, are told apart."""
+    texts, y = group_texts([["zorbs"], ["quixes"]])
+    terms = toxicity.swap_terms(texts, y, [])
+    assert "quixes" in terms["zorbs"] and not {"idiot", "scum"} & terms.keys()
+    free, fair = toxicity.fit(texts, y, swap_penalty=0.0, groups=[]), toxicity.fit(texts, y, groups=[])
+    assert free.weights["zorbs"] - free.weights["quixes"] > 10 * abs(fair.weights["zorbs"] - fair.weights["quixes"])
+    assert free.score("the zorbs had a garden") > fair.score("the zorbs had a garden")
+    assert toxicity.swap_terms([], np.array([])) and toxicity.swap_terms(["", "1"], np.array([1.0, 0.0]), []) == {}
+
+
+def test_swaps_match_plain_features():
+    terms = {"men": ["women", "boys"], "old": ["young"]}
+    got = toxicity.swaps("Old men sat. No one else!\nWomen and men", terms)
+    for (before, after), (a, b) in zip(got, [("old men sat", "old women sat"), ("old men sat", "old boys sat"), ("old men sat", "young men sat"), ("women and men", "women and boys")], strict=True):
+        x, y = (toxicity.features_of(toxicity.words_of(t)) for t in (a, b))
+        assert (before, after) == (x - y, y - x)
+
+
+def test_toxicity_fit_is_a_minimum():
+    """The plain objective doesn't fall when any weight is moved."""
+    texts, y = group_texts([["women"], ["men"]])
+    model = toxicity.fit(texts, y, steps=1500, rate=0.02)
+    rows = [toxicity.features_of(toxicity.words_of(t)) for t in texts]
+    pairs = toxicity.penalised(texts, toxicity.swap_terms(texts, y))
+
+    def loss(w, bias):
+        z = np.array([bias + sum(w.get(f, 0.0) for f in r) for r in rows])
+        change = np.array([sum(w.get(f, 0.0) for f in a) - sum(w.get(f, 0.0) for f in r) for r, a in pairs])
+        return np.mean(np.logaddexp(0, z) - y * z) + 2e-4 * sum(v * v for v in w.values()) + 10.0 * np.mean(change**2)
+
+    least = loss(model.weights, model.bias)
+    for f in [*sorted(model.weights)[:25], "women", "men", "idiot"]:
+        for step in (-0.05, 0.05):
+            assert loss(model.weights | {f: model.weights[f] + step}, model.bias) > least - 1e-5
+
+
 def test_toxicity_held_out(spark, data):
     d = data.replace("0.001", "0.01")
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
