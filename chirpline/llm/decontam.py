@@ -12,15 +12,17 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chirpline.llm.common import filter_rows, map_rows
+from chirpline.llm.common import filter_rows, fresh, map_rows
 
 WINDOW = 13
-#: Characters of benchmark text in one set of tables. More text is searched in blocks.
+#: Characters of benchmark text in one set of tables. More text is searched in blocks, one
+#: pass over the documents for each.
 BLOCK_CHARS = 8_000_000
 
 #: A-Z to small letters; the ASCII bytes that are no letter or digit to spaces.
@@ -94,37 +96,81 @@ def covered(spans: list[tuple[int, int]]) -> int:
     return sum(e - s for s, e in merged(spans))
 
 
-def searcher(shared: list) -> Callable[[list[list[bytes]]], list[tuple[list, set]]]:
-    """Spans and items of each text of a batch over all broadcast blocks.
+def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[str, str]]]:
+    """Whole items as text, in blocks of about ``block_chars`` characters at most, one by one.
 
-    With one block its tables are built once in a task; with more, one block's tables
-    are in memory at a time.
+    The benchmark is the stated query set of this search; its size is measured first, and
+    the number of blocks follows from it.
     """
-    built = tables(shared[0].value) if len(shared) == 1 else None
+    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("string").alias("item"), "text").distinct()
+    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    n = int(chars // block_chars) + 1
+    for k in range(n):
+        yield [(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toLocalIterator()]
 
-    def hits(texts):
-        out = [([], set()) for _ in texts]
-        for b in shared:
-            t = built or tables(b.value)
-            for words, (spans, items) in zip(texts, out):
-                found, its = search(words, t)
-                spans += found
-                items |= its
-        return out
 
-    return hits
+def broadcast_blocks(benchmark: DataFrame, block_chars: int) -> list:
+    """One broadcast for each block. The driver holds one block at a time; a task that
+    searches for a block loads that one and builds its tables once."""
+    return [benchmark.sparkSession.sparkContext.broadcast(b) for b in benchmark_blocks(benchmark, block_chars)]
 
 
-def benchmark_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[list[tuple[str, str]]]:
-    """Whole items as text, in blocks that are broadcast one by one.
+def _result(words: list[bytes], spans: list[tuple[int, int]], items: Iterable[str]) -> tuple:
+    names = sorted(items)
+    return len(words), covered(spans), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), names
 
-    The benchmark is the stated query set of this search; its size is measured first, and
-    the number of blocks follows from it.
+
+RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, items array<string>"
+CONTAMINATED = "n_hit > 0 and 20 * n_hit >= n_words"
+
+
+def text_keys() -> tuple[Column, Column]:
+    """128 bits of hash of the text, or null."""
+    return F.when(F.col("text").isNotNull(), F.xxhash64("text")), F.when(F.col("text").isNotNull(), F.xxhash64("text", F.lit(1)))
+
+
+def hit_texts(docs: DataFrame, shared: list) -> DataFrame:
+    """(k1, k2) and the result for each text in which an item of any block occurs.
+
+    Every block is one pass over the documents, in tasks of its own, and gives the spans
+    of the few texts that it hits; the spans of a text are then merged over the blocks.
     """
-    items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("string").alias("item"), "text").distinct()
-    chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    n = int(chars // block_chars) + 1
-    return [[(r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k).toLocalIterator()] for k in range(n)]
+    k1, k2 = text_keys()
+    rows = docs.select(k1.alias("k1"), k2.alias("k2"), "text").where("text is not null")
+
+    def search_for(block):
+        def make():
+            found = tables(block.value)
+
+            def work(c):
+                out = {k: [] for k in ("k1", "k2", "n_words", "spans", "items")}
+                for a, b, text in zip(c["k1"], c["k2"], c["text"]):
+                    words = words_of(text)
+                    spans, items = search(words, found)
+                    if items:
+                        for k, v in zip(out, (a, b, len(words), [x for s in spans for x in s], sorted(items))):
+                            out[k].append(v)
+                return out
+
+            return work
+
+        return map_rows(rows, make, "k1 long, k2 long, n_words int, spans array<int>, items array<string>").dropDuplicates(["k1", "k2"])
+
+    parts = reduce(DataFrame.unionByName, map(search_for, shared))
+    texts = parts.groupBy("k1", "k2").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+
+    def finish():
+        def work(c):
+            out = {k: [] for k in ("k1", "k2", "n_words", "n_hit", "n_items", "items_sha256", "items")}
+            for a, b, n, flat, items in zip(*(c[k] for k in ("k1", "k2", "n_words", "spans", "items"))):
+                found = _result([], list(zip(flat[::2], flat[1::2])), set(items))
+                for k, v in zip(out, (a, b, n, *found[1:])):
+                    out[k].append(v)
+            return out
+
+        return work
+
+    return map_rows(texts, finish, f"k1 long, k2 long, {RESULT}")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -132,42 +178,57 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOC
 
     A word inside an occurrence of a window is hit; a document is contaminated if hit
     words are at least a twentieth of it. Null and empty texts have no words and are
-    clean. A null item_id or item text has no window; an empty benchmark hits nothing.
-    Repeated rows get the same result each. Other columns are ignored.
+    clean. A null item_id or item text has no window; an empty benchmark hits nothing, and
+    an empty table gives no rows. Very long texts are searched whole. Repeated rows get the
+    same result each. Other columns are ignored.
     """
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(b) for b in benchmark_blocks(benchmark, block_chars)]
+    rows_in = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    shared = broadcast_blocks(benchmark, block_chars)
+    first = shared[0] if len(shared) == 1 else None
 
     def make():
-        hits = searcher(shared)
+        found = tables(first.value) if first else []
 
         def work(c):
-            out = {k: [] for k in ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "items")}
-            texts = [words_of(t) for t in c["text"]]
-            for doc_id, words, (spans, items) in zip(c["doc_id"], texts, hits(texts)):
-                names = sorted(items)
-                values = (doc_id, len(words), covered(spans), len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), names)
-                for k, v in zip(out, values):
+            out = {k: [] for k in ("doc_id", *c.keys() - {"doc_id", "text"}, "n_words", "n_hit", "n_items", "items_sha256", "items")}
+            for k in c.keys() - {"text"}:
+                out[k] = c[k]
+            for words in map(words_of, c["text"]):
+                for k, v in zip(("n_words", "n_hit", "n_items", "items_sha256", "items"), _result(words, *search(words, found))):
                     out[k].append(v)
             return out
 
         return work
 
-    rows = map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), make, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, items array<string>")
-    return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    if first:
+        rows = map_rows(rows_in, make, f"doc_id long, {RESULT}")
+    else:
+        k1, k2 = text_keys()
+        rows = map_rows(rows_in.select("doc_id", k1.alias("k1"), k2.alias("k2"), "text"), make, f"doc_id long, k1 long, k2 long, {RESULT}")
+        hits = hit_texts(docs, shared).select("k1", "k2", F.struct("n_words", "n_hit", "n_items", "items_sha256", "items").alias("hit"))
+        names = ("n_words", "n_hit", "n_items", "items_sha256", "items")
+        rows = rows.join(hits, ["k1", "k2"], "left").select("doc_id", *[F.when(F.col("hit").isNotNull(), F.col(f"hit.{c}")).otherwise(F.col(c)).alias(c) for c in names])
+    return rows.withColumn("contaminated", F.expr(CONTAMINATED))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, with all their columns, that are not contaminated."""
-    sc = docs.sparkSession.sparkContext
-    shared = [sc.broadcast(b) for b in benchmark_blocks(benchmark, block_chars)]
+    shared = broadcast_blocks(benchmark, block_chars)
+    if len(shared) > 1:
+        a, b = fresh(docs, "hit_k1"), fresh(docs, "hit_k2")
+        k1, k2 = text_keys()
+        bad = hit_texts(docs, shared).where(CONTAMINATED).select(F.col("k1").alias(a), F.col("k2").alias(b))
+        return docs.join(bad, (k1 == F.col(a)) & (k2 == F.col(b)), "left_anti")
 
     def make():
-        hits = searcher(shared)
+        found = tables(shared[0].value)
 
         def keep(texts):
-            words = [words_of(t) for t in texts]
-            return [not (n > 0 and 20 * n >= len(w)) for w, (sp, _) in zip(words, hits(words)) for n in [covered(sp)]]
+            out = []
+            for words in map(words_of, texts):
+                n = covered(search(words, found)[0])
+                out.append(not (n > 0 and 20 * n >= len(words)))
+            return out
 
         return keep
 

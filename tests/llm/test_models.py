@@ -203,7 +203,7 @@ def test_contamination_matches_plain(spark):
     texts = [f"{cases.words(rng, 30)}, {items[0][1].upper()}! {cases.words(rng, 5)}", items[1][1], " ".join(items[0][1].split()[3:20]), items[2][1] + " x", "Éa b c 12 éa B.C 12", "aa bb " * 40, cases.words(rng, 400) + " " + items[3][1], None, "", items[4][1] + "\n" + items[1][1]]
     docs = spark.createDataFrame([(k, t, "q") for k, t in enumerate(texts)] + [(0, texts[0], "q"), (None, "x", "q")], "doc_id long, text string, items string")
     bench = spark.createDataFrame(items + [(10, "")], "item_id long, text string")
-    for block in (decontam.BLOCK_CHARS, 100):
+    for block in (decontam.BLOCK_CHARS, 400, 20):  # 1, 2 and some 40 blocks
         got = decontam.contamination(docs, bench, block).collect()
         assert len(got) == docs.count()
         for r in got:
