@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -141,28 +142,37 @@ class Navigation:
 
     def zoom(self, factor: float, centre: float | None = None) -> Navigation:
         v = self.view
-        start, end = _scaled(v.start, v.end, 0.0, self.seconds, self.least, self.most, factor, centre)
+        start, end = _scaled(v.start, v.end, (0.0, self.seconds), (self.least, self.most), factor, centre)
         return replace(self, view=replace(v, start=start, end=end))
 
     def zoom_hz(self, factor: float, centre: float | None = None) -> Navigation:
         v = self.view
-        low, high = _scaled(v.low_hz, v.high_hz, 0.0, self.nyquist, self.least_hz, self.nyquist, factor, centre)
+        low, high = _scaled(v.low_hz, v.high_hz, (0.0, self.nyquist), (self.least_hz, self.nyquist), factor, centre)
         return replace(self, view=replace(v, low_hz=low, high_hz=high))
 
     def zoom_both(self, factor: float, time: float | None = None, hz: float | None = None) -> Navigation:
         return self.zoom(factor, time).zoom_hz(factor, hz)
 
 
-def _scaled(low: float, high: float, bound_low: float, bound_high: float, least: float, most: float, factor: float, centre: float | None) -> tuple[float, float]:
-    """A range scaled about a centre (its middle) within spans and bounds."""
-    now = high - low
-    if not (factor > 0 and math.isfinite(factor) and bound_high > bound_low):
-        return low, high
-    top = min(most, bound_high - bound_low)
-    span = min(max(now * factor, min(least, top)), top)
-    if abs(span - now) < 1e-9:
+def rescaled(low, high, bound_low, bound_high, share, factor, shortest, longest, least: Callable = min, greatest: Callable = max):
+    """Both ends of a range whose span is scaled, with the point at ``share`` of it fixed.
+
+    The new span lies between the shortest and the longest, which the bounds limit, and a
+    range that overhangs a bound is shifted by the overhang. Ends are numbers, or columns
+    with ``least`` and ``greatest`` to match.
+    """
+    old = high - low
+    span = least(greatest(old * factor, shortest), longest, bound_high - bound_low)
+    start = low + share * (old - span)
+    start = start - greatest(start + span - bound_high, start * 0) + greatest(bound_low - start, start * 0)
+    return start, start + span
+
+
+def _scaled(low: float, high: float, bounds: tuple[float, float], spans: tuple[float, float], factor: float, centre: float | None) -> tuple[float, float]:
+    """``rescaled`` about a centre, by default the middle; the same range if the arguments
+    make no sense or nothing would change."""
+    if not 0 < factor < math.inf or bounds[0] >= bounds[1]:
         return low, high
-    centre = (low + high) / 2 if centre is None else centre
-    ratio = (centre - low) / now if now > 0 else 0.5
-    to = min(max(centre - span * ratio, bound_low), max(bound_low, bound_high - span))
-    return to, to + span
+    share = 0.5 if centre is None or high <= low else (centre - low) / (high - low)
+    new = rescaled(low, high, *bounds, share, factor, *spans)
+    return (low, high) if abs(new[1] - new[0] - (high - low)) < 1e-9 else new

@@ -123,11 +123,9 @@ def frequency_ticks(low: float, high: float, height: float, scale: str = "linear
 
     if scale == "log":
         a, b = math.log10(max(1.0, low)), math.log10(max(1.0, high))
-        decades = [m * 10**e for e in range(1, 5) for m in range(1, 10)]
-        inside = [f for f in decades if low <= f <= min(high, 50_000)]
-        labelled = [f for f in inside if str(f)[0] in "125" and f <= 20_000]
-        major = apart(labelled, spacing * 0.75, lambda f: (1 - (math.log10(f) - a) / (b - a)) * height)
-        return major, [f for f in inside if f not in major]
+        within = lambda mantissas, top: [m * 10**e for e in range(1, 5) for m in mantissas if low <= m * 10**e <= min(high, top)]
+        major = apart(within((1, 2, 5), 20_000), spacing * 0.75, lambda f: (1 - (math.log10(f) - a) / (b - a)) * height)
+        return major, [f for f in within(range(1, 10), 50_000) if f not in major]
     mel = lambda f: 2595 * math.log10(1 + f / 700)
     a, b = mel(low), mel(high)
     return apart([f for f in MEL_TICKS if low <= f <= high], spacing, lambda f: (1 - (mel(f) - a) / (b - a)) * height), []

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 #: Anchors (place, red, green, blue) of the maps (fixed values).
@@ -31,7 +32,7 @@ def js_round(x: float) -> int:
 
 
 def parse_colour(text: str) -> tuple[int, int, int, int]:
-    """#rgb, #rgba, #rrggbb, #rrggbbaa, rgb(), rgba() or 'transparent'."""
+    """#rgb, #rgba, #rrggbb, #rrggbbaa, rgb(), rgba() or 'transparent'; channels stop at 255."""
     text = text.strip()
     if text.lower() == "transparent":
         return 0, 0, 0, 0
@@ -40,8 +41,8 @@ def parse_colour(text: str) -> tuple[int, int, int, int]:
         parts = [int(h[i : i + 2], 16) for i in range(0, len(h), 2)]
         return tuple([*parts, 255][:4])
     if m := _RGB.fullmatch(text):
-        r, g, b = (js_round(float(v)) for v in m.groups()[:3])
-        return r, g, b, 255 if m[4] is None else js_round(float(m[4]) * 255)
+        levels = [float(v) for v in m.groups()[:3]] + [255 * float(m[4] or 1)]
+        return tuple(min(255, max(0, js_round(v))) for v in levels)
     raise ValueError(f"no colour: {text}")
 
 
@@ -59,18 +60,13 @@ def stops_of(name: str) -> list[tuple[float, int, int, int]]:
 
 def colour_map(name: str = "viridis", points: list[tuple[float, str]] | None = None, gamma: float = 1.0, contrast: float = 1.0, brightness: float = 0.0) -> list[tuple[int, int, int, int]]:
     """256 colours between anchors or given points, then gamma, contrast and brightness."""
-    stops = sorted((at, *parse_colour(c)[:3]) for at, c in points) if points else stops_of(name)
-
-    def at(i: int) -> tuple[int, int, int, int]:
-        p = i / 255
-        high = next((s for s in stops if s[0] >= p), stops[-1])
-        low = next((s for s in reversed(stops) if s[0] <= p), stops[0])
-        t = (p - low[0]) / ((high[0] - low[0]) or 1)
-        mixed = (js_round(a + (b - a) * t) for a, b in zip(low[1:], high[1:]))
-        tuned = ((min(1.0, max(0.0, c / 255)) ** gamma - 0.5) * contrast + 0.5 + brightness for c in mixed)
-        return (*(js_round(min(1.0, max(0.0, c)) * 255) for c in tuned), 255)
-
-    return [at(i) for i in range(256)]
+    stops = np.array(sorted((at, *parse_colour(c)[:3]) for at, c in points) if points else stops_of(name), float)
+    places = np.arange(256) / 255
+    level = np.stack([np.interp(places, stops[:, 0], channel) for channel in stops[:, 1:].T])
+    level = np.clip(np.floor(level + 0.5) / 255, 0, 1) ** gamma
+    level = np.clip((level - 0.5) * contrast + 0.5 + brightness, 0, 1)
+    whole = np.floor(level * 255 + 0.5).astype(int)
+    return [(*map(int, rgb), 255) for rgb in whole.T]
 
 
 def colour_table(spark: SparkSession, *args, **kwargs) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from chirpline.config import ValueScale, Viewport
+from chirpline.config import ValueScale, Viewport, rescaled
 
 #: The least magnitude that has a level of its own: -240 dB.
 LEAST = 1e-12
@@ -121,13 +121,10 @@ def panned(low: Column, high: Column, bound_low: Column, bound_high: Column, del
 def zoomed(low: Column, high: Column, bound_low: Column, bound_high: Column, centre: Column, factor: Column, least: Column, most: Column) -> tuple[Column, Column]:
     """A range scaled about ``centre`` within spans and bounds; unchanged if nothing would
     change or an argument is out of order."""
-    now, total = high - low, bound_high - bound_low
-    top = F.least(most, total)
-    span = F.least(F.greatest(now * factor, F.least(least, top)), top)
-    ratio = F.when(now <= 0, F.lit(0.5)).otherwise((centre - low) / F.when(now > 0, now))
-    to = F.least(F.greatest(centre - span * ratio, bound_low), F.greatest(bound_low, bound_high - span))
-    changes = (factor > 0) & (total > 0) & (F.abs(span - now) >= 1e-9)
-    return F.when(changes, to).otherwise(low), F.when(changes, to + span).otherwise(high)
+    share = F.when(high > low, (centre - low) / (high - low)).otherwise(0.5)
+    start, end = rescaled(low, high, bound_low, bound_high, share, factor, least, most, F.least, F.greatest)
+    changes = (factor > 0) & (bound_high > bound_low) & (F.abs((end - start) - (high - low)) >= 1e-9)
+    return F.when(changes, start).otherwise(low), F.when(changes, end).otherwise(high)
 
 
 def moved_inside(start: Column, end: Column, low: Column, high: Column) -> tuple[Column, Column]:

@@ -9,14 +9,14 @@ from chirpline.plans.tiles import tile_at, tile_plan, tile_states, total_frames
 from chirpline.queries.registry import EV, events, query, r, table
 from chirpline.sources import signals
 
-CFG = Stft(256, 256, 64, tile_cells=128 * 8)
+CFG = Stft(64, 64, 16, tile_cells=32 * 8)
 TOTAL = 1000
 
-_TILES = """tile, tile * 8 as first_frame, least(8, total - tile * 8) as n_frames, tile * 512 as n_start, (tile * 8 + least(8, total - tile * 8) - 1) * 64 + 256 as n_end"""
+_TILES = """tile, tile * 8 as first_frame, least(8, total - tile * 8) as n_frames, tile * 128 as n_start, (tile * 8 + least(8, total - tile * 8) - 1) * 16 + 64 as n_end"""
 
 
 @query(
-    f"""with {EV}, c as (select source_id, greatest(0, floor((max(n) + 1 - 256) / 64.0) + 1)::bigint as total from ev group by 1)
+    f"""with {EV}, c as (select source_id, greatest(0, floor((max(n) + 1 - 64) / 16.0) + 1)::bigint as total from ev group by 1)
 select source_id, {_TILES.replace('tile,', 'tile as tile_idx,')} from c, unnest(range(0, (total + 7) // 8)) u(tile) where total > 0"""
 )
 def tile_plan_full(spark, sf_dir):
@@ -26,7 +26,7 @@ def tile_plan_full(spark, sf_dir):
 
 @query(
     f"""with v as (select o_orderkey, 1000 as total, (o_orderkey % 60000)::double as t0, (o_orderkey % 60000 + 50 + o_custkey % 900)::double as t1 from orders),
-s as (select *, greatest(0, floor((t0 - 128) / 64))::bigint as f0 from v), e as (select *, least(total, greatest(f0 + 1, ceil((t1 - 128) / 64)::bigint)) as f1 from s)
+s as (select *, greatest(0, floor((t0 - 32) / 16))::bigint as f0 from v), e as (select *, least(total, greatest(f0 + 1, ceil((t1 - 32) / 16)::bigint)) as f1 from s)
 select o_orderkey, {_TILES.replace('tile,', 'tile as tile_idx,')} from e, unnest(range(f0 // 8, (f1 - 1) // 8 + 1)) u(tile) where f1 > f0"""
 )
 def tile_plan_viewport(spark, sf_dir):
@@ -34,13 +34,13 @@ def tile_plan_viewport(spark, sf_dir):
     return tile_plan(views, F.col("t0"), F.col("t1"), 1.0, F.lit(TOTAL), CFG).drop("t0", "t1")
 
 
-@query("select o_orderkey, floor(greatest(0, least(999, floor((o_totalprice / 10 - 128) / 64 + 0.5))) / 8)::bigint as tile_idx from orders")
+@query("select o_orderkey, floor(greatest(0, least(999, floor((o_totalprice / 10 - 32) / 16 + 0.5))) / 8)::bigint as tile_idx from orders")
 def tile_for_time(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", tile_at(F.col("o_totalprice") / 10, 1.0, F.lit(TOTAL), CFG).alias("tile_idx"))
 
 
 @query(
-    f"""with {EV}, c as (select source_id, greatest(0, floor((max(n) + 1 - 256) / 64.0) + 1)::bigint as total from ev group by 1)
+    f"""with {EV}, c as (select source_id, greatest(0, floor((max(n) + 1 - 64) / 16.0) + 1)::bigint as total from ev group by 1)
 select source_id, tile as tile_idx, case when tile % 3 = 0 then 'computed' else 'uncomputed' end as state from c, unnest(range(0, (total + 7) // 8)) u(tile)"""
 )
 def tile_state(spark, sf_dir):

@@ -66,10 +66,10 @@ def stft_tiled_events(spark, sf_dir):
     return op.by_bin(fr).select("source_id", "frame_idx", "bin", r("mag", 5).alias("mag"))
 
 
-LONG = Stft(256, 256, 64)
+LONG = Stft(64, 64, 16)
 
 
-@query(f"with {EV}, c as (select source_id, max(n) + 1 as n_samples from ev group by 1) select source_id, n_samples, greatest(0, floor((n_samples - 256) / 64.0) + 1)::bigint as frame_count from c")
+@query(f"with {EV}, c as (select source_id, max(n) + 1 as n_samples from ev group by 1) select source_id, n_samples, greatest(0, floor((n_samples - 64) / 16.0) + 1)::bigint as frame_count from c")
 def frame_count(spark, sf_dir):
     sizes = lengths(chunked(events(spark, sf_dir)))
     return sizes.select("source_id", "n_samples", total_frames(F.col("n_samples"), LONG).alias("frame_count"))
@@ -81,8 +81,8 @@ def frame_times(spark, sf_dir):
 
 
 @query(
-    f"""with {EV}, f as (select source_id, x, k from ev, unnest(range(greatest(0, ceil((n - 255) / 64.0)::bigint), floor(n / 64.0)::bigint + 1)) u(k))
-select source_id, k as frame_idx, count(*) as n_in, round(sum(x), 4) as sum_x, min(x) as low, max(x) as high from f group by 1, 2 having count(*) = 256"""
+    f"""with {EV}, f as (select source_id, x, k from ev, unnest(range(greatest(0, ceil((n - 63) / 16.0)::bigint), floor(n / 16.0)::bigint + 1)) u(k))
+select source_id, k as frame_idx, count(*) as n_in, round(sum(x), 4) as sum_x, min(x) as low, max(x) as high from f group by 1, 2 having count(*) = 64"""
 )
 def frames_hopping_events(spark, sf_dir):
     framed = op.hopping_frames(events(spark, sf_dir), LONG)
