@@ -95,13 +95,15 @@ def similar_links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     many = open_rows.where(F.col("members") > large).select("id", "n", "only", "part").distinct()
     rare = by_rare_elements(elements(wanted.join(many.select("id"), "id", "left_semi")), threshold)
     met = written(rare.join(many.join(sketches, "id"), "id"))
-    pairs = pairs.unionByName(met.alias("x").join(met.alias("y"), (F.col("x.element") == F.col("y.element")) & apart_yet).select(*pair)).distinct()
+    first = F.array_min(F.array_intersect("x.rare", "y.rare")) == F.col("x.element")  # of the rare elements that they share
+    pairs = pairs.unionByName(met.alias("x").join(met.alias("y"), (F.col("x.element") == F.col("y.element")) & apart_yet & first).select(*pair)).distinct()
     second = confirm(written(pairs), texts)
     return written(first.unionByName(second))
 
 
 def by_rare_elements(sets: DataFrame, threshold: float) -> DataFrame:
-    """(id, element) for the rarest elements of each (id, elements).
+    """(id, element, rare) for the rarest elements of each (id, elements) that other sets
+    have too; rare is the array of them.
 
     Two sets of at least the similarity share ceil(threshold * n) elements of the one with
     n, so if all sets order their elements alike, the first n - ceil(threshold * n) + 1 of
@@ -111,7 +113,8 @@ def by_rare_elements(sets: DataFrame, threshold: float) -> DataFrame:
     known = written(rows.groupBy("element").agg(F.count(F.lit(1)).alias("sets")))
     ranked = rows.join(known.hint("merge"), "element").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("sets", "element"))).alias("order"))
     first = F.size("order") - F.ceil(F.size("order") * F.lit(threshold - 1e-9)).cast("int") + 1
-    return ranked.select("id", F.explode(F.slice("order", F.lit(1), first)["element"]).alias("element"))
+    rare = F.filter(F.slice("order", F.lit(1), first), lambda e: e["sets"] > 1)["element"]
+    return ranked.select("id", rare.alias("rare")).select("id", F.explode("rare").alias("element"), "rare")
 
 
 def components(links: DataFrame) -> DataFrame:
