@@ -95,8 +95,8 @@ def similar_links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     many = open_rows.where(F.col("members") > large).select("id", "n", "only", "part").distinct()
     rare = by_rare_elements(elements(wanted.join(many.select("id"), "id", "left_semi")), threshold)
     met = written(rare.join(many.join(sketches, "id"), "id"))
-    first = F.array_min(F.array_intersect("x.rare", "y.rare")) == F.col("x.element")  # of the rare elements that they share
-    pairs = pairs.unionByName(met.alias("x").join(met.alias("y"), (F.col("x.element") == F.col("y.element")) & apart_yet & first).select(*pair)).distinct()
+    at_first = F.array_min(F.array_intersect("x.rare", "y.rare")) == F.col("x.element")  # of the rare elements that they share
+    pairs = pairs.unionByName(met.alias("x").join(met.alias("y"), (F.col("x.element") == F.col("y.element")) & apart_yet & at_first).select(*pair)).distinct()
     second = confirm(written(pairs), texts)
     return written(first.unionByName(second))
 
