@@ -15,12 +15,12 @@ from chirpline.operators.lookup import bilinear, frame_counts
 CHARSET = " .:-=+*#%@"
 
 
-def pixel_positions(frames: DataFrame, rate: float, cfg: Stft, view: Viewport, width: int, height: int, scale: str = "linear") -> DataFrame:
+def pixel_positions(frames: DataFrame, rate: float, cfg: Stft, view: Viewport, width: int, height: int, scale: str = "linear", sizes: DataFrame | None = None) -> DataFrame:
     """(source_id, channel, x, y, frame_pos, bin_pos) of the pixel centres inside each signal.
 
     Pixels are generated from each signal's own row; there is no product of tables.
     """
-    grid = frame_counts(frames).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    grid = (frame_counts(frames) if sizes is None else sizes).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
     t = F.lit(view.start) + (F.col("x") + 0.5) / width * (view.end - view.start)
     grid = grid.withColumn("frame_pos", (t * rate - cfg.window_size / 2) / cfg.hop).where("frame_pos >= 0 and frame_pos <= __total")
     grid = grid.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
@@ -28,16 +28,25 @@ def pixel_positions(frames: DataFrame, rate: float, cfg: Stft, view: Viewport, w
     return grid.select("source_id", "channel", "x", "y", "frame_pos", (hz * cfg.fft_size / rate).alias("bin_pos"))
 
 
-def values_at(positions: DataFrame, frames: DataFrame, cfg: Stft, mode: str) -> DataFrame:
+def values_at(positions: DataFrame, frames: DataFrame, cfg: Stft, mode: str, sizes: DataFrame | None = None) -> DataFrame:
     """Values between frames and bins, interpolated in the units of the mode."""
     shown = frames.withColumn("mag", F.transform("mag", lambda m: in_mode(m, mode)))
-    return bilinear(positions, shown, cfg.bins)
+    return bilinear(positions, shown, cfg.bins, sizes)
 
 
-def raster(frames: DataFrame, colours: DataFrame, rate: float, cfg: Stft, view: Viewport, width: int, height: int, show: ValueScale, scale: str = "linear") -> DataFrame:
-    """(source_id, channel, x, y, r, g, b, a). ``colours`` has 256 rows and is broadcast."""
-    values = values_at(pixel_positions(frames, rate, cfg, view, width, height, scale), frames, cfg, show.mode)
-    placed = values.withColumn("idx", as_byte(normalized(F.col("value"), show)))
+def raster(frames: DataFrame, colours: DataFrame, rate: float, cfg: Stft, view: Viewport, width: int, height: int, show: ValueScale, scale: str = "linear", sizes: DataFrame | None = None, interp: str = "value") -> DataFrame:
+    """(source_id, channel, x, y, r, g, b, a). ``colours`` has 256 rows and is broadcast.
+
+    With interp "quantized" values are normalised and rounded to bytes first, as a texture
+    holds them, and then interpolated; the lowest bin is blank (0).
+    """
+    at = pixel_positions(frames, rate, cfg, view, width, height, scale, sizes)
+    if interp == "quantized":
+        blank = lambda m, k: F.when(k == 0, F.lit(0.0)).otherwise(as_byte(normalized(in_mode(m, show.mode), show)).cast("double"))
+        level = bilinear(at, frames.withColumn("mag", F.transform("mag", blank)), cfg.bins, sizes)
+        placed = level.withColumn("idx", F.floor(F.col("value") + 0.5).cast("int"))
+    else:
+        placed = values_at(at, frames, cfg, show.mode, sizes).withColumn("idx", as_byte(normalized(F.col("value"), show)))
     return placed.join(F.broadcast(colours), "idx").select("source_id", "channel", "x", "y", "r", "g", "b", "a")
 
 
@@ -47,20 +56,20 @@ def hatched(pixels: DataFrame, painted: DataFrame) -> DataFrame:
     return missing.withColumn("stripe", (F.col("x") + F.col("y")) % 12 < 2)
 
 
-def ascii_rows(frames: DataFrame, rate: float, cfg: Stft, view: Viewport, columns: int, rows: int, show: ValueScale, scale: str = "linear", charset: str = CHARSET, invert: bool = False) -> DataFrame:
+def ascii_rows(frames: DataFrame, rate: float, cfg: Stft, view: Viewport, columns: int, rows: int, show: ValueScale, scale: str = "linear", charset: str = CHARSET, invert: bool = False, sizes: DataFrame | None = None) -> DataFrame:
     """(source_id, channel, row, line): the spectrogram in characters.
 
     Columns lie on a grid of absolute time, so text moves with the signal.
     """
     wide = view.seconds / columns
     first, last = math.floor((view.start - wide) / wide), math.ceil((view.end + wide) / wide)
-    grid = frame_counts(frames).withColumn("col", F.explode(F.sequence(F.lit(first), F.lit(last))))
+    grid = (frame_counts(frames) if sizes is None else sizes).withColumn("col", F.explode(F.sequence(F.lit(first), F.lit(last))))
     centre = (F.col("col") + 0.5) * wide
     left = (F.col("col") * wide - view.start) / wide
     grid = grid.withColumn("frame_pos", (centre * rate - cfg.window_size / 2) / cfg.hop)
     grid = grid.where((F.col("frame_pos") >= 0) & (F.col("frame_pos") <= F.col("__total")) & (left >= -1) & (left <= columns)).withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(rows - 1))))
     hz = hz_at(F.col("row") + 0.5, F.lit(rows), F.lit(view.low_hz), F.lit(view.high_hz), scale)
-    values = values_at(grid.select("source_id", "channel", "col", "row", "frame_pos", (hz * cfg.fft_size / rate).alias("bin_pos")), frames, cfg, show.mode)
+    values = values_at(grid.select("source_id", "channel", "col", "row", "frame_pos", (hz * cfg.fft_size / rate).alias("bin_pos")), frames, cfg, show.mode, sizes)
     level = normalized(F.col("value"), show)
     level = 1 - level if invert else level
     at = F.greatest(F.lit(0), F.least(F.lit(len(charset) - 1), F.floor(level * len(charset)))).cast("int")

@@ -69,16 +69,19 @@ def tiled(chunks: DataFrame, cfg: Stft) -> DataFrame:
     return grouped.select("source_id", "channel", "tile_idx", F.flatten(F.transform("p", lambda s: s["piece"])).alias("x"))
 
 
-def stft(chunks: DataFrame, cfg: Stft, tiles: tuple[int, int] | None = None, kernel: Kernel = spectra) -> DataFrame:
+def stft(chunks: DataFrame, cfg: Stft, tiles: tuple[int, int] | None = None, kernel: Kernel = spectra, wanted: DataFrame | None = None) -> DataFrame:
     """(source_id, channel, tile_idx, frame_idx, mag) of chunked signals.
 
     ``tiles`` (first, last) restricts the work before the Python stage, since filters
-    aren't pushed below it: chunks that no wanted tile needs aren't read.
+    aren't pushed below it: chunks that no wanted tile needs aren't read. ``wanted``
+    (source_id, channel, tile_idx) restricts it to single tiles.
     """
     if tiles:
         low, high = tiles
         chunks = chunks.where((F.col("n0") + F.size("x") > low * cfg.tile_hop) & (F.col("n0") < high * cfg.tile_hop + cfg.tile_span))
     rows = tiled(chunks, cfg)
+    if wanted is not None:
+        rows = rows.join(wanted.select("source_id", "channel", "tile_idx").distinct(), ["source_id", "channel", "tile_idx"], "left_semi")
     return _frames_of(rows.where(F.col("tile_idx").between(*tiles)) if tiles else rows, cfg, kernel)
 
 

@@ -39,9 +39,14 @@ def _one(frames: DataFrame, transform: Transform, cfg: Stft) -> DataFrame:
     first, last = F.greatest(F.lit(0), F.floor((F.col("frame_idx") - halo) / per)), F.floor((F.col("frame_idx") + halo) / per)
     sent = frames.withColumn("tile", F.explode(F.sequence(first, last)))
     by = sent.groupBy("source_id", "channel", F.col("tile").alias("tile_idx")).agg(F.array_sort(F.collect_list(F.struct("frame_idx", "mag"))).alias("fs"))
-    placed = by.select("source_id", "channel", "tile_idx", "fs", F.posexplode("fs").alias("at", "f")).where(F.floor(F.col("f.frame_idx") / per) == F.col("tile_idx"))
-    neighbour = lambda k: F.get("fs", F.greatest(F.lit(0), F.least(F.size("fs") - 1, F.col("at") + k)))["mag"]
-    return placed.select("source_id", "channel", "tile_idx", F.col("f.frame_idx").alias("frame_idx"), transform.apply(neighbour).alias("mag"))
+
+    def finished(i: Column) -> Column:
+        neighbour = lambda k: F.get("fs", F.greatest(F.lit(0), F.least(F.size("fs") - 1, i + k)))["mag"]
+        return F.struct(F.get("fs", i)["frame_idx"].alias("frame_idx"), transform.apply(neighbour).alias("mag"))
+
+    # frames are finished inside the tile's array, so that no row carries more than its own
+    own = F.filter(F.sequence(F.lit(0), F.size("fs") - 1), lambda i: F.floor(F.get("fs", i)["frame_idx"] / per) == F.col("tile_idx"))
+    return by.select("source_id", "channel", "tile_idx", F.inline(F.transform(own, finished)))
 
 
 def gain(factor: float) -> Transform:
@@ -77,6 +82,21 @@ def smooth_hz(weights: tuple[float, ...] = (0.25, 0.5, 0.25)) -> Transform:
     return Transform("smooth_hz", apply)
 
 
+def blur5(centre: float = 0.5, side: float = 0.125) -> Transform:
+    """Five taps: the cell and its four neighbours in time and frequency."""
+
+    def apply(at):
+        across = smooth_hz((side, centre, side)).apply(at)
+        return _plus(_plus(across, at(-1), side), at(1), side)
+
+    return Transform("blur5", apply, 1)
+
+
+def contours(interval: float) -> Transform:
+    """The contour level of each value, halves up."""
+    return Transform("contours", lambda at: F.transform(at(0), lambda v: F.floor(v / interval + 0.5).cast("double")))
+
+
 def blur9() -> Transform:
     """Nine taps: centre .24, sides .12, corners .07."""
     side, edge = (0.07, 0.12, 0.07), (0.12, 0.24, 0.12)

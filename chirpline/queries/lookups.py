@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from chirpline.config import Viewport
 from chirpline.operators import lookup
-from chirpline.queries.registry import RATE, SMALL, frames, query, r, stft_cte, table
+from chirpline.config import Stft
+from chirpline.operators.stft import stft
+from chirpline.queries.registry import EV, RATE, SMALL, events, frames, query, r, sizes, stft_cte, table
+from chirpline.sources.signals import chunked
 
 _M = stft_cte(SMALL)
 _TIMES = "t as (select vec_id, k, (vec_id % 7 * 0.031 + k * 0.29)::double as time from embeddings, range(3) a(k))"
@@ -20,7 +23,7 @@ def _asked(spark, sf_dir):
 
 @query(f"with {_M}, {_TIMES}, q as (select *, {_FRAME} as f from t) select q.vec_id, k, frame_idx, bin, round(20 * log10(greatest(1e-12, mag)), 3) as value from q join m on m.vec_id = q.vec_id and m.frame_idx = q.f")
 def query_spectrum(spark, sf_dir):
-    found = lookup.query_spectrum(_asked(spark, sf_dir), frames(spark, sf_dir), RATE, SMALL, "db")
+    found = lookup.query_spectrum(_asked(spark, sf_dir), frames(spark, sf_dir), RATE, SMALL, "db", sizes(spark, sf_dir))
     return found.select("vec_id", "k", "frame_idx", F.posexplode("values").alias("bin", "value")).withColumn("value", r("value", 3))
 
 
@@ -36,7 +39,7 @@ select q.vec_id, k, f as frame_idx, b as bin, round(mag, 6) as value from q join
 )
 def query_point(spark, sf_dir):
     asked = _asked(spark, sf_dir).withColumn("frequency", (F.col("vec_id") % 33).cast("double"))
-    return lookup.query_point(asked, frames(spark, sf_dir), RATE, SMALL).select("vec_id", "k", "frame_idx", "bin", r("value").alias("value"))
+    return lookup.query_point(asked, frames(spark, sf_dir), RATE, SMALL, sizes=sizes(spark, sf_dir)).select("vec_id", "k", "frame_idx", "bin", r("value").alias("value"))
 
 
 @query(
@@ -46,7 +49,7 @@ select q.vec_id, fi as frame_idx, b as bin, round(mag, 6) as value from q join m
 )
 def query_canvas_point(spark, sf_dir):
     pixels = table(spark, sf_dir, "embeddings").select("vec_id", F.col("vec_id").cast("string").alias("source_id"), F.lit(0).alias("channel"), (F.col("vec_id") % 101).cast("double").alias("x"), (F.col("vec_id") % 37).cast("double").alias("y"))
-    found = lookup.query_pixel(pixels, frames(spark, sf_dir), RATE, SMALL, Viewport(0.1, 0.9, 0.0, 32.0), 100, 40)
+    found = lookup.query_pixel(pixels, frames(spark, sf_dir), RATE, SMALL, Viewport(0.1, 0.9, 0.0, 32.0), 100, 40, sizes=sizes(spark, sf_dir))
     return found.select("vec_id", "frame_idx", "bin", r("value").alias("value"))
 
 
@@ -69,4 +72,24 @@ def bilinear_sample(spark, sf_dir):
     at = table(spark, sf_dir, "embeddings").select(
         F.col("vec_id").cast("string").alias("source_id"), F.lit(0).alias("channel"), "vec_id", ((F.col("vec_id") % 131).cast("double") / 10).alias("frame_pos"), ((F.col("vec_id") % 77).cast("double") / 10).alias("bin_pos")
     )
-    return lookup.bilinear(at, frames(spark, sf_dir), SMALL.bins).select("vec_id", r("value").alias("value"))
+    return lookup.bilinear(at, frames(spark, sf_dir), SMALL.bins, sizes(spark, sf_dir)).select("vec_id", r("value").alias("value"))
+
+
+LONG = Stft(64, 64, 16, tile_cells=32 * 8)
+
+
+@query(
+    f"""with {EV}, c as (select source_id, floor((max(n) + 1 - 64) / 16.0)::bigint + 1 as total from ev group by 1 having max(n) + 1 >= 64),
+q as (select source_id, k, (k * 31 + 5)::double as time, least(total - 1, greatest(0, ceil((k * 31 + 5 - 32) / 16.0 - 0.5)))::bigint as frame_idx from c, range(4) t(k)),
+f as (select q.source_id, k, frame_idx, n - frame_idx * 16 as i, x * (0.5 - 0.5 * cos(2 * pi() * (n - frame_idx * 16) / 63)) as v from q join ev on ev.source_id = q.source_id and n >= frame_idx * 16 and n < frame_idx * 16 + 64)
+select source_id, k, frame_idx, round(sqrt(pow(sum(v * cos(2 * pi() * 7 * i / 64)), 2) + pow(sum(v * sin(2 * pi() * 7 * i / 64)), 2)) / 64, 5) as value from f group by 1, 2, 3"""
+)
+def query_point_long(spark, sf_dir):
+    """A few points of long signals: only the tiles that they lie in are computed."""
+    chunks = chunked(events(spark, sf_dir), 100)
+    counts = lookup.frame_sizes(chunks, LONG)
+    asked = counts.select("source_id", "channel", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<bigint>")).alias("k"))
+    asked = asked.withColumn("time", (F.col("k") * 31 + 5).cast("double")).withColumn("frequency", F.lit(7 / 64))
+    wanted = lookup.asked_frames(asked, counts, 1.0, LONG)
+    found = lookup.query_point(asked, stft(chunks, LONG, wanted=wanted), 1.0, LONG, sizes=counts)
+    return found.select("source_id", "k", "frame_idx", r("value", 5).alias("value"))

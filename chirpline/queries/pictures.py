@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chirpline.config import Stft, ValueScale, Viewport
 from chirpline.functions.colormap import ANCHORS, colour_table
 from chirpline.operators import raster as op
-from chirpline.queries.registry import RATE, SMALL, embeddings, frames, query, stft_cte, table
+from chirpline.queries.registry import RATE, SMALL, embeddings, frames, query, sizes, stft_cte, table
 from chirpline.sources import wav
 from chirpline.streaming.incremental import stream_stft
 
@@ -43,7 +43,21 @@ _NORM = "least(1, greatest(0, (value - pow(10, -60 / 20.0)) / (pow(10, -8 / 20.0
 select vec_id, x, y, r, g, b, a from v join lut on idx = least(255, greatest(0, floor({_NORM} * 255 + 0.5)))"""
 )
 def raster_spectrogram(spark, sf_dir):
-    painted = op.raster(frames(spark, sf_dir), colour_table(spark), RATE, SMALL, VIEW, 12, 8, SHOW)
+    painted = op.raster(frames(spark, sf_dir), colour_table(spark), RATE, SMALL, VIEW, 12, 8, SHOW, sizes=sizes(spark, sf_dir))
+    return painted.select(F.col("source_id").cast("long").alias("vec_id"), "x", "y", "r", "g", "b", "a")
+
+
+_BYTE = "least(255, greatest(0, floor(least(1, greatest(0, (mag - pow(10, -60 / 20.0)) / (pow(10, -8 / 20.0) - pow(10, -60 / 20.0)))) * 255 + 0.5)))"
+
+
+@query(
+    f"""with {stft_cte(SMALL).replace('m as (', 'm0 as (')}, m as (select vec_id, frame_idx, bin, case when bin = 0 then 0 else {_BYTE} end::double as mag from m0), {_LUT},
+g as (select vec_id, x, y, 0.1 + (x + 0.5) / 12 * (0.95 - 0.1) as t, 30 - (y + 0.5) / 8 * 29 as hz from embeddings, range(12) a(x), range(8) b(y)),
+{_values_sql('vec_id, x, y', '(t * 64 - 8) / 4', 'hz * 16 / 64')}
+select vec_id, x, y, r, g, b, a from v join lut on idx = floor(value + 0.5)"""
+)
+def raster_quantized(spark, sf_dir):
+    painted = op.raster(frames(spark, sf_dir), colour_table(spark), RATE, SMALL, VIEW, 12, 8, SHOW, sizes=sizes(spark, sf_dir), interp="quantized")
     return painted.select(F.col("source_id").cast("long").alias("vec_id"), "x", "y", "r", "g", "b", "a")
 
 
@@ -54,7 +68,7 @@ def raster_spectrogram(spark, sf_dir):
 select vec_id, "row", string_agg(substring(' .:-=+*#%@', 1 + greatest(0, least(9, floor({_NORM} * 10)))::int, 1), '' order by col) as line from v group by 1, 2"""
 )
 def ascii_spectrogram(spark, sf_dir):
-    lines = op.ascii_rows(frames(spark, sf_dir), RATE, SMALL, VIEW, 10, 6, SHOW)
+    lines = op.ascii_rows(frames(spark, sf_dir), RATE, SMALL, VIEW, 10, 6, SHOW, sizes=sizes(spark, sf_dir))
     return lines.select(F.col("source_id").cast("long").alias("vec_id"), "row", "line")
 
 

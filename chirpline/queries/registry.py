@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chirpline.config import WINDOW_TERMS, Stft
+from chirpline.operators.lookup import frame_sizes
 from chirpline.operators.stft import stft_arrays
 from chirpline.sources.signals import array_signals, events_signal
 
@@ -41,6 +42,11 @@ def frames(spark: SparkSession, sf_dir: str, cfg: Stft = SMALL) -> DataFrame:
     return stft_arrays(embeddings(spark, sf_dir), cfg)
 
 
+def sizes(spark: SparkSession, sf_dir: str, cfg: Stft = SMALL) -> DataFrame:
+    """Frames of each embedding signal, from its length."""
+    return frame_sizes(embeddings(spark, sf_dir), cfg)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events_signal(table(spark, sf_dir, "events"))
 

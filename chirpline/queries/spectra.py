@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chirpline.config import Stft
 from chirpline.functions.scales import db_of, in_mode
 from chirpline.operators import stft as op
-from chirpline.operators.transforms import applied, blur9, gain, smooth_hz, smooth_time
+from chirpline.operators.transforms import applied, blur5, blur9, contours, gain, smooth_hz, smooth_time
 from chirpline.plans.tiles import total_frames
 from chirpline.queries.registry import EV, RATE, SMALL, embeddings, events, frames, query, r, stft_cte
 from chirpline.sources.signals import chunked, lengths
@@ -109,3 +109,17 @@ def transform_chain(spark, sf_dir):
 )
 def stencil_blur(spark, sf_dir):
     return _bins(applied(frames(spark, sf_dir), [blur9()], SMALL)).withColumn("mag", r("mag"))
+
+
+@query(
+    f"""with {stft_cte(SMALL)} select vec_id, frame_idx, bin, round(0.5 * mag + 0.125 * (coalesce(lag(mag) over w, mag) + coalesce(lead(mag) over w, mag) + coalesce(lag(mag) over v, mag) + coalesce(lead(mag) over v, mag)), 6) as mag
+from m window w as (partition by vec_id, bin order by frame_idx), v as (partition by vec_id, frame_idx order by bin)"""
+)
+def stencil_five(spark, sf_dir):
+    return _bins(applied(frames(spark, sf_dir), [blur5()], SMALL)).withColumn("mag", r("mag"))
+
+
+@query(f"with {stft_cte(SMALL)} select vec_id, frame_idx, bin, floor(round(mag, 9) / 0.03 + 0.5)::bigint as level from m")
+def contour_levels(spark, sf_dir):
+    rounded = frames(spark, sf_dir).withColumn("mag", F.transform("mag", lambda m: F.round(m, 9)))
+    return _bins(applied(rounded, [contours(0.03)], SMALL)).select("vec_id", "frame_idx", "bin", F.col("mag").cast("long").alias("level"))
