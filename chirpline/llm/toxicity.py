@@ -31,7 +31,7 @@ MIN_DOCS = 5
 #: at least; so many swaps are penalised.
 NEUTRAL, LEANING, PARTNERS, ALIKE, SWAPS = 10, 2.0, 3, 0.25, 20_000
 #: Slots for the words before and after a term.
-CONTEXT = 256
+CONTEXT = 128
 #: Groups of English terms that may stand for each other in a sentence.
 IDENTITY_TERMS = [
     ["women", "men"],
@@ -66,13 +66,14 @@ def swap_terms(texts: list[str], y: np.ndarray, groups: list[list[str]] = IDENTI
     """Each identity term and the terms that may replace it: those of its group in the
     table, or its nearest words among the texts by context and frequency."""
     out = {t: [o for o in g if o != t] for g in groups for t in g}
-    tokens = [_WORD.findall(t.lower()) for t in texts]
-    names = sorted({w for ws in tokens for w in ws})
+    place: dict[str, int] = {}
+    rows = [np.array([place.setdefault(w, len(place)) for w in _WORD.findall(t.lower())], np.int32) for t in texts]
+    names = list(place)
     if not names:
         return out
-    place = {w: k for k, w in enumerate(names)}
-    rows = [np.array([place[w] for w in ws], np.int64) for ws in tokens]
-    in_toxic, in_neutral = (np.bincount(np.concatenate([np.unique(r) for r, k in zip(rows, y) if (k == 1) == toxic] or [[]]).astype(int), minlength=len(names)) for toxic in (True, False))
+    in_toxic, in_neutral = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+    for r, label in zip(rows, y):
+        (in_toxic if label == 1 else in_neutral)[np.unique(r)] += 1
     odds = np.log((in_toxic + 0.5) / (in_neutral + 0.5)) - np.log(((y == 1).sum() + 0.5) / ((y != 1).sum() + 0.5))
     z = odds / np.sqrt(1 / (in_toxic + 0.5) + 1 / (in_neutral + 0.5))
     known = np.flatnonzero(in_neutral >= NEUTRAL)
@@ -80,11 +81,12 @@ def swap_terms(texts: list[str], y: np.ndarray, groups: list[list[str]] = IDENTI
         return out
     at = np.full(len(names), -1)
     at[known] = np.arange(len(known))
-    slots = []
+    context = np.zeros(len(known) * 2 * CONTEXT, np.float32)
     for r in rows:
         second, first = at[r[1:]], at[r[:-1]]
-        slots += [second[second >= 0] * 2 * CONTEXT + r[:-1][second >= 0] % CONTEXT, first[first >= 0] * 2 * CONTEXT + CONTEXT + r[1:][first >= 0] % CONTEXT]
-    context = np.sqrt(np.bincount(np.concatenate(slots), minlength=len(known) * 2 * CONTEXT).reshape(len(known), -1))
+        np.add.at(context, second[second >= 0] * 2 * CONTEXT + r[:-1][second >= 0] % CONTEXT, 1)
+        np.add.at(context, first[first >= 0] * 2 * CONTEXT + CONTEXT + r[1:][first >= 0] % CONTEXT, 1)
+    context = np.sqrt(context.reshape(len(known), -1))
     context /= np.linalg.norm(context, axis=1, keepdims=True) + 1e-9
     often = np.log(in_neutral[known])
     for k in np.flatnonzero(z[known] >= LEANING):
@@ -123,9 +125,18 @@ class ToxicityModel:
 
 
 def indicators(texts: list[str]) -> tuple[list[str], list[np.ndarray]]:
-    """All features, and each text's as indices; a feature's string is kept once."""
+    """The features of at least MIN_DOCS texts, and each text's as indices.
+
+    Most features are of one text. A first pass counts slots of their hashes, which may
+    only count too many, and the second keeps the strings of frequent slots.
+    """
+    slots, mask = np.zeros(1 << 22, np.int32), (1 << 22) - 1
+    for t in texts:
+        found = features_of(words_of(t))
+        np.add.at(slots, np.fromiter((hash(f) & mask for f in found), np.int64, len(found)), 1)
+    often = slots >= MIN_DOCS
     index: dict[str, int] = {}
-    rows = [np.array([index.setdefault(f, len(index)) for f in sorted(features_of(words_of(t)))], np.int32) for t in texts]
+    rows = [np.array([index.setdefault(f, len(index)) for f in sorted(f for f in features_of(words_of(t)) if often[hash(f) & mask])], np.int32) for t in texts]
     return list(index), rows
 
 
@@ -190,9 +201,13 @@ def fit(texts: list[str], y: np.ndarray, swap_penalty: float = 10.0, ridge: floa
 
 
 def penalised(texts: list[str], terms: dict[str, list[str]], most: int = SWAPS) -> list[tuple[set[str], set[str]]]:
-    """The swaps of the texts; of more than ``most``, so many drawn at random."""
-    pairs = [p for t in texts for p in swaps(t, terms)]
-    return pairs if len(pairs) <= most else [pairs[k] for k in sorted(np.random.default_rng(17).choice(len(pairs), most, replace=False))]
+    """The swaps of the texts, which are taken in random order until ``most`` are found."""
+    pairs: list[tuple[set[str], set[str]]] = []
+    for k in np.random.default_rng(17).permutation(len(texts)):
+        if len(pairs) >= most:
+            break
+        pairs += swaps(texts[k], terms)
+    return pairs[:most]
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
