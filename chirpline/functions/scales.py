@@ -138,3 +138,13 @@ def playhead_x(t: Column, width: Column, start: Column, end: Column, snap: bool
     """Pixel of the playhead, null outside the viewport."""
     x = x_at(t, width, start, end)
     return F.when((t >= start) & (t <= end), js_round(x).cast("double") if snap else x)
+
+
+def sought(t: Column, seconds: Column, clip_start: Column, clip_end: Column) -> Column:
+    """A time to seek to, inside the clip or, where a bound is null, the recording."""
+    return F.greatest(F.coalesce(clip_start, F.lit(0.0)), F.least(F.coalesce(clip_end, seconds), t))
+
+
+def filled(mag: Column, power: Column, db: Column) -> tuple[Column, Column]:
+    """Arrays of powers and levels, made from magnitudes where they are null."""
+    return F.coalesce(power, array_in_mode(mag, "power")), F.coalesce(db, array_in_mode(mag, "db"))

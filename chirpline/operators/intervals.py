@@ -2,33 +2,55 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Blocks of time that ranges are dealt to.
+BLOCKS = 1024
+
+
+def _block(ranges: DataFrame) -> Callable[[Column], Column]:
+    """The block of a start, by the least and greatest of all starts."""
+    low, high = ranges.agg(F.min("start"), F.max("start")).first()
+    width = max((high - low) / BLOCKS, 1e-9) if low is not None else 1.0
+    return lambda start: F.floor((start - (low or 0.0)) / width)
+
+
 def merged(ranges: DataFrame, key: str) -> DataFrame:
     """(key, start, end): touching and overlapping ranges of a key united; empty ones go.
 
-    Ranges of one key are sorted in one task, so keys should be fine: a recording or a
-    part of one, not a whole table.
+    Ranges are sorted inside blocks of time; the farthest end and the number of islands of
+    earlier blocks, one small row for each block, are carried in. So no task sorts a key.
     """
-    by = Window.partitionBy(key).orderBy("start", "end")
-    before = F.max("end").over(by.rowsBetween(Window.unboundedPreceding, -1))
-    marked = ranges.where("end > start").withColumn("new", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0))
-    island = F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("island", island).groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
+    ranges = ranges.where("end > start").select(key, "start", "end")
+    rows = ranges.withColumn("block", _block(ranges)(F.col("start")))
+    earlier = Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy(key, "block").agg(F.max("end").alias("end")).select(key, "block", F.max("end").over(earlier).alias("reach"))
+    inside = Window.partitionBy(key, "block").orderBy("start", "end")
+    before = F.greatest(F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("reach"))
+    marked = rows.join(reach, [key, "block"]).withColumn("before", before).withColumn("new", F.when(F.col("before").isNull() | (F.col("start") > F.col("before")), 1).otherwise(0))
+    islands = marked.groupBy(key, "block").agg(F.sum("new").alias("new")).select(key, "block", F.coalesce(F.sum("new").over(earlier), F.lit(0)).alias("islands"))
+    numbered = marked.join(islands, [key, "block"]).withColumn("island", F.col("islands") + F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(key, "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")
 
 
 def covered(wanted: DataFrame, islands: DataFrame, key: str) -> DataFrame:
     """``wanted`` (key, start, end) with covered: one island holds all of it.
 
     Islands don't overlap, so the last one that begins at or before a range decides. It is
-    found by one sort of both sides within a key rather than by comparing all pairs.
+    found by a sort of both sides within blocks of time, with the last island of earlier
+    blocks carried in, rather than by comparing all pairs.
     """
     mark = F.struct(F.col("start").alias("s"), F.col("end").alias("e"))
     both = islands.select(key, "start", "end", F.lit(0).alias("asked"), mark.alias("island")).unionByName(wanted.select(key, "start", "end", F.lit(1).alias("asked"), F.lit(None).cast("struct<s:double,e:double>").alias("island")))
-    seen = F.last("island", ignorenulls=True).over(Window.partitionBy(key).orderBy("start", "asked").rowsBetween(Window.unboundedPreceding, 0))
-    held = both.withColumn("island", seen).where("asked = 1")
+    both = both.withColumn("block", _block(both)(F.col("start")))
+    lasts = both.groupBy(key, "block").agg(F.max("island").alias("last"))
+    carried = lasts.select(key, "block", F.max("last").over(Window.partitionBy(key).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    seen = F.last("island", ignorenulls=True).over(Window.partitionBy(key, "block").orderBy("start", "asked").rowsBetween(Window.unboundedPreceding, 0))
+    held = both.join(carried, [key, "block"]).withColumn("island", F.coalesce(seen, F.col("carried"))).where("asked = 1")
     return held.select(key, "start", "end", F.coalesce((F.col("end") <= F.col("start")) | (F.col("island.e") >= F.col("end")), F.lit(False)).alias("covered"))
 
 

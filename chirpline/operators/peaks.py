@@ -53,9 +53,12 @@ def envelope(samples: DataFrame, start: float, end: float, width: int, rate: flo
 
 def line(samples: DataFrame, start: float, end: float, width: int, rate: float) -> DataFrame:
     """(source_id, channel, n, x_px, y) of every sample of a viewport and one beyond each end,
-    for zooms with at most one sample a pixel."""
+    for zooms with at most one sample a pixel. A range that reaches the end of a signal has
+    one more point, at which the last sample is repeated."""
     low, high = math.floor(start * rate) - 1, math.ceil(end * rate) + 1
     inside = samples.where(F.col("n").between(low, high))
+    last = samples.groupBy("source_id", "channel").agg(F.max_by("x", "n").alias("x"), (F.max("n") + 1).alias("n")).where(F.col("n").between(low, high))
+    inside = inside.select("source_id", "channel", "n", "x").unionByName(last)
     return inside.select("source_id", "channel", "n", ((F.col("n") / rate - start) / (end - start) * width).alias("x_px"), F.col("x").alias("y"))
 
 
@@ -87,3 +90,15 @@ def bar_geometry(low: Column, high: Column, height: float, align: str = "center"
 def visible(bars_px: DataFrame, width: float, bar_px: float) -> DataFrame:
     """Bars (x_px) that reach into the canvas."""
     return bars_px.where((F.col("x_px") + bar_px >= 0) & (F.col("x_px") <= width))
+
+
+def rolled_up(level: DataFrame, factor: int) -> DataFrame:
+    """The envelope of buckets ``factor`` times as long from a stored one, exactly where the
+    edges of its buckets nest (whole numbers of samples)."""
+    by = level.groupBy("source_id", "channel", F.floor(F.col("k") / factor).alias("k"))
+    return by.agg(F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def outline(values: Column, height: float, amplitude: float = 1.0) -> Column:
+    """Height in pixels of a value in a waveform."""
+    return height / 2 - values * (height / 2 * max(0.01, amplitude))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -28,12 +28,33 @@ def tumbling(samples: DataFrame, rows: int = 30) -> DataFrame:
     return full.select("source_id", "k", "low", "high", "mean", (1000 / F.col("mean")).alias("rate"))
 
 
+def _bucket(x: Column) -> Column:
+    """A coarse monotonic number of a value; some ten thousand different ones at most."""
+    return F.floor(F.asinh(x * 1000) * 64)
+
+
+def at_ranks(samples: DataFrame, sizes: DataFrame, ranks: dict[str, Column]) -> DataFrame:
+    """(source_id, name, ...): for each name the value at a zero-based rank, an expression of
+    ``count``. Values are counted by (bucket, value), the counts of lower buckets are added
+    up, and only the buckets that hold a rank are sorted, so no task sorts a whole source."""
+    counted = samples.groupBy("source_id", _bucket(F.col("x")).alias("bucket"), "x").agg(F.count(F.lit(1)).alias("c"))
+    buckets = counted.groupBy("source_id", "bucket").agg(F.sum("c").alias("m"))
+    below = F.sum("m").over(Window.partitionBy("source_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    placed = buckets.withColumn("below", F.coalesce(below, F.lit(0))).join(sizes.select("source_id", "count"), "source_id").select("*", *[r.alias(n) for n, r in ranks.items()])
+    holds = F.lit(False)
+    for n in ranks:
+        holds = holds | F.col(n).between(F.col("below"), F.col("below") + F.col("m") - 1)
+    inside = counted.join(placed.where(holds), ["source_id", "bucket"])
+    upto = F.col("below") + F.sum("c").over(Window.partitionBy("source_id", "bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = inside.withColumn("upto", upto)
+    found = [F.max(F.when(F.col(n).between(F.col("upto") - F.col("c"), F.col("upto") - 1), F.col("x"))).alias(n) for n in ranks]
+    return ranked.groupBy("source_id").agg(*found)
+
+
 def summary(samples: DataFrame) -> DataFrame:
     """(source_id, count, mean, median, std, low, high, p95): population deviation; p95 is the
     element at floor(0.95 * count) of the sorted values."""
-    at = F.row_number().over(Window.partitionBy("source_id").orderBy("x", "n")) - 1
-    sizes = samples.groupBy("source_id").agg(
-        F.count(F.lit(1)).alias("count"), F.avg("x").alias("mean"), F.median("x").alias("median"), F.stddev_pop("x").alias("std"), F.min("x").alias("low"), F.max("x").alias("high")
-    )
-    ranked = samples.withColumn("at", at).join(sizes.select("source_id", "count"), "source_id").where(F.col("at") == F.least(F.col("count") - 1, F.floor(F.col("count") * 0.95)))
-    return sizes.join(ranked.select("source_id", F.col("x").alias("p95")), "source_id")
+    sizes = samples.groupBy("source_id").agg(F.count(F.lit(1)).alias("count"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.min("x").alias("low"), F.max("x").alias("high"))
+    n = F.col("count")
+    ranks = {"mid0": F.floor((n - 1) / 2), "mid1": F.floor(n / 2), "p95": F.least(n - 1, F.floor(n * 0.95))}
+    return sizes.join(at_ranks(samples, sizes, ranks), "source_id").withColumn("median", (F.col("mid0") + F.col("mid1")) / 2).drop("mid0", "mid1")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import fields
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,3 +61,14 @@ def tile_states(plan: DataFrame, stored: DataFrame) -> DataFrame:
     have = stored.select("source_id", "channel", "tile_idx").distinct().withColumn("__have", F.lit(True))
     joined = plan.join(have, ["source_id", "channel", "tile_idx"], "left")
     return joined.withColumn("state", F.when(F.col("__have"), "computed").otherwise("uncomputed")).drop("__have")
+
+
+def settings_hash(cfg: Stft, *transforms: str) -> str:
+    """A short digest of what the values of a tile depend on."""
+    said = "|".join([*(f"{f.name}={getattr(cfg, f.name)}" for f in fields(cfg)), *transforms])
+    return hashlib.sha256(said.encode()).hexdigest()[:16]
+
+
+def tile_key(source: Column, channel: Column, start: Column, end: Column, digest: str) -> Column:
+    """The key of a stored tile: source, channel, times to a microsecond, settings."""
+    return F.concat_ws("|", source, channel.cast("string"), F.format_string("%.6f", start), F.format_string("%.6f", end), F.lit(digest))

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chirpline.config import Stft, ValueScale, Viewport
+from chirpline.config import ValueScale, Viewport
 from chirpline.functions.colormap import ANCHORS, colour_table
 from chirpline.operators import raster as op
 from chirpline.queries.registry import RATE, SMALL, embeddings, frames, query, sizes, stft_cte, table
 from chirpline.sources import wav
-from chirpline.streaming.incremental import stream_stft
 
 VIEW, SHOW = Viewport(0.1, 0.95, 1.0, 30.0), ValueScale("magnitude", -60.0, -8.0)
 _STOPS = ", ".join(str(tuple(s)) for s in ANCHORS["viridis"])
@@ -81,7 +80,7 @@ def placeholder_hatch(spark, sf_dir):
     return op.hatched(grid, grid.where((F.col("vec_id") + F.col("x")) % 3 == 0)).select("vec_id", "x", "y", "stripe")
 
 
-@query()
+@query("select vec_id, len(embedding)::int as n, true as close from embeddings")
 def wav_roundtrip(spark, sf_dir):
     """Embeddings as 16-bit files and back, with the largest error of each."""
     chunks = embeddings(spark, sf_dir)
@@ -89,22 +88,3 @@ def wav_roundtrip(spark, sf_dir):
     back = wav.chunks_of(files).select("source_id", F.col("x").alias("y"))
     worst = F.array_max(F.zip_with("x", "y", lambda a, b: F.abs(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), a)) - b)))
     return chunks.join(back, "source_id").select(F.col("source_id").cast("long").alias("vec_id"), F.size("y").alias("n"), (worst < 1 / 16384).alias("close"))
-
-
-STREAM = Stft(32, 32, 16)
-
-
-@query()
-def stream_stft_events(spark, sf_dir):
-    """Spectra of the event signals, sent as a stream of chunks out of order."""
-    import uuid
-
-    from chirpline.queries.registry import events
-    from chirpline.sources.signals import chunked
-    from chirpline.workers import shared_folder
-
-    path = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    chunked(events(spark, sf_dir), 100).repartition(6, "n0").write.parquet(f"{path}/in")
-    stream = spark.readStream.schema("source_id string, channel int, n0 long, x array<double>").option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
-    stream_stft(stream, STREAM).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{path}/out").select("source_id", "frame_idx", F.transform("mag", lambda m: F.round(m, 6)).alias("mag"))

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chirpline.sources import wav
+from chirpline.sources import mp3, wav
 
 
 def kind_of(content: Column) -> Column:
-    """'wav', 'mp3' or 'other'. MP3 files begin with a tag or with a frame sync."""
-    sync = F.conv(F.hex(F.substring(content, 1, 2)), 16, 10).cast("int").bitwiseAND(0xFFE0) == 0xFFE0
+    """'wav', 'mp3' or 'other'. MP3 files begin with a tag or with a frame that another
+    follows, so that a byte-order mark isn't taken for a frame."""
     riff = (F.substring(content, 1, 4) == b"RIFF") & (F.substring(content, 9, 4) == b"WAVE")
-    return F.when(riff, "wav").when((F.substring(content, 1, 3) == b"ID3") | sync, "mp3").otherwise("other")
+    tagged = F.substring(content, 1, 3) == b"ID3"
+    return F.when(riff, "wav").when(tagged | mp3.confirmed_start(content, F.lit(0).cast("long")), "mp3").otherwise("other")
 
 
 def media_type(path: Column) -> Column:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: kbit/s by (MPEG 1?, layer) and samples/s of MPEG 1 (fixed values of the standard).
@@ -112,15 +114,91 @@ def frames_of(raw: bytes) -> list[tuple[int, int]]:
     return out
 
 
-def headers(files: DataFrame) -> DataFrame:
-    """(path, rate, channels, kbps, duration) of a ``binaryFile`` DataFrame."""
+def _word(content: Column, at: Column) -> Column:
+    """Four bytes as a number, null beyond the end."""
+    return F.conv(F.hex(F.nullif(F.substring(content, at + 1, F.lit(4)), F.lit(b""))), 16, 10).cast("long")
+
+
+def _bits(word: Column, low: int, count: int) -> Column:
+    return F.shiftright(word, low).bitwiseAND((1 << count) - 1)
+
+
+def header_columns(content: Column, at: Column) -> dict[str, Column]:
+    """``frame_header`` as column expressions: version, layer, rate, kbps, channels, samples,
+    length and whether the bytes are a header at all (valid)."""
+    word = _word(content, at)
+    kind, layer, index, rate_at = _bits(word, 19, 2), 4 - _bits(word, 17, 2), _bits(word, 12, 4), _bits(word, 10, 2)
+    valid = (F.shiftright(word, 21) == 0x7FF) & (kind != 1) & (layer != 4) & ~index.isin(0, 15) & (rate_at != 3)
+    one = kind == 3
+    rates = F.get(F.array(*map(F.lit, RATES)), rate_at.cast("int"))
+    rate = F.when(one, rates).when(kind == 2, F.shiftright(rates, 1)).otherwise(F.shiftright(rates, 2))
+    kbps = F.lit(None).cast("int")
+    for (first, number), table in BITRATES.items():
+        rows = F.get(F.array(*map(F.lit, table)), (index - 1).cast("int"))
+        kbps = F.when((one == first) & ((layer if first else F.least(layer, F.lit(2))) == number), rows).otherwise(kbps)
+    samples = F.when(layer == 1, 384).when((layer == 2) | one, 1152).otherwise(576)
+    pad, per_second = _bits(word, 9, 1), kbps * 1000
+    length = F.when(layer == 1, (F.floor(12 * per_second / rate) + pad) * 4).otherwise(F.floor(samples / 8 * per_second / rate) + pad)
+    columns = {"version": F.when(one, 1.0).when(kind == 2, 2.0).otherwise(2.5), "layer": layer, "rate": rate, "kbps": kbps, "channels": F.when(_bits(word, 6, 2) == 3, 1).otherwise(2), "samples": samples, "length": length}
+    return {k: F.when(valid, c) for k, c in columns.items()} | {"valid": F.coalesce(valid, F.lit(False))}
+
+
+def tag_bytes(content: Column) -> Column:
+    """``tag_size`` as a column expression."""
+    size = F.conv(F.hex(F.substring(content, 7, 4)), 16, 10).cast("long")
+    parts = [_bits(size, 8 * k, 8) for k in range(4)]
+    footer = F.conv(F.hex(F.substring(content, 6, 1)), 16, 10).cast("int").bitwiseAND(0x10) != 0
+    whole = sum((F.shiftleft(p, 7 * k) for k, p in enumerate(parts)), F.lit(10).cast("long")) + F.when(footer, 10).otherwise(0)
+    tagged = (F.substring(content, 1, 3) == b"ID3") & (F.length(content) >= 10) & (size.bitwiseAND(0x80808080) == 0)
+    return F.when(tagged, whole).otherwise(F.lit(0).cast("long"))
+
+
+def confirmed_start(content: Column, at: Column) -> Column:
+    """A frame header at ``at`` that another of its kind follows, or whose frame ends the data."""
+    h = header_columns(content, at)
+    after = at + h["length"]
+    other = header_columns(content, after)
+    same = other["valid"] & (other["version"] == h["version"]) & (other["layer"] == h["layer"]) & (other["rate"] == h["rate"])
+    return F.coalesce(h["valid"] & (h["length"] > 4) & (same | (after == F.length(content))), F.lit(False))
+
+
+def _each(files: DataFrame, schema: str, work: Callable[[str, bytes, int, int], list[tuple]], head: Column) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
     from chirpline.workers import prepare_workers
 
     prepare_workers(files.sparkSession)
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [r for args in zip(*(b.column(c).to_pylist() for c in ("path", "head", "tag", "length"))) for r in work(*args)]
+            yield pa.RecordBatch.from_pylist([dict(zip(arrow.names, r)) for r in rows], schema=arrow)
+
+    tag = tag_bytes(F.col("content"))
+    return files.select("path", tag.alias("tag"), F.length("content").cast("long").alias("length"), head.alias("head")).mapInArrow(run, schema)
+
+
+def headers(files: DataFrame) -> DataFrame:
+    """(path, rate, channels, kbps, duration, error) of a ``binaryFile`` DataFrame.
+
+    Tags are skipped, however long, before the first bytes go to Python. A file without a
+    frame in them is a row with an error.
+    """
+
+    def work(path, head, tag, length):
+        found = info(head, length - tag)
+        return [(path, *(found or (None,) * 4), None if found else "no MP3 frame")]
+
+    after = F.substring(F.col("content"), (tag_bytes(F.col("content")) + 1).cast("int"), F.lit(PREFIX))
+    return _each(files, "path string, rate int, channels int, kbps int, duration double, error string", work, after)
+
+
+def frame_rows(files: DataFrame) -> DataFrame:
+    """(path, frame_idx, at, length): one row for each whole frame of each file."""
 
-    @F.udf("struct<rate:int,channels:int,kbps:int,duration:double>")
-    def parsed(head, total):
-        return info(bytes(head), total)
+    def work(path, content, tag, length):
+        return [(path, k, at, n) for k, (at, n) in enumerate(frames_of(content))]
 
-    found = files.select("path", parsed(F.substring("content", 1, PREFIX), "length").alias("i"))
-    return found.where("i is not null").select("path", "i.*")
+    return _each(files, "path string, frame_idx long, at long, length int", work, F.col("content"))

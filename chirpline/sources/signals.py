@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,6 +67,22 @@ def clipped(chunks: DataFrame, start: float, end: float, rate: float) -> DataFra
     return chunks.withColumn("x", F.transform("x", lambda v, i: F.when((n(i) >= a) & (n(i) < b), v).otherwise(F.lit(0.0))))
 
 
+@dataclass(frozen=True)
+class Clip:
+    """A clip and the chunks that it was cut from; a clip of a clip is cut from the same."""
+
+    source: DataFrame
+    start: float
+    end: float
+    rate: float
+
+    def clip(self, start: float, end: float) -> Clip:
+        return Clip(self.source, start, end, self.rate)
+
+    def chunks(self) -> DataFrame:
+        return clipped(self.source, self.start, self.end, self.rate)
+
+
 def lengths(chunks: DataFrame) -> DataFrame:
     """(source_id, channel, n_samples)."""
     return chunks.groupBy("source_id", "channel").agg(F.max(F.col("n0") + F.size("x")).alias("n_samples"))

@@ -87,9 +87,12 @@ def encode(channels: np.ndarray, rate: int, bits: int = 16, quantizer: str = "ro
     """A file of (frames, channels): 16-bit integers or 32-bit floats.
 
     'round' scales negative values by 0x8000 and others by 0x7fff and rounds half up;
-    'trunc' scales all by 32767 and cuts towards zero.
+    'trunc' scales all by 32767 and cuts towards zero, and takes an array of at most eight
+    rows and more columns for (channels, frames).
     """
     x = np.atleast_2d(np.asarray(channels, np.float64).T).T
+    if quantizer == "trunc" and x.shape[0] <= 8 and x.shape[0] < x.shape[1]:
+        x = x.T
     if bits == 32:
         raw, code = x.astype("<f4").tobytes(), 3
     else:
@@ -101,32 +104,45 @@ def encode(channels: np.ndarray, rate: int, bits: int = 16, quantizer: str = "ro
 
 
 def headers(files: DataFrame) -> DataFrame:
-    """(path, rate, channels, bits, n_samples, duration) of a ``binaryFile`` DataFrame; only
-    the first bytes go to Python."""
+    """(path, rate, channels, bits, n_samples, duration, error) of a ``binaryFile`` DataFrame.
+
+    Only the first bytes go to Python, or all of a file whose data begin beyond them. A file
+    that can't be read is a row with an error.
+    """
     prepare_workers(files.sparkSession)
+    schema = pa.schema([("path", pa.string()), ("rate", pa.int32()), ("channels", pa.int32()), ("bits", pa.int32()), ("n_samples", pa.int64()), ("duration", pa.float64()), ("error", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for path, total, head in zip(*(b.column(c).to_pylist() for c in ("path", "length", "head"))):
-                i = parse_header(head, total)
-                rows.append((path, i.rate, i.channels, i.bits, i.frames, i.frames / i.rate))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64()))], names=["path", "rate", "channels", "bits", "n_samples", "duration"])
+                try:
+                    i = parse_header(head, total)
+                    rows.append((path, i.rate, i.channels, i.bits, i.frames, i.frames / i.rate, None))
+                except (ValueError, struct.error, ZeroDivisionError) as wrong:
+                    rows.append((path, None, None, None, None, None, str(wrong)))
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
 
     wavs = files.where((F.substring("content", 1, 4) == b"RIFF") & (F.substring("content", 9, 4) == b"WAVE"))
-    return wavs.select("path", "length", F.substring("content", 1, PREFIX).alias("head")).mapInArrow(run, "path string, rate int, channels int, bits int, n_samples long, duration double")
+    first = F.substring("content", 1, PREFIX)
+    head = F.when(F.instr(first.cast("string"), "data") > 0, first).otherwise(F.col("content"))
+    return wavs.select("path", F.length("content").cast("long").alias("length"), head.alias("head")).mapInArrow(run, "path string, rate int, channels int, bits int, n_samples long, duration double, error string")
 
 
 def chunks_of(files: DataFrame, size: int = 1 << 16) -> DataFrame:
     """(source_id, channel, n0, x) of a ``binaryFile`` DataFrame: each file's samples in
-    chunks. Files are whole rows here; ``WavSource`` splits long ones by byte range."""
+    chunks. Files are whole rows here; ``WavSource`` splits long ones by byte range. Files
+    that can't be read give none; ``headers`` says why."""
     prepare_workers(files.sparkSession)
     schema = "source_id string, channel int, n0 long, x array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, raw in zip(b.column("path").to_pylist(), b.column("content").to_pylist()):
-                info = parse_header(raw)
+                try:
+                    info = parse_header(raw)
+                except (ValueError, struct.error):
+                    continue
                 x = decode_pcm(raw[info.data_at : info.data_at + info.data_size], info)
                 out = [(path, c, n0, x[n0 : n0 + size, c].astype(np.float64)) for c in range(info.channels) for n0 in range(0, len(x), size)]
                 for k in range(0, len(out), 16):

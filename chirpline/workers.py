@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -31,4 +33,6 @@ def shared_folder(spark: SparkSession) -> str:
         return given
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    return tempfile.mkdtemp(prefix="chirpline-")
+    path = tempfile.mkdtemp(prefix="chirpline-")
+    atexit.register(shutil.rmtree, path, True)
+    return path
