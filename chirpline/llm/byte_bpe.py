@@ -101,7 +101,8 @@ def tokenized(docs: DataFrame, path: str, pattern: str, with_ids: bool = True) -
 
     ``path`` is read on the driver and its vocabulary is broadcast; its size is that of
     the vocabulary. Null counts as empty: no tokens. Repeated rows get the same result
-    each. Other columns are ignored.
+    each. Very long texts are encoded whole. An empty table gives no rows. Other columns are
+    ignored.
     """
     tokens = read_ranks(path)
     shared = docs.sparkSession.sparkContext.broadcast((serialised_model(tokens), tokens, pattern))

@@ -97,7 +97,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has its last floor(n / 2) code points replaced by the first as many
     of the next document's, by ascending doc_id; the first follows the last, and a lone
     document follows itself. Null texts count as empty. Null ids come first; rows with
-    the same id are ordered by text. Other columns are ignored.
+    the same id are ordered by text, and repeated rows follow each other. Very long texts
+    are taken whole. An empty table gives no rows. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("ord", F.coalesce("doc_id", F.lit(LOWEST))).withColumn("sk", sketch(F.col("text")))

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chirpline.llm.common import crc_fold, hash_sample, map_rows
+from chirpline.llm.common import crc_fold, map_rows
 
 #: Bytes in a window, units in each direction, windows that are run at once.
 WINDOW, UNITS, COLUMNS = 64, 8, 4096
@@ -194,7 +194,9 @@ def languages_of(docs: DataFrame, network: ByteNetwork | None) -> DataFrame:
 
     A text that is null or has no letter is 'und' with score 0, and so are all texts if
     nothing could be learned. Repeated rows get the same result each; held_out is null
-    where doc_id is. Other columns are ignored.
+    where doc_id is. Of languages with equal probabilities the first by name is taken. All
+    bytes of very long texts are labelled. An empty table gives no rows. Other columns are
+    ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(network)  # a few thousand weights
 

@@ -67,7 +67,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     don't count, and a text of fewer than three lines has none and stays whole. Null
     texts stay null with no lines; an empty text is one empty line. Null ids come first
     in the order. Rows that repeat both doc_id and text are one document and get the
-    same result each. Other columns are ignored.
+    same result each; texts of one doc_id are ordered by their hash. Very long texts are cut
+    whole. An empty table gives no rows. Other columns are ignored.
     """
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("text_key"))
     found = later_windows(docs).select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key"), "starts")

@@ -192,9 +192,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     cost one sketch comparison. At the threshold a pair shares a band of the default
     sketch with probability 1 - 3e-6; beyond it the chance rises to certainty.
 
-    Null and empty texts have an empty set and are linked with nothing. A null doc_id
-    gets a null component and is kept. Rows that repeat a doc_id count as one document
-    with the links of all its texts. Other columns are ignored.
+    Sets are compared by 128 bits of hash over the 64-bit hashes of their shingles, and
+    n_shingles counts these; links between different sets are confirmed on the shingles
+    themselves. Null and empty texts have an empty set and are linked with nothing. A null
+    doc_id gets a null component and is kept. Rows that repeat a doc_id count as one document
+    with the links of all its texts. Very long texts are taken whole. An empty table gives
+    no rows. Other columns are ignored.
     """
     return near_documents(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle, percent, bands, rows)
 

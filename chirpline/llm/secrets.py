@@ -158,7 +158,9 @@ def secret_spans(docs: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     for every row of ``docs`` (doc_id, text).
 
     Null texts count as empty. Rows that repeat doc_id and text get the same spans. A null
-    doc_id is a value like any other. Other columns are ignored.
+    doc_id is a value like any other. Spans of several kinds that begin together are in the
+    order of the rules. Very long texts are scanned whole. An empty table gives no rows.
+    Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text"))
     queries = [trigram_query(r.pattern) for r in rules]

@@ -57,6 +57,35 @@ def test_every_byte_counts():
     assert abs(net.probabilities([text]).sum() - 1) < 1e-4
 
 
+def test_pooling_is_the_mean_over_bytes(spark):
+    """Window by window, byte by byte; long texts, ties and repeated rows."""
+    net = language_id.ByteNetwork(["a", "b", "c"])
+    rng = random.Random(4)
+    texts = ["x", "é" * 33, cases.words(rng, 20), cases.words(rng, 5000)]
+    got = net.probabilities(texts)
+    for t, p in zip(texts, got):
+        raw, total = t.encode(), np.zeros(3)
+        for k in range(0, len(raw), language_id.WINDOW):
+            part = np.frombuffer(raw[k : k + language_id.WINDOW].ljust(language_id.WINDOW, b"\0"), np.uint8)
+            total += net.label(part[:, None])[: len(raw) - k, :, 0].sum(axis=0)
+        assert np.abs(total / len(raw) - p).max() < 1e-5
+    net.out[:] = 0  # all languages tie
+    rows = [(1, texts[2]), (1, texts[2]), (2, texts[3]), (3, "12")]
+    found = [tuple(r) for r in language_id.languages_of(spark.createDataFrame(rows, "doc_id long, text string"), net).select("doc_id", "lang_pred").collect()]
+    assert sorted(found) == [(1, "a"), (1, "a"), (2, "a"), (3, "und")]
+
+
+def test_scores_at_the_threshold_and_of_repeated_rows(spark):
+    rows = [(1, "word"), (1, "word"), (2, None), (3, "other " * 50_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    half = quality.NaiveBayesSVM({}, 0.0, 1.0, 0.0)
+    got = quality.quality_scores(docs, half, threshold=0.5).collect()
+    assert len(got) == 4 and all(r["score"] == 0.5 and r["predicted"] == 1 for r in got)
+    even = toxicity.ToxicityModel({"word": 1.0}, 0.0)
+    got = sorted((r["doc_id"], r["predicted"]) for r in toxicity.toxicity_scores(docs, even, threshold=0.6).collect())
+    assert got == [(1, 1), (1, 1), (2, 0), (3, 0)]
+
+
 def test_quality_held_out(spark, data):
     docs, labels = spark.read.parquet(f"{data.replace('0.001', '0.01')}/documents.parquet"), spark.read.parquet(f"{data.replace('0.001', '0.01')}/labels.parquet")
     model = quality.train(docs, labels)

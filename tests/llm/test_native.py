@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import xxhash
 from pyspark.sql import functions as F
 
 from chirpline.llm import fingerprint, line_dedup, secrets
@@ -27,6 +28,35 @@ def test_fingerprints_edit_by_the_next_document(spark):
     assert lone["edited_sha256"] == hashlib.sha256(b"abab").hexdigest()
 
 
+def plain_fingerprint(text):
+    """Hashes below an eighth of the range, else the least, from chained hashes of words."""
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
+    if not words:
+        return []
+    runs = [words[i : i + 5] for i in range(len(words) - 4)] if len(words) >= 5 else [[" ".join(words)]]
+    found = set()
+    for run in runs:
+        h = 42
+        for w in run:
+            h = xxhash.xxh64_intdigest(w.encode(), h)
+        found.add(h - (1 << 64) if h >> 63 else h)
+    return sorted(h for h in found if h < -(1 << 63) + (1 << 61)) or [min(found)]
+
+
+def test_fingerprints_match_plain(spark):
+    rows = [(i, t or "") for i, t, *_ in cases.rows()]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    text_of = lambda h: "".join(f"{x & (1 << 64) - 1:016x}" for x in h)
+    like = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b)) if set(a) | set(b) else 1.0
+    want = []
+    for k, (i, t) in enumerate(rows):
+        nxt, half = rows[(k + 1) % len(rows)][1], len(t) // 2
+        own, edited, following = map(plain_fingerprint, (t, t[: len(t) - half] + nxt[:half], nxt))
+        want.append((i, text_of(own), text_of(edited), round(like(own, edited), 9), round(like(own, following), 9)))
+    got = [(r["doc_id"], r["fingerprint"], r["edited_fingerprint"], round(r["near_edited"], 9), round(r["near_next"], 9)) for r in fingerprint.fingerprints(cases.frame(spark)).collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+
+
 def test_likeness_containment_and_merge(spark):
     rng_words = [cases.words(__import__("random").Random(k), 3000) for k in range(2)]
     whole, part = rng_words[0], " ".join(rng_words[0].split()[:300])
