@@ -15,13 +15,21 @@ from chirpline.llm.vocab import rank_file
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from labelled rows of the input."""
+    """Documents that the classifier accepts; it learns from labelled rows of the input.
+
+    A null or empty text is scored as a text without n-grams. Each of repeated rows gets
+    the same decision. Of an empty table nothing remains.
+    """
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.keep_good(docs, model)
 
 
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that occurred before."""
+    """Documents without passages that occurred before.
+
+    Null texts stay null. Rows that repeat doc_id and text are one document and all stay
+    alike. No row goes; an empty table stays empty.
+    """
     return line_dedup.dedup_lines_in(docs)
 
 
@@ -48,12 +56,19 @@ def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passages beyond the contamination rule."""
+    """Documents that hold no benchmark passages beyond the contamination rule.
+
+    Null and empty texts are clean. Each of repeated rows gets the same decision; an empty
+    table stays empty.
+    """
     return decontam.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with digests of the ids and of the decoded bytes."""
+    """Token ids of each document, with digests of the ids and of the decoded bytes.
+
+    A null text counts as empty and has no tokens. Each of repeated rows gets a row.
+    """
     return byte_bpe.tokenized(docs, *rank_file())
 
 
