@@ -9,8 +9,8 @@ from chirpline.functions.scales import db_of, in_mode
 from chirpline.operators import stft as op
 from chirpline.operators.transforms import applied, blur5, blur9, contours, gain, smooth_hz, smooth_time
 from chirpline.plans.tiles import total_frames
-from chirpline.queries.registry import EV, RATE, SMALL, embeddings, events, frames, query, r, stft_cte
-from chirpline.sources.signals import chunked, lengths
+from chirpline.queries.registry import EV, RATE, SMALL, embeddings, events, frames, query, r, stft_cte, table
+from chirpline.sources.signals import chunked, lengths, ordered_signal
 
 
 def _bins(fr):
@@ -123,3 +123,19 @@ def stencil_five(spark, sf_dir):
 def contour_levels(spark, sf_dir):
     rounded = frames(spark, sf_dir).withColumn("mag", F.transform("mag", lambda m: F.round(m, 9)))
     return _bins(applied(rounded, [contours(0.03)], SMALL)).select("vec_id", "frame_idx", "bin", F.col("mag").cast("long").alias("level"))
+
+
+TRACK = Stft(1024, 1024, 256)
+
+
+@query(
+    """with s as (select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 as n, l_extendedprice::double / 1e5 as x from lineitem), c as (select max(n) + 1 as total from s), f as (
+  select k as frame_idx, n - k * 256 as i, x * (0.5 - 0.5 * cos(2 * pi() * (n - k * 256) / 1023)) as v
+  from s, c, unnest(range(greatest(0, ceil((n - 1023) / 256.0)::bigint), floor(n / 256.0)::bigint + 1)) u(k) where k < greatest(0, floor((total - 1024) / 256.0) + 1))
+select frame_idx, b as bin, round(sqrt(pow(sum(v * cos(2 * pi() * b * i / 1024)), 2) + pow(sum(v * sin(2 * pi() * b * i / 1024)), 2)) / 1024, 6) as mag from f, range(4) g(b) group by all"""
+)
+def stft_long_signal(spark, sf_dir):
+    """The lowest bins of one signal as long as ``lineitem``."""
+    items = table(spark, sf_dir, "lineitem")
+    signal = ordered_signal(items, F.lit("l"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], F.col("l_extendedprice") / 1e5, F.floor(F.col("l_orderkey") / 4096))
+    return op.by_bin(op.stft(chunked(signal), TRACK)).where("bin < 4").select("frame_idx", "bin", r("mag").alias("mag"))
