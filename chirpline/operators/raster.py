@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chirpline.config import Stft, ValueScale, Viewport
-from chirpline.functions.scales import as_byte, hz_at, in_mode, normalized
+from chirpline.functions.scales import as_byte, hz_at, in_mode, js_round, normalized, time_and_hz
 from chirpline.operators.lookup import bilinear, frame_counts
 
 #: From empty to full (fixed value).
@@ -56,6 +56,44 @@ def hatched(pixels: DataFrame, painted: DataFrame) -> DataFrame:
     return missing.withColumn("stripe", (F.col("x") + F.col("y")) % 12 < 2)
 
 
+#: Points of a cell, as shares of it, and their weights.
+CELL_TAPS = [(0.5, 0.5, 0.36), (0.25, 0.25, 0.16), (0.75, 0.25, 0.16), (0.25, 0.75, 0.16), (0.75, 0.75, 0.16)]
+
+
+def halftone(frames: DataFrame, rate: float, cfg: Stft, view: Viewport, width: int, height: int, show: ValueScale, cell: float, most: float, angle: float = 0.0, gamma: float = 1.0, threshold: float = 0.0, scale: str = "linear", sizes: DataFrame | None = None) -> DataFrame:
+    """(source_id, channel, i, j, radius): dots of a grid of cells turned by ``angle`` radians.
+
+    The area of a dot follows the mean of five points of its cell; cells whose centre lies
+    outside the canvas have no dot. Cells are made from each signal's own row.
+    """
+    turn = (math.cos(angle), math.sin(angle))
+    x_of = lambda u, v: u * turn[0] - v * turn[1]
+    y_of = lambda u, v: u * turn[1] + v * turn[0]
+    corners = [(x * turn[0] + y * turn[1], -x * turn[1] + y * turn[0]) for x in (0, width) for y in (0, height)]
+    span = [(math.floor(min(c[k] for c in corners) / cell), math.ceil(max(c[k] for c in corners) / cell) - 1) for k in (0, 1)]
+    grid = (frame_counts(frames) if sizes is None else sizes).drop("__total")
+    grid = grid.withColumn("i", F.explode(F.sequence(*map(F.lit, span[0])))).withColumn("j", F.explode(F.sequence(*map(F.lit, span[1]))))
+    u, v = (F.col("i") + 0.5) * cell, (F.col("j") + 0.5) * cell
+    grid = grid.where((x_of(u, v) >= 0) & (x_of(u, v) <= width) & (y_of(u, v) >= 0) & (y_of(u, v) <= height))
+    taps = F.array(*[F.struct(((F.col("i") + a) * cell).alias("u"), ((F.col("j") + b) * cell).alias("v"), F.lit(w).alias("w")) for a, b, w in CELL_TAPS])
+    at = grid.withColumn("tap", F.explode(taps)).select("source_id", "channel", "i", "j", "tap.*")
+    t, hz = time_and_hz(x_of(F.col("u"), F.col("v")), y_of(F.col("u"), F.col("v")), width, height, view, scale)
+    at = at.select("source_id", "channel", "i", "j", "w", ((t * rate - cfg.window_size / 2) / cfg.hop).alias("frame_pos"), (hz * cfg.fft_size / rate).alias("bin_pos"))
+    means = values_at(at, frames, cfg, show.mode, sizes).groupBy("source_id", "channel", "i", "j").agg(F.sum(F.col("w") * normalized(F.col("value"), show)).alias("mean"))
+    energy = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("mean") - threshold) / max(1e-4, 1 - threshold)))
+    return means.select("source_id", "channel", "i", "j", (most * F.sqrt(F.pow(energy, gamma))).alias("radius"))
+
+
+def text_colour(level: Column, mode: str, colour: str = "#00ff66") -> Column:
+    """CSS colour of a character: 'monochrome', 'green' or 'amber' by its level."""
+    part = lambda base, more: js_round(base + level * more).cast("int")
+    if mode == "green":
+        return F.format_string("rgb(0, %d, %d)", part(100, 155), part(0, 50))
+    if mode == "amber":
+        return F.format_string("rgb(%d, %d, 0)", part(120, 135), part(60, 115))
+    return F.lit(colour)
+
+
 def ascii_rows(frames: DataFrame, rate: float, cfg: Stft, view: Viewport, columns: int, rows: int, show: ValueScale, scale: str = "linear", charset: str = CHARSET, invert: bool = False, sizes: DataFrame | None = None) -> DataFrame:
     """(source_id, channel, row, line): the spectrogram in characters.
 

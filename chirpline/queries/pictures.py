@@ -88,3 +88,29 @@ def wav_roundtrip(spark, sf_dir):
     back = wav.chunks_of(files).select("source_id", F.col("x").alias("y"))
     worst = F.array_max(F.zip_with("x", "y", lambda a, b: F.abs(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), a)) - b)))
     return chunks.join(back, "source_id").select(F.col("source_id").cast("long").alias("vec_id"), F.size("y").alias("n"), (worst < 1 / 16384).alias("close"))
+
+
+_TAPS = ", ".join(map(str, op.CELL_TAPS))
+
+
+@query(
+    f"""with {stft_cte(SMALL)}, tp as (select * from (values {_TAPS}) v(a, b, w)), g as (select vec_id, i, j, w, a, b, 0.1 + (i + a) * 3 / 12 * (0.95 - 0.1) as t, 30 - (j + b) * 3 / 8 * 29 as hz from embeddings, range(4) x(i), range(3) y(j), tp where (j + 0.5) * 3 <= 8),
+q as (select *, greatest(0, least(12, (t * 64 - 8) / 4)) as fp, greatest(0, least(7, hz * 16 / 64)) as bp from g),
+q3 as (select *, floor(fp)::bigint as f0, least(12, floor(fp) + 1)::bigint as f1, floor(bp)::bigint as b0, least(7, floor(bp) + 1)::bigint as b1 from q),
+v as (select q3.vec_id, i, j, w, (m00.mag * (1 - (bp - b0)) + m01.mag * (bp - b0)) * (1 - (fp - f0)) + (m10.mag * (1 - (bp - b0)) + m11.mag * (bp - b0)) * (fp - f0) as value from q3
+  join m m00 on m00.vec_id = q3.vec_id and m00.frame_idx = f0 and m00.bin = b0 join m m01 on m01.vec_id = q3.vec_id and m01.frame_idx = f0 and m01.bin = b1
+  join m m10 on m10.vec_id = q3.vec_id and m10.frame_idx = f1 and m10.bin = b0 join m m11 on m11.vec_id = q3.vec_id and m11.frame_idx = f1 and m11.bin = b1)
+select vec_id, i::bigint as i, j::bigint as j, round(1.5 * sqrt(pow(greatest(0, (sum(w::double * {_NORM}) - 0.05) / 0.95), 0.8)), 5) as radius from v group by 1, 2, 3"""
+)
+def halftone_dots(spark, sf_dir):
+    dots = op.halftone(frames(spark, sf_dir), RATE, SMALL, VIEW, 12, 8, ValueScale("magnitude", SHOW.low, SHOW.high), 3.0, 1.5, 0.0, 0.8, 0.05, sizes=sizes(spark, sf_dir))
+    return dots.select(F.col("source_id").cast("long").alias("vec_id"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.round("radius", 5).alias("radius"))
+
+
+@query(
+    """with l as (select vec_id, (vec_id % 101) / 100.0::double as v from embeddings) select vec_id, concat('rgb(0, ', floor(100 + v * 155 + 0.5)::int, ', ', floor(v * 50 + 0.5)::int, ')') as green,
+concat('rgb(', floor(120 + v * 135 + 0.5)::int, ', ', floor(60 + v * 115 + 0.5)::int, ', 0)') as amber, '#00ff66' as monochrome from l"""
+)
+def ascii_colours(spark, sf_dir):
+    level = (F.col("vec_id") % 101) / 100.0
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[op.text_colour(level, m).alias(m) for m in ("green", "amber", "monochrome")])
