@@ -40,7 +40,7 @@ def plausible(a: str, b: str, words: int, threshold: float) -> Column:
     return (apart(a, b, words) <= most_apart(64 * words, threshold)) & (small >= large * F.lit(threshold - 1e-9))
 
 
-def similar_links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame, DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], words: int, threshold: float = 0.8, fine: int = FINE, large: int = LARGE) -> DataFrame:
+def similar_links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame], confirm: Callable[[DataFrame, DataFrame], DataFrame], finer: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], words: int, threshold: float = 0.8, fine: int = FINE, large: int | None = LARGE) -> DataFrame:
     """Links (a, b) that connect all items which banding and verification connect.
 
     ``items`` has one row for each distinct set: id, n (set size), bands (array of
@@ -59,8 +59,8 @@ def similar_links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     the remoter copies of a popular original lie just below the threshold from each
     other. In a bucket of more than ``large`` members pairs are formed only between those
     with a common element among their rarest ones (``by_rare_elements``), so a frequent
-    passage that many sets share doesn't make them candidates. Joins that carry many rows
-    merge sorted shuffles at every size.
+    passage that many sets share doesn't make them candidates. With ``large`` None all pairs
+    of every bucket are formed. Joins that carry many rows merge sorted shuffles at every size.
     """
     if "only" not in items.columns:
         items = items.withColumn("only", F.lit(None).cast("long"))
@@ -87,16 +87,18 @@ def similar_links(items: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     open_rows = written(still.drop("bits").join(mixed, "key"))
     wanted = written(texts.join(open_rows.select("id").distinct(), "id", "left_semi"))
     sketches = written(finer(wanted))
-    few = written(open_rows.where(F.col("members") <= large).join(sketches.join(items.select("id", "bands"), "id"), "id"))
+    few = open_rows if large is None else open_rows.where(F.col("members") <= large)
+    few = written(few.join(sketches.join(items.select("id", "bands"), "id"), "id"))
     apart_yet = (F.col("x.id") < F.col("y.id")) & (F.col("x.part") != F.col("y.part")) & foreign("x", "y") & plausible("x", "y", fine, threshold)
     once = F.array_min(F.array_intersect("x.bands", "y.bands")) == F.col("x.key")  # of the buckets that they share
     pair = [F.col("x.id").alias("a"), F.col("y.id").alias("b")]
     pairs = few.alias("x").join(few.alias("y"), (F.col("x.key") == F.col("y.key")) & apart_yet & once).select(*pair)
-    many = open_rows.where(F.col("members") > large).select("id", "n", "only", "part").distinct()
-    rare = by_rare_elements(elements(wanted.join(many.select("id"), "id", "left_semi")), threshold)
-    met = written(rare.join(many.join(sketches, "id"), "id"))
-    at_first = F.array_min(F.array_intersect("x.rare", "y.rare")) == F.col("x.element")  # of the rare elements that they share
-    pairs = pairs.unionByName(met.alias("x").join(met.alias("y"), (F.col("x.element") == F.col("y.element")) & apart_yet & at_first).select(*pair)).distinct()
+    if large is not None:
+        many = open_rows.where(F.col("members") > large).select("id", "n", "only", "part").distinct()
+        rare = by_rare_elements(elements(wanted.join(many.select("id"), "id", "left_semi")), threshold)
+        met = written(rare.join(many.join(sketches, "id"), "id"))
+        at_first = F.array_min(F.array_intersect("x.rare", "y.rare")) == F.col("x.element")  # of the rare elements that they share
+        pairs = pairs.unionByName(met.alias("x").join(met.alias("y"), (F.col("x.element") == F.col("y.element")) & apart_yet & at_first).select(*pair)).distinct()
     second = confirm(written(pairs), texts)
     return written(first.unionByName(second))
 

@@ -217,7 +217,7 @@ def near_documents(rows_in: DataFrame, shingle: int = 5, percent: int = 80, band
         # rows that repeat an id and a text are one
         return found.groupBy("id", F.xxhash64("text").alias("key")).agg(F.min("text").alias("text")).select("id", "text")
 
-    links = similar_links(items, texts_of, lambda pairs, found: confirmed(pairs, found, shingle, percent), lambda found: fine_sketches(found, shingle), lambda found: shingle_elements(found, shingle), WORDS, percent / 100)
+    links = similar_links(items, texts_of, lambda pairs, found: confirmed(pairs, found, shingle, percent), lambda found: fine_sketches(found, shingle), lambda found: shingle_elements(found, shingle), WORDS, percent / 100, large=None)
     same = linkable.select("doc_id", "set_key").join(classes, "set_key").select("doc_id", F.col("id").alias("b"))
     split = written(same.groupBy("doc_id").agg(F.min("b").alias("a"), F.max("b").alias("high")).where("a < high").select("doc_id", "a"))
     if not split.isEmpty():  # a doc_id with several texts ties their classes
