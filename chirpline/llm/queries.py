@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chirpline.llm import byte_bpe, decontam, fill_middle, fingerprint, importance, language_id, line_dedup, near_dedup, paragraph_dedup, quality, secrets, toxicity
+from chirpline.llm import byte_bpe, decontam, fill_middle, fingerprint, importance, language_id, line_dedup, near_dedup, paragraph_dedup, pitman_yor, quality, secrets, toxicity
 from chirpline.llm.vocab import rank_file
 
 
@@ -57,6 +57,11 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def op11_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return pitman_yor.scores(docs, pitman_yor.train(docs))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resampled(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
@@ -68,7 +73,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
-        for f in (op1_language_id, op2_toxicity, op3_fingerprint, op4_quality, op5_line_dedup, op6_secrets, op7_paragraph_dedup, op8_decontamination, op9_byte_bpe, op10_near_dedup, op12_importance, op13_fill_middle)
+        for f in (op1_language_id, op2_toxicity, op3_fingerprint, op4_quality, op5_line_dedup, op6_secrets, op7_paragraph_dedup, op8_decontamination, op9_byte_bpe, op10_near_dedup, op11_language_model, op12_importance, op13_fill_middle)
     }
 
 
