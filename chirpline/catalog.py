@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chirpline.queries import envelopes, files, lookups, pictures, planning, registry, scalars, spectra, streams  # noqa: F401
+from chirpline.queries import envelopes, files, lookups, pictures, planning, registry, scalars, spectra, stores, streams  # noqa: F401
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

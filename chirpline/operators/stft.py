@@ -52,16 +52,19 @@ def _frames_of(rows: DataFrame, cfg: Stft, kernel: Kernel) -> DataFrame:
     return rows.select("source_id", "channel", "tile_idx", "x").mapInArrow(run, FRAMES)
 
 
-def tiled(chunks: DataFrame, cfg: Stft) -> DataFrame:
+def tiled(chunks: DataFrame, cfg: Stft, wanted: DataFrame | None = None) -> DataFrame:
     """(source_id, channel, tile_idx, x): the samples of each tile with its halo.
 
     Each chunk is sent, cut to size, to the tiles that it touches, so there is one
-    exchange and no group grows with the signal.
+    exchange and no group grows with the signal. Pieces that no wanted tile needs are
+    left out before it.
     """
     hop, span = cfg.tile_hop, cfg.tile_span
     first = F.greatest(F.lit(0), F.floor((F.col("n0") - span) / hop) + 1)
     last = F.floor((F.col("n0") + F.size("x") - 1) / hop)
     sent = chunks.where(F.size("x") > 0).withColumn("tile_idx", F.explode(F.sequence(first, last)))
+    if wanted is not None:
+        sent = sent.join(wanted.select("source_id", "channel", "tile_idx").distinct(), ["source_id", "channel", "tile_idx"], "left_semi")
     start = F.greatest(F.col("n0"), F.col("tile_idx") * hop)
     end = F.least(F.col("n0") + F.size("x"), F.col("tile_idx") * hop + span)
     pieces = sent.where(end > start).select("source_id", "channel", "tile_idx", start.alias("n"), F.slice("x", (start - F.col("n0") + 1).cast("int"), (end - start).cast("int")).alias("piece"))
@@ -79,9 +82,7 @@ def stft(chunks: DataFrame, cfg: Stft, tiles: tuple[int, int] | None = None, ker
     if tiles:
         low, high = tiles
         chunks = chunks.where((F.col("n0") + F.size("x") > low * cfg.tile_hop) & (F.col("n0") < high * cfg.tile_hop + cfg.tile_span))
-    rows = tiled(chunks, cfg)
-    if wanted is not None:
-        rows = rows.join(wanted.select("source_id", "channel", "tile_idx").distinct(), ["source_id", "channel", "tile_idx"], "left_semi")
+    rows = tiled(chunks, cfg, wanted)
     return _frames_of(rows.where(F.col("tile_idx").between(*tiles)) if tiles else rows, cfg, kernel)
 
 

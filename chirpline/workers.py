@@ -36,3 +36,19 @@ def shared_folder(spark: SparkSession) -> str:
     path = tempfile.mkdtemp(prefix="chirpline-")
     atexit.register(shutil.rmtree, path, True)
     return path
+
+
+def committed(spark: SparkSession, path: str) -> list[str]:
+    """The folders below a path that a writer has completed, by name."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    return sorted(s.getPath().getName() for s in fs.listStatus(top) if fs.exists(hadoop.Path(s.getPath(), "_SUCCESS")))
+
+
+def removed_at_exit(path: str) -> str:
+    """A local folder that goes when Python ends; others are left to the cluster's own rules."""
+    atexit.register(shutil.rmtree, path.removeprefix("file://"), True)
+    return path
