@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chirpline.workers import prepare_workers
@@ -59,6 +59,27 @@ def parse_header(raw: bytes, total: int | None = None) -> WavInfo:
     raise ValueError("no fmt or data chunk")
 
 
+def header_of(at: Callable[[int, int], bytes], total: int) -> WavInfo:
+    """The header of a file that is read by (offset, size): its first bytes, then chunk by
+    chunk, skipping what stands before the data."""
+    head = at(0, PREFIX)
+    if not is_wav(head):
+        raise ValueError("no WAV file")
+    place, kept = 12, head[:12]
+    while place + 8 <= total:
+        name = head[place : place + 8] if place + 24 <= len(head) else at(place, 8)
+        if len(name) < 8:
+            break
+        size = struct.unpack_from("<I", name, 4)[0]
+        if name[:4] == b"data":
+            info = parse_header(kept + name, 1 << 62)
+            return replace(info, data_at=place + 8, data_size=max(0, min(size, total - place - 8)))
+        if name[:4] == b"fmt ":
+            kept += name[:4] + struct.pack("<I", 16) + (head[place + 8 : place + 24] if place + 24 <= len(head) else at(place + 8, 16))
+        place += 8 + size + size % 2
+    raise ValueError("no fmt or data chunk")
+
+
 def decode_pcm(raw: bytes, info: WavInfo) -> np.ndarray:
     """(frames, channels) in [-1, 1)."""
     raw = raw[: len(raw) // info.align * info.align]
@@ -93,21 +114,48 @@ def encode(channels: np.ndarray, rate: int, bits: int = 16, quantizer: str = "ro
     x = np.atleast_2d(np.asarray(channels, np.float64).T).T
     if quantizer == "trunc" and x.shape[0] <= 8 and x.shape[0] < x.shape[1]:
         x = x.T
+    raw = encoded_samples(x, bits, quantizer)
+    return header(len(raw), x.shape[1], rate, bits) + raw
+
+
+def encoded_samples(x: np.ndarray, bits: int = 16, quantizer: str = "round") -> bytes:
+    """Bytes of (frames, channels), without a header."""
     if bits == 32:
-        raw, code = x.astype("<f4").tobytes(), 3
-    else:
-        c = np.clip(x, -1, 1)
-        scaled = np.trunc(c * 32767) if quantizer == "trunc" else np.floor(np.where(c < 0, c * 0x8000, c * 0x7FFF) + 0.5)
-        raw, code = scaled.astype("<i2").tobytes(), 1
-    align = x.shape[1] * bits // 8
-    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(raw), b"WAVE", b"fmt ", 16, code, x.shape[1], rate, rate * align, align, bits, b"data", len(raw)) + raw
+        return x.astype("<f4").tobytes()
+    c = np.clip(x, -1, 1)
+    scaled = np.trunc(c * 32767) if quantizer == "trunc" else np.floor(np.where(c < 0, c * 0x8000, c * 0x7FFF) + 0.5)
+    return scaled.astype("<i2").tobytes()
+
+
+def header(size: int, channels: int, rate: int, bits: int) -> bytes:
+    """The header of a file with ``size`` bytes of samples."""
+    align = channels * bits // 8
+    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + size, b"WAVE", b"fmt ", 16, 3 if bits == 32 else 1, channels, rate, rate * align, align, bits, b"data", size)
+
+
+#: Chunks that may stand before the data of a file read as a whole row.
+BEFORE_DATA = 64
+
+
+def _little(content: Column, at: Column) -> Column:
+    """The unsigned number of four bytes at an offset from 0."""
+    byte = lambda k: F.conv(F.hex(F.substring(content, (at + k + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    return F.coalesce(byte(0) + byte(1) * 256 + byte(2) * 65536 + byte(3) * 16777216, F.lit(0).cast("long"))
+
+
+def header_bytes(content: Column) -> Column:
+    """The bytes up to the end of the data chunk's head, found by walking the chunks' sizes."""
+    named = lambda at: F.substring(content, (at + 1).cast("int"), F.lit(4)) == b"data"
+    step = lambda at, _: F.when(named(at) | (at > F.length(content)), at).otherwise(at + 8 + _little(content, at + 4) + _little(content, at + 4) % 2)
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(BEFORE_DATA)), F.lit(12).cast("long"), step)
+    return F.substring(content, F.lit(1), F.least(at + 8, F.length(content)).cast("int"))
 
 
 def headers(files: DataFrame) -> DataFrame:
     """(path, rate, channels, bits, n_samples, duration, error) of a ``binaryFile`` DataFrame.
 
-    Only the first bytes go to Python, or all of a file whose data begin beyond them. A file
-    that can't be read is a row with an error.
+    Only what stands before the samples goes to Python. A file that can't be read is a row
+    with an error.
     """
     prepare_workers(files.sparkSession)
     schema = pa.schema([("path", pa.string()), ("rate", pa.int32()), ("channels", pa.int32()), ("bits", pa.int32()), ("n_samples", pa.int64()), ("duration", pa.float64()), ("error", pa.string())])
@@ -124,8 +172,7 @@ def headers(files: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
 
     wavs = files.where((F.substring("content", 1, 4) == b"RIFF") & (F.substring("content", 9, 4) == b"WAVE"))
-    first = F.substring("content", 1, PREFIX)
-    head = F.when(F.instr(first.cast("string"), "data") > 0, first).otherwise(F.col("content"))
+    head = header_bytes(F.col("content"))
     return wavs.select("path", F.length("content").cast("long").alias("length"), head.alias("head")).mapInArrow(run, "path string, rate int, channels int, bits int, n_samples long, duration double, error string")
 
 
@@ -151,15 +198,15 @@ def chunks_of(files: DataFrame, size: int = 1 << 16) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, schema)
 
 
-def encoded(chunks: DataFrame, rate: int, bits: int = 16, quantizer: str = "round") -> DataFrame:
-    """(source_id, content): one file for each signal, which must fit in a task."""
-    prepare_workers(chunks.sparkSession)
-    whole = chunks.groupBy("source_id", "channel").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("n0", "x"))), lambda s: s["x"])).alias("x"))
-    files = whole.groupBy("source_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("channel", "x"))), lambda s: s["x"]).alias("xs"))
+def encoded(signals: DataFrame, rate: int, bits: int = 16, quantizer: str = "round") -> DataFrame:
+    """(source_id, content): a file for each row (source_id, x), which holds a whole signal, or
+    (source_id, xs), its channels. Long signals are written by the data source, in pieces."""
+    prepare_workers(signals.sparkSession)
+    rows = signals if "xs" in signals.columns else signals.withColumn("xs", F.array("x"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [encode(np.array(xs).T, rate, bits, quantizer) for xs in b.column("xs").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("source_id"), pa.array(made, pa.binary())], names=["source_id", "content"])
 
-    return files.mapInArrow(run, "source_id string, content binary")
+    return rows.select("source_id", "xs").mapInArrow(run, "source_id string, content binary")

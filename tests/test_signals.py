@@ -111,13 +111,13 @@ def test_wav_bytes_and_errors():
 
 def test_wav_source_splits_files(spark, tmp_path):
     from chirpline.sources.dispatch import read_audio
-    from chirpline.sources.wav_source import WavSource
+    from chirpline.sources.wav_source import register
 
     x = np.random.default_rng(4).uniform(-1, 1, (1000, 2))
     (tmp_path / "a.wav").write_bytes(wav.encode(x, 100, bits=32))
     (tmp_path / "b.txt").write_bytes(b"no audio")
-    spark.dataSource.register(WavSource)
-    df = spark.read.format("chirpline_wav").option("frames", 300).option("chunk", 128).load(f"{tmp_path}/*.wav")
+    register(spark)
+    df = spark.read.format("chirpline_wav").option("split", 2400).option("chunk", 128).load(f"{tmp_path}/*.wav")
     assert df.rdd.getNumPartitions() == 4
     got = sorted((r["channel"], r["n0"], r["x"]) for r in df.collect())
     assert np.allclose(np.concatenate([v for c, _, v in got if c == 1]), x[:, 1], atol=1e-7)
