@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -93,39 +92,42 @@ def frequency_label(hz: Column, style: str | Callable[[Column], Column] = "auto"
     return F.when(a < 1000, plain).when(k % 1 == 0, F.concat(k.cast("long").cast("string"), F.lit(" kHz"))).otherwise(F.concat(F.format_string("%.1f", k), F.lit(" kHz")))
 
 
-def frequency_step(low: float, high: float, height: float, spacing: float = 45) -> int:
-    """The smallest step of the 1-2-5 ladder up to 50 kHz that keeps ticks apart."""
-    raw = (high - low) / max(1, math.floor(height / spacing))
-    ladder = [m * 10**e for e in range(5) for m in (1, 2, 5)]
-    return next((s for s in ladder if s >= raw), ladder[-1])
+def multiples(low: Column, high: Column, of: Column) -> Column:
+    """Multiples of a step in a range, each rounded to whole hertz (so that small steps repeat)."""
+    every = F.transform(F.sequence(F.floor(low / of), F.floor((high + 1e-6) / of)), lambda k: js_round(k * of).cast("double"))
+    return F.filter(every, lambda f: (f >= low) & (f <= high))
 
 
-def frequency_ticks(low: float, high: float, height: float, scale: str = "linear", spacing: float = 45) -> tuple[list[int], list[int]]:
-    """Major and minor ticks of one axis; a handful of numbers, made on the driver."""
-    height, low = max(1.0, height), max(0.0, low)
-    high = max(low + 1, high)
-    if scale == "linear":
-        step = frequency_step(low, high, height, spacing)
-
-        def multiples(of: float) -> list[int]:
-            ks = range(math.floor(low / of), math.floor((high + 1e-6) / of) + 1)
-            return [f for f in (math.floor(k * of + 0.5) for k in ks) if low <= f <= high]
+def spaced(candidates: Column, least: Column | float, place: Callable[[Column], Column]) -> Column:
+    """Of ascending candidates those that are ``least`` pixels from the last that was taken."""
+    nothing = F.struct(F.array().cast("array<double>").alias("kept"), F.lit(None).cast("double").alias("at"))
+    fits = lambda taken, f: taken["at"].isNull() | (F.abs(place(f) - taken["at"]) >= least)
+    step = lambda taken, f: F.when(fits(taken, f), F.struct(F.array_append(taken["kept"], f).alias("kept"), place(f).alias("at"))).otherwise(taken)
+    return F.aggregate(candidates, nothing, step)["kept"]
 
-        return multiples(step), multiples(step / 5)
 
-    def apart(candidates: list[int], least: float, place: Callable[[float], float]) -> list[int]:
-        kept: list[int] = []
-        for f in candidates:
-            y = place(f)
-            if not kept or abs(y - place(kept[-1])) >= least:
-                kept.append(f)
-        return kept
+def frequency_ticks(low: Column, high: Column, height: Column, scale: str = "linear", spacing: float = 45) -> tuple[Column, Column]:
+    """(major, minor): ticks in hertz of an axis for each row, as arrays.
 
+    Linear axes take the smallest step of the 1-2-5 ladder up to 50 kHz that keeps ticks
+    ``spacing`` pixels apart, and fifths of it. On the others candidates are taken one after
+    another if they are far enough from the last.
+    """
+    numbers = lambda ns: F.array(*[F.lit(float(n)) for n in ns])
+    low = F.greatest(F.lit(0.0), low.cast("double"))
+    high, height = F.greatest(low + 1, high.cast("double")), F.greatest(F.lit(1.0), height.cast("double"))
+    inside = lambda ns: F.filter(numbers(ns), lambda f: (f >= low) & (f <= high))
+    if scale == "linear":
+        ladder = [m * 10**e for e in range(5) for m in (1, 2, 5)]
+        raw = (high - low) / F.greatest(F.lit(1), F.floor(height / spacing))
+        step = F.coalesce(F.get(F.filter(numbers(ladder), lambda s: s >= raw), 0), F.lit(float(ladder[-1])))
+        return multiples(low, high, step), multiples(low, high, step / 5)
     if scale == "log":
-        a, b = math.log10(max(1.0, low)), math.log10(max(1.0, high))
-        within = lambda mantissas, top: [m * 10**e for e in range(1, 5) for m in mantissas if low <= m * 10**e <= min(high, top)]
-        major = apart(within((1, 2, 5), 20_000), spacing * 0.75, lambda f: (1 - (math.log10(f) - a) / (b - a)) * height)
-        return major, [f for f in within(range(1, 10), 50_000) if f not in major]
-    mel = lambda f: 2595 * math.log10(1 + f / 700)
-    a, b = mel(low), mel(high)
-    return apart([f for f in MEL_TICKS if low <= f <= high], spacing, lambda f: (1 - (mel(f) - a) / (b - a)) * height), []
+        on_axis = lambda f: F.log10(F.greatest(F.lit(1.0), f))
+        decades = lambda mantissas, top: [m * 10**e for e in range(1, 5) for m in mantissas if m * 10**e <= top]
+        candidates, fine, least = inside(decades((1, 2, 5), 20_000)), inside(decades(range(1, 10), 50_000)), spacing * 0.75
+    else:
+        on_axis = lambda f: 2595 * F.log10(1 + f / 700)
+        candidates, fine, least = inside(MEL_TICKS), None, spacing
+    major = spaced(candidates, least, lambda f: (1 - (on_axis(f) - on_axis(low)) / (on_axis(high) - on_axis(low))) * height)
+    return major, F.array().cast("array<double>") if fine is None else F.array_except(fine, major)

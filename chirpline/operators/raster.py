@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chirpline.config import Stft, ValueScale, Viewport
+from chirpline.functions.colormap import colour_map
 from chirpline.functions.scales import as_byte, hz_at, in_mode, js_round, normalized, time_and_hz
 from chirpline.operators.lookup import bilinear, frame_counts
 
@@ -84,14 +85,18 @@ def halftone(frames: DataFrame, rate: float, cfg: Stft, view: Viewport, width: i
     return means.select("source_id", "channel", "i", "j", (most * F.sqrt(F.pow(energy, gamma))).alias("radius"))
 
 
-def text_colour(level: Column, mode: str, colour: str = "#00ff66") -> Column:
-    """CSS colour of a character: 'monochrome', 'green' or 'amber' by its level."""
+def text_colour(level: Column, mode: str = "colormap", colour: str = "#00ff66", colours: str = "viridis") -> Column:
+    """CSS colour of a character by its level: that of a colour map, 'green' or 'amber', or one
+    for all ('monochrome')."""
     part = lambda base, more: js_round(base + level * more).cast("int")
     if mode == "green":
         return F.format_string("rgb(0, %d, %d)", part(100, 155), part(0, 50))
     if mode == "amber":
         return F.format_string("rgb(%d, %d, 0)", part(120, 135), part(60, 115))
-    return F.lit(colour)
+    if mode == "monochrome":
+        return F.lit(colour)
+    shown = F.array(*[F.lit(f"rgba({r}, {g}, {b}, {a / 255:g})") for r, g, b, a in colour_map(colours)])
+    return F.get(shown, F.greatest(F.lit(0), F.least(F.lit(255), js_round(level * 255))).cast("int"))
 
 
 def ascii_rows(frames: DataFrame, rate: float, cfg: Stft, view: Viewport, columns: int, rows: int, show: ValueScale, scale: str = "linear", charset: str = CHARSET, invert: bool = False, sizes: DataFrame | None = None) -> DataFrame:

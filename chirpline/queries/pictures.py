@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chirpline.config import ValueScale, Viewport
-from chirpline.functions.colormap import ANCHORS, colour_table
+from chirpline.functions.colormap import ANCHORS, TAB20, colour_table, colour_tables, stops_of
 from chirpline.operators import raster as op
 from chirpline.queries.registry import RATE, SMALL, embeddings, frames, query, sizes, stft_cte, table
 from chirpline.sources import wav
@@ -18,9 +18,24 @@ _LUT = f"""st as (select * from (values {_STOPS}) v(pos, r, g, b)), lut as (
   join st hi on hi.pos = p.h join st lo on lo.pos = p.l, lateral (select case when h = l then 0 else (i / 255.0::double - l) / (h - l) end as t))"""
 
 
-@query(f"with {_LUT} select idx, r, g, b, a from lut")
+MAPS = ["viridis", "magma", "Turbo", "jet", "tab20", "bone_r"]
+_PLACED = ", ".join(str((name, *stop)) for name in MAPS if name != "tab20" for stop in stops_of(name))
+
+
+@query(
+    f"""with st as (select * from (values {_PLACED}) v(map, pos, r, g, b)), p as (select p_partkey, {MAPS}[p_partkey % {len(MAPS)} + 1] as map, (p_partkey * 7 + floor(p_retailprice)::bigint) % 256 as idx from part),
+e as (select *, idx / 255.0::double as here from p), b as (select e.*, (select min(pos) from st where st.map = e.map and pos >= here)::double as h, (select max(pos) from st where st.map = e.map and pos <= here)::double as l from e),
+c as (select b.*, case when h = l then 0 else (here - l) / (h - l) end as t from b)
+select p_partkey, c.map, idx, floor(lo.r + (hi.r - lo.r) * t + 0.5)::int as r, floor(lo.g + (hi.g - lo.g) * t + 0.5)::int as g, floor(lo.b + (hi.b - lo.b) * t + 0.5)::int as b, 255 as a
+from c join st hi on hi.map = c.map and hi.pos = c.h join st lo on lo.map = c.map and lo.pos = c.l
+union all select p_partkey, map, idx, {[list(c) for c in TAB20]}[idx * 20 // 256 + 1][1]::int, {[list(c) for c in TAB20]}[idx * 20 // 256 + 1][2]::int, {[list(c) for c in TAB20]}[idx * 20 // 256 + 1][3]::int, 255 from p where map = 'tab20'"""
+)
 def colormap_lut(spark, sf_dir):
-    return colour_table(spark, "viridis")
+    """The colour of each part, by one of several maps."""
+    key = F.col("p_partkey")
+    named = F.get(F.array(*map(F.lit, MAPS)), (key % len(MAPS)).cast("int")).alias("map")
+    parts = table(spark, sf_dir, "part").select("p_partkey", named, ((key * 7 + F.floor("p_retailprice")) % 256).alias("idx"))
+    return parts.join(F.broadcast(colour_tables(spark, MAPS)), ["map", "idx"]).select("p_partkey", "map", "idx", "r", "g", "b", "a")
 
 
 def _values_sql(keys: str, frame_pos: str, bin_pos: str) -> str:
@@ -108,9 +123,10 @@ def halftone_dots(spark, sf_dir):
 
 
 @query(
-    """with l as (select vec_id, (vec_id % 101) / 100.0::double as v from embeddings) select vec_id, concat('rgb(0, ', floor(100 + v * 155 + 0.5)::int, ', ', floor(v * 50 + 0.5)::int, ')') as green,
-concat('rgb(', floor(120 + v * 135 + 0.5)::int, ', ', floor(60 + v * 115 + 0.5)::int, ', 0)') as amber, '#00ff66' as monochrome from l"""
+    f"""with {_LUT}, l as (select vec_id, (embedding[1]::double + 1) / 2 as v from embeddings) select vec_id, concat('rgb(0, ', floor(100 + v * 155 + 0.5)::int, ', ', floor(v * 50 + 0.5)::int, ')') as green,
+concat('rgb(', floor(120 + v * 135 + 0.5)::int, ', ', floor(60 + v * 115 + 0.5)::int, ', 0)') as amber, '#00ff66' as monochrome, concat('rgba(', r, ', ', g, ', ', b, ', 1)') as colormap
+from l join lut on idx = greatest(0, least(255, floor(v * 255 + 0.5)))"""
 )
 def ascii_colours(spark, sf_dir):
-    level = (F.col("vec_id") % 101) / 100.0
-    return table(spark, sf_dir, "embeddings").select("vec_id", *[op.text_colour(level, m).alias(m) for m in ("green", "amber", "monochrome")])
+    level = (F.get("embedding", 0).cast("double") + 1) / 2
+    return table(spark, sf_dir, "embeddings").select("vec_id", *[op.text_colour(level, m).alias(m) for m in ("green", "amber", "monochrome", "colormap")])

@@ -182,39 +182,64 @@ def time_ticks(spark, sf_dir):
 
 
 @query(
-    """with v as (select unnest([0.01, 0.2, 1, 2, 5, 10, 15, 30, 60, 120, 300, 600, 1800, 3600, 7200]::double[]) as step)
-select step, case when step in (1800, 3600) then 6 when step in (0.2, 2, 7200) then (case step when 7200 then 5 else 4 end) else 5 end as parts from v"""
+    f"""with v as (select o_orderkey, (o_orderkey % 500)::double as a, (o_orderkey % 500)::double + (1 + o_custkey % 97 * 13.0) * case o_orderkey % 4 when 0 then 0.01 when 1 then 1 when 2 then 7 else 60 end as b, (300 + o_custkey % 700)::double as w from orders),
+q as (select *, greatest(1e-6, b - a) / greatest(1, floor(w / 75)) as raw from v), s as (select *, coalesce(list_filter({_STEPS_SQL}, lambda x: x >= raw)[1], 86400.0) as step from q),
+p as (select *, case when step in (1800, 3600) then 6 when step in (0.001, 0.002, 0.02, 0.2, 2, 20, 7200) and step <> 0.001 then case when step = 7200 then 5 else 4 end else 5 end as parts from s)
+select o_orderkey, parts, round(k * (step / parts), 9) as tick from p, unnest(range(floor((a - 1e-9) / (step / parts))::bigint, ceil((b + 1e-9) / (step / parts))::bigint + 1)) u(k) where k * (step / parts) >= a - 1e-9 and k * (step / parts) <= b + 1e-9"""
 )
 def minor_ticks(spark, sf_dir):
-    steps = spark.createDataFrame([(x,) for x in (0.01, 0.2, 1.0, 2.0, 5.0, 10.0, 15.0, 30.0, 60.0, 120.0, 300.0, 600.0, 1800.0, 3600.0, 7200.0)], "step double")
-    return steps.select("step", axis.minor_parts(F.col("step")).alias("parts"))
+    """Minor ticks of time axes of a hundredth of a second to a day."""
+    key = F.col("o_orderkey")
+    a = (key % 500).cast("double")
+    b = a + (1 + F.col("o_custkey") % 97 * 13.0) * F.element_at(F.array(F.lit(0.01), F.lit(1.0), F.lit(7.0), F.lit(60.0)), (key % 4 + 1).cast("int"))
+    views = table(spark, sf_dir, "orders").select("o_orderkey", a.alias("a"), b.alias("b"), (300 + F.col("o_custkey") % 700).alias("w"))
+    stepped = views.withColumn("step", axis.time_step(F.col("a"), F.col("b"), F.col("w"))).withColumn("parts", axis.minor_parts(F.col("step")))
+    return stepped.select("o_orderkey", "parts", F.explode(axis.ticks_between(F.col("a"), F.col("b"), F.col("step") / F.col("parts"))).alias("tick")).withColumn("tick", r("tick", 9))
+
+
+_AXES = """v as (select p_partkey, (p_partkey % 7 * 50)::double as low, p_partkey % 7 * 50 + p_retailprice::double * (1 + p_partkey % 20) as high, (100 + p_partkey % 900)::double as height from part)"""
+_DECADES = "t as (select (m * pow(10, e))::double as f, m from range(1, 10) a(m), range(1, 5) b(e))"
+
+
+def _greedy(least: float) -> str:
+    """k(p_partkey, f): candidates c(p_partkey, f, y), each far enough from the last."""
+    return f"""k as (select p_partkey, f, y from c where (p_partkey, f) in (select p_partkey, min(f) from c group by 1)
+  union all select p_partkey, f, y from (select c.p_partkey, c.f, c.y, row_number() over (partition by c.p_partkey order by c.f) as i from k join c on c.p_partkey = k.p_partkey and c.f > k.f and abs(c.y - k.y) >= {least}) where i = 1)"""
 
 
-def _ticks(spark, scale, low, high, height):
-    major, minor = axis.frequency_ticks(low, high, height, scale)
-    return spark.createDataFrame([(float(f), "major") for f in major] + [(float(f), "minor") for f in minor], "hz double, kind string")
+def _ticks(spark, sf_dir, scale):
+    """Ticks of a frequency axis for each part."""
+    key = F.col("p_partkey")
+    low = (key % 7 * 50).cast("double")
+    major, minor = axis.frequency_ticks(low, low + F.col("p_retailprice").cast("double") * (1 + key % 20), 100 + key % 900, scale)
+    both = F.flatten(F.array(F.transform(major, lambda f: F.struct(f.alias("hz"), F.lit("major").alias("kind"))), F.transform(minor, lambda f: F.struct(f.alias("hz"), F.lit("minor").alias("kind")))))
+    return table(spark, sf_dir, "part").select("p_partkey", F.inline(both))
 
 
 @query(
-    """select (k * 2000)::double as hz, 'major' as kind from range(0, 12) a(k) where k * 2000 <= 22050
-union all select (k * 400)::double, 'minor' from range(0, 60) b(k) where k * 400 <= 22050"""
+    f"""with {_AXES}, s as (select *, list_filter(list_transform(range(0, 15), lambda i: [1, 2, 5][i % 3 + 1] * pow(10, i // 3)), lambda x: x >= (high - low) / greatest(1, floor(height / 45)))[1] as step from v),
+k as (select p_partkey, low, high, 'major' as kind, floor(unnest(range(floor(low / step)::bigint, floor((high + 1e-6) / step)::bigint + 1)) * step + 0.5) as hz from s
+  union all select p_partkey, low, high, 'minor', floor(unnest(range(floor(low / (step / 5))::bigint, floor((high + 1e-6) / (step / 5))::bigint + 1)) * (step / 5) + 0.5) from s)
+select p_partkey, hz::double as hz, kind from k where hz >= low and hz <= high"""
 )
 def freq_ticks_linear(spark, sf_dir):
-    return _ticks(spark, "linear", 0, 22050, 600)
+    return _ticks(spark, sf_dir, "linear")
 
 
 @query(
-    """with t as (select (m * pow(10, e))::double as hz, m from range(1, 10) a(m), range(1, 5) b(e))
-select hz, case when m in (1, 2, 5) and hz <= 20000 then 'major' else 'minor' end as kind from t where hz >= 20 and hz <= 20000"""
+    f"""with recursive {_AXES}, {_DECADES},
+c as (select p_partkey, f, (1 - (log10(f) - log10(greatest(1, low))) / (log10(high) - log10(greatest(1, low)))) * height as y from v join t on m in (1, 2, 5) and f <= 20000 and f >= low and f <= high), {_greedy(45 * 0.75)}
+select p_partkey, f as hz, 'major' as kind from k
+union all select p_partkey, f, 'minor' from v join t on f >= low and f <= high where (p_partkey, f) not in (select p_partkey, f from k)"""
 )
 def freq_ticks_log(spark, sf_dir):
-    return _ticks(spark, "log", 20, 20000, 900)
+    return _ticks(spark, sf_dir, "log")
 
 
 @query(
-    f"""with recursive c as (select f, (1 - 2595 * log10(1 + f / 700) / (2595 * log10(1 + 22050 / 700.0))) * 1200 as y from (select unnest({axis.MEL_TICKS}::double[]) as f) where f <= 22050),
-k as (select f, y from c where f = 0 union all select n.f, n.y from k, lateral (select f, y from c where c.f > k.f and abs(c.y - k.y) >= 45 order by f limit 1) n)
-select f as hz, 'major' as kind from k"""
+    f"""with recursive {_AXES},
+c as (select p_partkey, f, (1 - (log10(1 + f / 700) - log10(1 + low / 700)) / (log10(1 + high / 700) - log10(1 + low / 700))) * height as y from v join (select unnest({axis.MEL_TICKS}::double[]) as f) on f >= low and f <= high), {_greedy(45)}
+select p_partkey, f as hz, 'major' as kind from k"""
 )
 def freq_ticks_mel(spark, sf_dir):
-    return _ticks(spark, "mel", 0, 22050, 1200)
+    return _ticks(spark, sf_dir, "mel")
