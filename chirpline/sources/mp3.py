@@ -103,15 +103,18 @@ def info(raw: bytes, total: int | None = None) -> tuple[int, int, int, float] |
     return h.rate, h.channels, h.kbps, seconds
 
 
-def frames_of(raw: bytes) -> list[tuple[int, int]]:
-    """(offset, length) of each whole frame."""
-    out, at = [], next_frame(raw, tag_size(raw))
+def walked(raw: bytes, at: int | None) -> Iterator[tuple[int, FrameHeader]]:
+    """(offset, header) of each whole frame from a place on; what isn't a frame is skipped."""
     while at is not None and (h := frame_header(raw, at)) and at + h.length <= len(raw):
-        out.append((at, h.length))
+        yield at, h
         at += h.length
         if frame_header(raw, at) is None:
             at = next_frame(raw, at)
-    return out
+
+
+def frames_of(raw: bytes) -> list[tuple[int, int]]:
+    """(offset, length) of each whole frame."""
+    return [(at, h.length) for at, h in walked(raw, next_frame(raw, tag_size(raw)))]
 
 
 def _word(content: Column, at: Column) -> Column:
