@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chirpline.queries import envelopes, files, grids, lookups, mp3_seeks, pictures, planning, pyramids, registry, scalars, spectra, stores, streams, wav_files  # noqa: F401
+from chirpline.queries import array_sources, envelopes, files, grids, lookups, mp3_seeks, pictures, planning, pyramids, registry, scalars, spectra, stores, streams, wav_files  # noqa: F401
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,15 +51,24 @@ def envelope(samples: DataFrame, start: float, end: float, width: int, rate: flo
     return _bucketed(samples, dt, rate, first, last).select("source_id", "channel", "k", centre.alias("t_center"), ((centre - start) / (end - start) * width).alias("x_px"), "low", "high")
 
 
-def line(samples: DataFrame, start: float, end: float, width: int, rate: float) -> DataFrame:
+def line(samples: DataFrame, start: float, end: float, width: int, rate: float, sizes: DataFrame | None = None) -> DataFrame:
     """(source_id, channel, n, x_px, y) of every sample of a viewport and one beyond each end,
     for zooms with at most one sample a pixel. A range that reaches the end of a signal has
-    one more point, at which the last sample is repeated."""
+    one more point, at which the last sample is repeated.
+
+    That point needs the lengths (source_id, channel, n_samples) of the signals; with them, as
+    ``signals.lengths`` takes from chunks, no sample outside the viewport is looked at.
+    """
     low, high = math.floor(start * rate) - 1, math.ceil(end * rate) + 1
-    inside = samples.where(F.col("n").between(low, high))
-    last = samples.groupBy("source_id", "channel").agg(F.max_by("x", "n").alias("x"), (F.max("n") + 1).alias("n")).where(F.col("n").between(low, high))
-    inside = inside.select("source_id", "channel", "n", "x").unionByName(last)
-    return inside.select("source_id", "channel", "n", ((F.col("n") / rate - start) / (end - start) * width).alias("x_px"), F.col("x").alias("y"))
+    inside = samples.where(F.col("n").between(low, high)).select("source_id", "channel", "n", "x")
+    if sizes is None:
+        sizes = samples.groupBy("source_id", "channel").agg((F.max("n") + 1).alias("n_samples"))
+    ends = sizes.where(F.col("n_samples").between(low, high)).select("source_id", "channel", (F.col("n_samples") - 1).alias("n"))
+    last = inside.join(ends, ["source_id", "channel", "n"]).select("source_id", "channel", (F.col("n") + 1).alias("n"), "x")
+    # the last sample of a range that begins right behind it lies outside
+    behind = samples.where(F.col("n") == low - 1).join(ends, ["source_id", "channel", "n"]).select("source_id", "channel", (F.col("n") + 1).alias("n"), "x")
+    points = inside.unionByName(last).unionByName(behind)
+    return points.select("source_id", "channel", "n", ((F.col("n") / rate - start) / (end - start) * width).alias("x_px"), F.col("x").alias("y"))
 
 
 def bars(samples: DataFrame, start: float, end: float, seconds: float, rate: float) -> DataFrame:

@@ -28,23 +28,31 @@ def tumbling(samples: DataFrame, rows: int = 30) -> DataFrame:
     return full.select("source_id", "k", "low", "high", "mean", (1000 / F.col("mean")).alias("rate"))
 
 
-def _bucket(x: Column) -> Column:
-    """A coarse monotonic number of a value; some ten thousand different ones at most."""
-    return F.floor(F.asinh(x * 1000) * 64)
+#: Quantiles of a source that cut its values into buckets.
+CUTS = 64
 
 
 def at_ranks(samples: DataFrame, sizes: DataFrame, ranks: dict[str, Column]) -> DataFrame:
     """(source_id, name, ...): for each name the value at a zero-based rank, an expression of
-    ``count``. Values are counted by (bucket, value), the counts of lower buckets are added
-    up, and only the buckets that hold a rank are sorted, so no task sorts a whole source."""
-    counted = samples.groupBy("source_id", _bucket(F.col("x")).alias("bucket"), "x").agg(F.count(F.lit(1)).alias("c"))
-    buckets = counted.groupBy("source_id", "bucket").agg(F.sum("c").alias("m"))
+    ``count``.
+
+    Values lie in buckets between approximate quantiles of their own source, so buckets are
+    about as large however narrow the values lie; equal values are counted together first. The
+    counts of lower buckets are added up, and only the buckets that hold a rank are sorted.
+    """
+    counted = samples.groupBy("source_id", "x").agg(F.count(F.lit(1)).alias("c"))
+    cuts = samples.groupBy("source_id").agg(F.percentile_approx("x", [k / CUTS for k in range(1, CUTS)], 2000).alias("cuts"))
+    wide = 8
+    passed = lambda at: F.coalesce((F.get("cuts", at) <= F.col("x")).cast("int"), F.lit(0))
+    dealt = counted.join(cuts, "source_id").withColumn("step", sum((passed(F.lit(wide * k - 1)) for k in range(1, CUTS // wide)), F.lit(0)) * wide)
+    dealt = dealt.withColumn("bucket", sum((passed(F.col("step") + k) for k in range(wide)), F.col("step"))).select("source_id", "bucket", "x", "c")
+    buckets = dealt.groupBy("source_id", "bucket").agg(F.sum("c").alias("m"))
     below = F.sum("m").over(Window.partitionBy("source_id").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     placed = buckets.withColumn("below", F.coalesce(below, F.lit(0))).join(sizes.select("source_id", "count"), "source_id").select("*", *[r.alias(n) for n, r in ranks.items()])
     holds = F.lit(False)
     for n in ranks:
         holds = holds | F.col(n).between(F.col("below"), F.col("below") + F.col("m") - 1)
-    inside = counted.join(placed.where(holds), ["source_id", "bucket"])
+    inside = dealt.join(placed.where(holds), ["source_id", "bucket"])
     upto = F.col("below") + F.sum("c").over(Window.partitionBy("source_id", "bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
     ranked = inside.withColumn("upto", upto)
     found = [F.max(F.when(F.col(n).between(F.col("upto") - F.col("c"), F.col("upto") - 1), F.col("x"))).alias(n) for n in ranks]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chirpline.operators import intervals, peaks, stats
 from chirpline.queries.registry import EV, events, query, r, table
+from chirpline.sources.signals import chunked, exploded, lengths
 
 
 @query(
@@ -65,6 +66,13 @@ def summary_stats(spark, sf_dir):
     return s.select("source_id", "count", r("mean").alias("mean"), r("median").alias("median"), r("std").alias("std"), "low", "high", "p95")
 
 
+@query(f"with {EV}, c as (select source_id, max(n) + 1 as total from ev group by 1) select source_id, n, x as y from ev where n >= 149 union all select ev.source_id, total, x from ev join c on ev.source_id = c.source_id and n = total - 1")
+def peaks_line_end(spark, sf_dir):
+    """A viewport that reaches beyond the ends: each has its last sample once more."""
+    chunks = chunked(events(spark, sf_dir), 500)
+    return peaks.line(exploded(chunks), 150.0, 1e7, 800, 1.0, lengths(chunks)).select("source_id", "n", "y")
+
+
 _DAY = "date_diff('day', date '1990-01-01', o_orderdate::date)"
 _RANGES = f"rg as (select o_custkey as k, {_DAY}::double as s, ({_DAY} + o_orderkey % 60)::double as e from orders)"
 _ISLANDS = f"""{_RANGES}, a as (select *, max(e) over (partition by k order by s, e rows between unbounded preceding and 1 preceding) as before from rg where e > s),
