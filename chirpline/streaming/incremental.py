@@ -11,19 +11,26 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chirpline.config import Stft
 from chirpline.operators.stft import spectra
+from chirpline.streaming.waiting import in_order
 from chirpline.workers import prepare_workers
 
 STATE = "frontier long, tail array<double>, waiting_n array<long>, waiting_x array<array<double>>"
 OUT = "source_id string, channel int, frame_idx long, mag array<double>"
 
 
-def stream_stft(chunks: DataFrame, cfg: Stft) -> DataFrame:
+#: Samples of a signal that may wait for a missing chunk.
+WAITING = 1 << 20
+
+
+def stream_stft(chunks: DataFrame, cfg: Stft, most_waiting: int = WAITING) -> DataFrame:
     """Frames of a stream of chunks (source_id, channel, n0, x), each once it is complete.
 
     State holds the samples that coming frames still need, fewer than a window, and chunks
     that came before their predecessors. Samples up to the contiguous frontier are final:
-    later copies of them are ignored, so a chunk may be sent again. What is left at the end
-    is shorter than a window and gives no frame.
+    later copies of them are ignored, so a chunk may be sent again. If more than
+    ``most_waiting`` samples wait for a missing chunk, it counts as lost: frames that need it
+    are left out, and the others keep their numbers. What is left at the end is shorter than a
+    window and gives no frame.
     """
     prepare_workers(chunks.sparkSession)
 
@@ -37,19 +44,28 @@ def stream_stft(chunks: DataFrame, cfg: Stft) -> DataFrame:
             for n0, x in zip(b["n0"], b["x"]):
                 if len(x) > len(waiting.get(n0, ())):
                     waiting[int(n0)] = np.array(x, float)
-        while ready := [n for n in waiting if n <= frontier]:
-            n0 = min(ready)
-            fresh = waiting.pop(n0)[frontier - n0 :]
+        firsts, mags = [], []
+
+        def flush():
+            nonlocal tail
+            begin = frontier - len(tail)  # the next frame's first sample, or earlier
+            first = -(-begin // cfg.hop)
+            made = spectra(tail[first * cfg.hop - begin :], cfg, weights)
+            tail = tail[min(max(0, (first + len(made)) * cfg.hop - begin), len(tail)) :]
+            firsts.extend(range(first, first + len(made)))
+            mags.extend(made)
+
+        def lost(on: int):
+            nonlocal tail, frontier
+            flush()
+            tail, frontier = np.empty(0), on
+
+        for _, fresh in in_order(waiting, frontier, most_waiting, lost):
             tail, frontier = np.concatenate([tail, fresh]), frontier + len(fresh)
-        begin = frontier - len(tail)  # the next frame's first sample, or earlier
-        first = -(-begin // cfg.hop)
-        skip = first * cfg.hop - begin
-        mags = spectra(tail[skip:], cfg, weights)
-        keep = min(max(0, (first + len(mags)) * cfg.hop - begin), len(tail))
-        tail = tail[keep:]
+        flush()
         state.update((frontier, tail.tolist(), list(waiting), [x.tolist() for x in waiting.values()]))
-        if len(mags):
-            yield pd.DataFrame({"source_id": key[0], "channel": key[1], "frame_idx": np.arange(first, first + len(mags)), "mag": list(mags)})
+        if mags:
+            yield pd.DataFrame({"source_id": key[0], "channel": key[1], "frame_idx": firsts, "mag": mags})
 
     return chunks.groupBy("source_id", "channel").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
 

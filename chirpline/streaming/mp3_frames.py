@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chirpline.sources.mp3 import frame_header, next_frame, tag_size
+from chirpline.streaming.waiting import in_order
 from chirpline.workers import prepare_workers
 
 STATE = "done long, held binary, skip long, frames long, early_at array<long>, early array<binary>"
@@ -46,12 +47,20 @@ def cut_frames(held: bytes, first: int, skip: int, start: bool) -> tuple[list[tu
             at += h.length
 
 
-def stream_frames(pieces: DataFrame) -> DataFrame:
+#: Bytes of a file that may wait for a missing piece.
+WAITING = 1 << 22
+#: In place of bytes to skip: the next frame is to be found, as one that another follows.
+BEHIND_GAP = -2
+
+
+def stream_frames(pieces: DataFrame, most_waiting: int = WAITING) -> DataFrame:
     """(source_id, frame_idx, at, length) from a stream of (source_id, at, bytes), each frame
     once its bytes are there.
 
     State holds less than a frame of bytes, the rest of a tag to skip as a number, and
-    pieces that came before their predecessors. Pieces may be sent again.
+    pieces that came before their predecessors. Pieces may be sent again. If more than
+    ``most_waiting`` bytes wait for a missing piece, it counts as lost; frames are found again
+    behind it, and their numbers go on without those that were lost.
     """
     prepare_workers(pieces.sparkSession)
 
@@ -64,13 +73,28 @@ def stream_frames(pieces: DataFrame) -> DataFrame:
             for at, raw in zip(b["at"], b["bytes"]):
                 if len(raw) > len(early.get(int(at), b"")):
                     early[int(at)] = bytes(raw)
-        while ready := [p for p in early if p <= done]:
-            at = min(ready)
-            fresh = early.pop(at)[done - at :]
+        found = []
+
+        def flush():
+            nonlocal held, skip
+            if skip == BEHIND_GAP:
+                if (at := next_frame(held, 0)) is None:
+                    return
+                held, skip = held[at:], 0
+            more, used, rest = cut_frames(held, done - len(held), max(0, skip), skip < 0)
+            found.extend(more)
+            if skip >= 0 or len(held) >= 10:  # the tag has been read
+                held, skip = held[used:], rest
+
+        def lost(on: int):
+            nonlocal held, done, skip
+            flush()
+            # of a tag that reaches over the gap the rest is still skipped
+            held, skip, done = b"", skip - (on - done) if skip > on - done else BEHIND_GAP, on
+
+        for _, fresh in in_order(early, done, most_waiting, lost):
             held, done = held + fresh, done + len(fresh)
-        found, used, rest = cut_frames(held, done - len(held), max(0, skip), skip < 0)
-        if skip >= 0 or len(held) >= 10:
-            held, skip = held[used:], rest
+        flush()
         state.update((done, held, skip, count + len(found), list(early), list(early.values())))
         if found:
             yield pd.DataFrame({"source_id": key[0], "frame_idx": range(count, count + len(found)), "at": [a for a, _ in found], "length": [n for _, n in found]})
