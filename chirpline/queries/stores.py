@@ -14,8 +14,10 @@ from chirpline.queries.registry import EV, events, query, r
 from chirpline.sources.signals import chunked, lengths
 from chirpline.workers import removed_at_exit, shared_folder
 
-STORED = Stft(64, 64, 32, tile_cells=32 * 8)
-FIRST, SECOND = (0.0, 900.0), (500.0, 1500.0)
+#: Frames in a tile.
+PER = 2
+STORED = Stft(64, 64, 32, tile_cells=32 * PER)
+FIRST, SECOND = (0.0, 120.0), (90.0, 1500.0)
 
 
 def view(chunks, start, end):
@@ -40,11 +42,11 @@ def _tiles(name: str, span: tuple[float, float]) -> str:
     """(source_id, tile) of a view."""
     f0 = f"greatest(0, floor(({span[0]} - 32) / 32))::bigint"
     f1 = f"least(total, greatest({f0} + 1, ceil(({span[1]} - 32) / 32)::bigint))"
-    return f"{name} as (select source_id, total, unnest(range({f0} // 8, ({f1} - 1) // 8 + 1)) as tile from c where {f1} > {f0})"
+    return f"{name} as (select source_id, total, unnest(range({f0} // {PER}, ({f1} - 1) // {PER} + 1)) as tile from c where {f1} > {f0})"
 
 
-_MAGS = """m as (select v.source_id, tile, k as frame_idx, b as bin, sqrt(pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * (n - k * 32) / 63)) * cos(2 * pi() * b * (n - k * 32) / 64)), 2) + pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * (n - k * 32) / 63)) * sin(2 * pi() * b * (n - k * 32) / 64)), 2)) / 64 as mag
-  from w v, unnest(range(v.tile * 8, least(v.total, v.tile * 8 + 8))) u(k), range(32) g(b), ev where ev.source_id = v.source_id and ev.n between k * 32 and k * 32 + 63 group by all)"""
+_MAGS = f"""m as (select v.source_id, tile, k as frame_idx, b as bin, sqrt(pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * (n - k * 32) / 63)) * cos(2 * pi() * b * (n - k * 32) / 64)), 2) + pow(sum(x * (0.5 - 0.5 * cos(2 * pi() * (n - k * 32) / 63)) * sin(2 * pi() * b * (n - k * 32) / 64)), 2)) / 64 as mag
+  from w v, unnest(range(v.tile * {PER}, least(v.total, v.tile * {PER} + {PER}))) u(k), range(32) g(b), ev where ev.source_id = v.source_id and ev.n between k * 32 and k * 32 + 63 group by all)"""
 
 
 @query(f"with {_TOTAL}, {_tiles('w', SECOND)}, {_MAGS} select source_id, tile as tile_idx, frame_idx, bin, round(mag, 5) as mag from m")
@@ -71,7 +73,7 @@ def tile_store_fills(spark, sf_dir):
 
 @query(
     f"""with {_TOTAL}, {_tiles('a', FIRST)}, {_tiles('b', SECOND)}, s as (select source_id, tile from a union select source_id, tile from b)
-select c.source_id, u.tile as tile_idx, case when s.tile is null then 'uncomputed' else 'computed' end as state from c, unnest(range(0, (total + 7) // 8)) u(tile) left join s on s.source_id = c.source_id and s.tile = u.tile"""
+select c.source_id, u.tile as tile_idx, case when s.tile is null then 'uncomputed' else 'computed' end as state from c, unnest(range(0, (total + {PER - 1}) // {PER})) u(tile) left join s on s.source_id = c.source_id and s.tile = u.tile"""
 )
 def tile_store_states(spark, sf_dir):
     chunks, store = stored(spark, sf_dir)
@@ -79,7 +81,7 @@ def tile_store_states(spark, sf_dir):
 
 
 @query(
-    f"""with {_TOTAL}, w as (select source_id, total, unnest(range(0, (total + 7) // 8)) as tile from c), {_MAGS}, {_tiles('b', SECOND)},
+    f"""with {_TOTAL}, w as (select source_id, total, unnest(range(0, (total + {PER - 1}) // {PER})) as tile from c), {_MAGS}, {_tiles('b', SECOND)},
 t as (select source_id, tile, frame_idx, bin, 0.5 * mag + 0.25 * coalesce(lag(mag) over p, mag) + 0.25 * coalesce(lead(mag) over p, mag) as mag from m window p as (partition by source_id, bin order by frame_idx))
 select t.source_id, t.tile as tile_idx, frame_idx, bin, round(mag, 5) as mag from t semi join b on t.source_id = b.source_id and t.tile = b.tile"""
 )
