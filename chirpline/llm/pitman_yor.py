@@ -1,36 +1,43 @@
 """Language-model scores by a hierarchical Pitman-Yor model over words.
 
-A word that is frequent in training has a restaurant for what follows it; one more is for the
-start of a text and one for all other words. All of them share one parent, the restaurant
-of any context. The dishes are the frequent words and one for all others, and behind that one
-stands a restaurant whose dishes are all other words, however many, and a single unknown one.
-So the tables that go to the driver and the tasks have a bound that doesn't grow.
-
-The counts of all words and pairs of all training texts are added up by Spark. Counts of words
-stay in a table; scores join those that the tasks don't have.
+Every word of the training texts, however rare, has a restaurant for what follows it, and every
+word is a dish there. Its base is a bounded model of classes: a word that is frequent in
+training has a class of its own as a context and as a dish, one more context is the start of a
+text, and all other words share one context and one dish, behind which stands a restaurant whose
+dishes are all of them and a single unknown one. For a pair of two frequent words the bounded
+model is the restaurant of the word itself, so only other pairs have one on top of it.
+
+The counts of all words and pairs of all training texts are added up by Spark and stay in
+tables. Tasks hold those of the most frequent words and pairs; scores join all others.
 """
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 import math
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chirpline.llm import seating
-from chirpline.llm.common import arrow_batches, crc_fold, map_rows, written
+from chirpline.llm.common import arrow_batches, crc_fold, forget, written
 
-#: Words that are dishes of their own, at most.
+#: Words that are dishes of their own in the bounded model, at most.
 LEXICON = 16_384
-#: Words that have a restaurant for what follows them, at most.
+#: Words that are contexts of their own in the bounded model, at most.
 CONTEXTS = 254
 #: Words whose counts are sent to the tasks, at most; the counts of others are joined.
 FREQUENT = 200_000
+#: Pairs whose gains are sent to the tasks, at most; those of others are joined.
+FREQUENT_PAIRS = 1_000_000
 #: Longer words are in neither list.
 WORD_BYTES = 64
 #: Gibbs sweeps, and those of them that aren't averaged.
@@ -39,6 +46,14 @@ SWEEPS, BURN = 6, 2
 DRAWS = 32
 #: Different words that a task counts before it sends them on.
 HELD_WORDS = 500_000
+#: Tokens whose pairs a task adds up before it sends them on.
+HELD_TOKENS = 1_000_000
+#: Rows of an Arrow batch of pairs.
+PAIR_ROWS = 50_000
+#: Strength of the restaurants of single words.
+STRENGTH = 1.0
+#: What stands for the context in rows that count cells of the bounded model.
+GRID = -1
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: The end of a text as a token; no word holds white space.
@@ -96,14 +111,65 @@ def most_frequent(words: DataFrame, count: str, most: int) -> list[tuple[bytes,
         floor = step
     if floor is None:
         return []
-    found = fit.where(_steps(count) >= floor).collect()
-    return sorted(((bytes(r["word"]), r["train"], r["n"]) for r in found), key=lambda r: (-r[1], r[0]))
+    found = fit.where(_steps(count) >= floor).select("word", "train", "n").toArrow()
+    return sorted(zip(*(found[c].to_pylist() for c in ("word", "train", "n"))), key=lambda r: (-r[1], r[0]))
 
 
-def pair_counts(docs: DataFrame, number: dict[bytes, int], context_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, dish, count) over the training texts; unknown words are the last dish.
+def _rare_code(word: bytes, salt: str) -> int:
+    return -2 - int(hashlib.md5(salt.encode() + word).hexdigest()[:15], 16)
 
-    A task adds up into one array of contexts x dishes.
+
+def rare_code(word, salt: str):
+    """The code of a word that has no number: below GRID, by a hash."""
+    return F.lit(-2) - F.conv(F.substring(F.md5(F.concat(F.lit(salt.encode()), word)), 1, 15), 16, 10).cast("long")
+
+
+def _unlike(words: DataFrame) -> str:
+    """A salt with which no two of the words have one code."""
+    for k in itertools.count():
+        salt = str(k or "")
+        if words.groupBy(rare_code(F.col("word"), salt).alias("code")).count().where("count > 1").isEmpty():
+            return salt
+
+
+class _Places(dict):
+    """Places of words in the order that a task meets them, with their codes; the first is END."""
+
+    def __init__(self, number: dict[bytes, int], salt: str):
+        super().__init__()
+        self.number, self.salt = number, salt
+        self.start()
+
+    def start(self) -> None:
+        self.clear()
+        self.words, self.codes = [], array("q")
+        self[END]
+
+    def __missing__(self, word: bytes) -> int:
+        code = self.number.get(word)
+        self.codes.append(_rare_code(word, self.salt) if code is None else code)
+        self.words.append(word)
+        self[word] = place = len(self.words) - 1
+        return place
+
+    def of(self, texts: list[list[bytes]]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, itertools.chain.from_iterable(texts)), np.int64)
+
+
+def _classes(code: np.ndarray, context_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code before, context, dish) of the tokens of whole texts in a row: 0 is the end of
+    the text before, so that it stands for the start."""
+    other = len(context_of) - 1
+    dish = np.where((code >= 0) & (code < other), code, other)
+    before = np.concatenate([[0], code[:-1]])
+    context = np.where(before == 0, 0, context_of[np.concatenate([[0], dish[:-1]])])
+    return before, context, dish
+
+
+def pair_counts(docs: DataFrame, number: dict[bytes, int], context_of: np.ndarray, salt: str) -> DataFrame:
+    """(u, w, c): how often word w follows u in training texts, by their codes. With u = GRID, w
+    is a cell of the bounded model, contexts x dishes; pairs that have such a cell alone to
+    themselves aren't counted again. 0 stands for the start as u, for the end as w.
     """
     arrow_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((number, context_of))
@@ -112,24 +178,35 @@ def pair_counts(docs: DataFrame, number: dict[bytes, int], context_of: np.ndarra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, context_of = shared.value
-        known, unknown = number.get, dishes - 1
-        total = np.zeros(contexts * dishes, np.int64)
-        for b in batches:
-            ids = [[known(w, unknown) for w in tokens_of(t)] for t in b.column("text").to_pylist()]
-            total += np.bincount(np.concatenate([_contexts(np.array(i), context_of) * dishes + i for i in ids]), minlength=len(total)) if ids else 0
-        some = np.flatnonzero(total)
-        for k in range(0, len(some), 100_000):
-            part = some[k : k + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part])], names=["cell", "n"])
+        places = _Places(number, salt)
+        grid, waiting, held = np.zeros(contexts * dishes, np.int64), [], 0
+
+        def rows(u, w, n):
+            for k in range(0, len(n), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000], pa.int64()) for x in (u, w, n)], names=["u", "w", "c"])
 
-    cells = docs.where("not held_out").select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    cell, n = cells["cell"].to_numpy(), cells["n"].to_numpy()
-    return cell // dishes, cell % dishes, n
+        def sums():
+            place = np.concatenate(waiting)
+            codes = np.array(places.codes, np.int64)
+            _, context, dish = _classes(codes[place], context_of)
+            np.add(grid, np.bincount(context * dishes + dish, minlength=len(grid)), out=grid)
+            own = (context == 1) | (dish == dishes - 1)
+            pair, n = np.unique(np.concatenate([[0], place[:-1]])[own] << 32 | place[own], return_counts=True)
+            yield from rows(codes[pair >> 32], codes[pair & 0xFFFFFFFF], n)
 
+        for b in batches:
+            waiting.append(places.of([tokens_of(t) for t in b.column("text").to_pylist()]))
+            held += len(waiting[-1])
+            if held > HELD_TOKENS or len(places) > HELD_WORDS:
+                yield from sums()
+                places.start()
+                waiting, held = [], 0
+        if waiting:
+            yield from sums()
+        some = np.flatnonzero(grid)
+        yield from rows(np.full(len(some), GRID), some, grid[some])
 
-def _contexts(ids: np.ndarray, context_of: np.ndarray) -> np.ndarray:
-    """The restaurant of each token: 0 at the start, then that of the token before."""
-    return np.concatenate([[0], context_of[ids[:-1]]])
+    return docs.where("not held_out").select("text").mapInArrow(run, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
 
 
 def rare_levels(sizes: dict[int, int], sweeps: int, burn: int, seed: int = 1, strength: float = 1.0) -> dict[int, float]:
@@ -161,9 +238,15 @@ def rare_levels(sizes: dict[int, int], sweeps: int, burn: int, seed: int = 1, st
 
 @dataclass
 class Model:
-    """What scoring needs. ``words`` is the table of all counts; the rest is bounded."""
+    """What scoring needs. ``far`` (word, code, train, own, shift) is the table of the words that have
+    no number, ``links`` (u, w, gain) that of all pairs; the rest is bounded.
+
+    The probability of w after u is that of the bounded model times 10 ** (shift of u + gain of
+    (u, w)); pairs that have a cell of the bounded model to themselves have neither.
+    """
 
-    words: DataFrame
+    far: DataFrame
+    links: DataFrame
     tokens: int
     types: int
     number: dict[bytes, int]
@@ -172,6 +255,10 @@ class Model:
     trained: np.ndarray
     log10: np.ndarray
     rare: dict[int, float]
+    salt: str
+    shift: np.ndarray
+    pair: np.ndarray
+    gain: np.ndarray
 
     def base(self, count):
         return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
@@ -192,66 +279,227 @@ def fitted_words(pairs: tuple[np.ndarray, np.ndarray, np.ndarray], contexts: int
     return out
 
 
-def train(docs: DataFrame, folds: int = 5, held: int = 1, lexicon: int = LEXICON, contexts: int = CONTEXTS, frequent: int = FREQUENT) -> Model:
+def _by_code(cells: DataFrame, words: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
+    """Add ``columns``, doubles, of the words without a number whose code is ``key``. They are null
+    where the word has a number: tasks are given arrays of those."""
+    of = words.select(F.col("code").alias(key), *(F.col(c).cast("double").alias(name) for name, c in columns.items()))
+    numbered = cells.where(F.col(key) >= 0).select("*", *(F.lit(None).cast("double").alias(name) for name in columns))
+    return numbered.unionByName(cells.where(F.col(key) < 0).join(of.hint("merge"), key))
+
+
+def _filled(values: pa.Array, code: np.ndarray, numbered: np.ndarray) -> np.ndarray:
+    return np.where(code >= 0, numbered[np.maximum(code, 0)], values.to_numpy(zero_copy_only=False))
+
+
+def _priced(cells: DataFrame, near: dict[str, np.ndarray], far: DataFrame, named: int, column: str) -> DataFrame:
+    """(u, w, c, t, of_u, p0) of (u, w, c, t): ``column`` of u, and what the base predicts for w after u."""
+    spark = cells.sparkSession
+    both = _by_code(_by_code(cells, far, "u", {"of_u": column}), far, "w", {"any_p": "any_p", "rare_p": "rare_p"})
+    shared = spark.sparkContext.broadcast((near[column], near["any_p"], near["rare_p"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_u, any_p, rare_p = shared.value
+        for b in batches:
+            u, w = b.column("u").to_numpy(), b.column("w").to_numpy()
+            p0 = np.where((u >= 0) & (u <= named), _filled(b.column("rare_p"), w, rare_p), _filled(b.column("any_p"), w, any_p))
+            yield pa.RecordBatch.from_pydict({n: b.column(n) for n in ("u", "w", "c", "t")} | {"of_u": pa.array(_filled(b.column("of_u"), u, of_u)), "p0": pa.array(p0)})
+
+    return both.mapInArrow(run, "u long, w long, c long, t double, of_u double, p0 double")
+
+
+def _drawn(cells: DataFrame, saved: np.ndarray, discount: float, sweep: int, kept: bool, seed: int = 1) -> DataFrame:
+    """Draw the tables t of each (u, w, c, t, of_u, p0, total, saved) once, given the last draw of the
+    others of its restaurant; add them to total if ``kept``. of_u is the restaurant's size."""
+    shared = cells.sparkSession.sparkContext.broadcast((seating.log_stirling(discount), saved))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stirling, numbered = shared.value
+        rng = np.random.default_rng([seed, sweep, TaskContext.get().partitionId()])
+        for b in batches:
+            u, c, t, size, p0, total = (b.column(n).to_numpy() for n in ("u", "c", "t", "of_u", "p0", "total"))
+            others = size - _filled(b.column("saved"), u, numbered) - t
+            t = seating.drawn_tables(c, others, p0, discount, STRENGTH, stirling, rng).astype(np.float64)
+            yield pa.RecordBatch.from_pydict({n: b.column(n) for n in ("u", "w", "c")} | {"t": pa.array(t), "of_u": b.column("of_u"), "p0": b.column("p0"), "total": pa.array(total + t * kept)})
+
+    return cells.mapInArrow(run, "u long, w long, c long, t double, of_u double, p0 double, total double")
+
+
+def _saved(cells: DataFrame, numbered: int) -> tuple[DataFrame, np.ndarray]:
+    """Customers of each restaurant less its tables: (code, saved), and an array for numbered words."""
+    table = written(cells.groupBy(F.col("u").alias("code")).agg(F.sum(F.col("c") - F.col("t")).alias("saved")))
+    near = table.where("code >= 0").toArrow()
+    out = np.zeros(numbered)
+    out[near["code"].to_numpy()] = near["saved"].to_numpy()
+    return table, out
+
+
+def seated(cells: DataFrame, numbered: int, discount: float, sweeps: int = SWEEPS, burn: int = BURN) -> DataFrame:
+    """(u, w, c, t): average numbers of tables, by Gibbs sweeps, of priced pairs that occur more
+    than once. Others have one table each, so a restaurant's tables are its size less the
+    customers that share one."""
+    spark = cells.sparkSession
+    arrow_batches(spark, PAIR_ROWS)
+    live = written(cells.withColumn("total", F.lit(0.0)))
+    for k in range(sweeps):
+        table, saved = _saved(live, numbered)
+        old, live = live, written(_drawn(_by_code(live, table, "u", {"saved": "saved"}), saved, discount, k, k >= burn))
+        forget(old)
+        forget(table)
+    arrow_batches(spark)
+    return live.select("u", "w", "c", (F.col("total") / (sweeps - burn)).alias("t"))
+
+
+def _frequent_pairs(links: DataFrame, most: int) -> DataFrame:
+    """The most frequent pairs of numbered words, as many whole steps of counts as ``most`` hold."""
+    fit = links.where("u >= 0 and w >= 0")
+    sizes = {r["step"]: r["count"] for r in fit.groupBy(_steps("c").alias("step")).count().collect()}
+    floor, total = math.inf, 0
+    for step in sorted(sizes, reverse=True):
+        total += sizes[step]
+        if total > most:
+            break
+        floor = step
+    return fit.where(_steps("c") >= F.lit(float(floor)))
+
+
+def fitted_grid(pairs: DataFrame, contexts: int, dishes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bounded model's probabilities, and how many tokens after each context have no cell
+    to themselves."""
+    grid = pairs.where(F.col("u") == GRID).select("w", "c").toArrow()
+    cell, n = grid["w"].to_numpy(), grid["c"].to_numpy()
+    context, dish = cell // dishes, cell % dishes
+    free = (context == 1) | (dish == dishes - 1)
+    return fitted_words((context, dish, n), contexts, dishes), np.bincount(context[free], n[free], minlength=contexts).astype(np.int64)
+
+
+def train(
+    docs: DataFrame, folds: int = 5, held: int = 1, lexicon: int = LEXICON, contexts: int = CONTEXTS, frequent: int = FREQUENT, frequent_pairs: int = FREQUENT_PAIRS
+) -> Model:
     """Learn from the documents whose crc32(doc_id as text) modulo ``folds`` isn't ``held``.
 
     A null doc_id counts as remainder 0. Null texts count as empty: one end. Of an empty table
-    the model knows nothing, and every token is as likely.
+    the model knows nothing, and every token is as likely. ``lexicon`` and ``contexts`` bound the
+    base alone; ``frequent`` and ``frequent_pairs`` what tasks hold, which changes no result.
     """
+    spark = docs.sparkSession
     rows = _with_folds(docs, folds, held)
     words = written(vocabulary(rows))
     tokens, types = words.agg(F.coalesce(F.sum("train"), F.lit(0)), F.count_if(F.col("train") > 0)).first()
     trained_most = most_frequent(words, "train", lexicon - 1)
     dishes = [END, *(w for w, _, _ in trained_most if w != END)]
-    number = {w: k for k, w in enumerate(dishes)}
-    # restaurants: 0 the start, 1 all words without one of their own; the last dish is any other word
+    # contexts: 0 the start, 1 all words without one of their own; the last dish is any other word
     context_of = np.ones(len(dishes) + 1, np.int64)
     named = min(contexts, len(dishes) - 1)
     context_of[1 : named + 1] = 2 + np.arange(named)
-    probabilities = fitted_words(pair_counts(rows, number, context_of), int(context_of.max()) + 1, len(dishes) + 1)
-    long = F.length("word") > WORD_BYTES
-    least = min((float(t) for _, t, _ in trained_most), default=math.inf)
-    others = words.where((F.col("train") > 0) & (long | (F.col("train") < least)) & (F.col("word") != F.lit(END)))
-    rare = rare_levels({r["train"]: r["count"] for r in others.groupBy("train").count().collect()}, SWEEPS, BURN)
     # counts that the tasks are given: of the dishes, and of all words that are frequent anywhere
     counts = {w: t for w, t, _ in [*trained_most, *most_frequent(words, "n", frequent)]}
     counts |= {bytes(r["word"]): r["train"] for r in words.where(F.col("word") == F.lit(END)).collect()}
-    every = [*dishes, *(w for w in counts if w not in number)]
+    lexical = set(dishes)
+    every = [*dishes, *(w for w in counts if w not in lexical)]
+    number = {w: k for k, w in enumerate(every)}
     trained = np.array([counts.get(w, -1) for w in every], np.int64)
     dish = np.minimum(np.arange(len(every)), len(dishes))
-    return Model(words, int(tokens), int(types), {w: k for k, w in enumerate(every)}, dish, context_of, trained, np.log10(probabilities).astype(np.float32), rare)
+    numbered = spark.createDataFrame(pa.table({"word": pa.array(every, pa.binary())}))
+    unnumbered = written(words.join(F.broadcast(numbered), "word", "left_anti"))
+    salt = _unlike(unnumbered)
+
+    pairs = written(pair_counts(rows, number, context_of, salt))
+    width = len(dishes) + 1
+    probabilities, followers = fitted_grid(pairs, int(context_of.max()) + 1, width)
+    first, log10 = probabilities[1].copy(), np.log10(probabilities).astype(np.float32)
+    del probabilities
+    long = F.length("word") > WORD_BYTES
+    least = min((float(t) for _, t, _ in trained_most), default=math.inf)
+    del trained_most, counts, lexical
+    others = words.where((F.col("train") > 0) & (long | (F.col("train") < least)) & (F.col("word") != F.lit(END)))
+    rare = rare_levels({r["train"]: r["count"] for r in others.groupBy("train").count().collect()}, SWEEPS, BURN)
+
+    # restaurants of single words: customers, and what the base predicts for each word after one
+    # without a context of its own (any_p), and after one with it, among rare words (rare_p)
+    size = np.maximum(trained, 0)
+    size[: named + 1] = np.concatenate([followers[:1], followers[2:]])
+    rare_p = np.array([rare[c] if d == width - 1 else 1.0 for d, c in zip(dish.tolist(), np.maximum(trained, 0).tolist())])
+    near = {"size": size.astype(np.float64), "any_p": first[dish] * rare_p, "rare_p": rare_p}
+    levels = spark.createDataFrame(list(rare.items()), "train long, rare_p double")
+    far = written(
+        unnumbered.join(F.broadcast(levels), "train").select("word", rare_code(F.col("word"), salt).alias("code"), "train", F.col("train").alias("size"), (F.col("rare_p") * float(first[-1])).alias("any_p"), "rare_p")
+    )
+    cells = pairs.where(F.col("u") != GRID)
+    twice, many = cells.agg(F.count_if(F.col("c") == 2), F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c"))), F.lit(0))).first()
+    once = int(followers.sum()) - many
+    discount = float(np.clip(once / max(1, once + 2 * twice), 0.05, 0.95))
+    with_t = lambda cells: cells.withColumn("t", F.lit(1.0))
+    more = seated(_priced(with_t(cells.where("c > 1")), near, far, named, "size"), len(every), discount)
+    saved, shared = _saved(more, len(every))
+    near["opened"] = STRENGTH + discount * (size - shared)
+    opened = F.lit(STRENGTH) + F.lit(discount) * (F.col("size") - F.coalesce("saved", F.lit(0.0)))
+    far = written(
+        far.join(saved.where("code < 0"), "code", "left").withColumn("opened", opened).withColumn("own", F.log10("rare_p")).withColumn("shift", F.log10(F.col("opened") / (F.col("size") + STRENGTH))).drop("saved")
+    )
+    gain = F.log10(1 + (F.col("c") - discount * F.col("t")) / (F.col("of_u") * F.col("p0"))).alias("gain")
+    several = written(_priced(more, near, far, named, "opened").select("u", "w", "c", gain))
+    single = _priced(with_t(cells.where("c = 1")), near, far, named, "opened").select("u", "w", gain)
+    top = _frequent_pairs(several, frequent_pairs).select((F.col("u") * len(every) + F.col("w")).alias("pair"), "gain").toArrow().sort_by("pair")
+    return Model(
+        far, several.select("u", "w", "gain").unionByName(single), int(tokens), int(types), number, dish, context_of, trained, log10, rare,
+        salt, np.log10(near["opened"] / (size + STRENGTH)), top["pair"].to_numpy(), top["gain"].to_numpy(),
+    )
 
 
 def scored_here(rows: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, base_score, score, rare: the sums over the words whose
-    counts the tasks have, and the others (word, times) for the join."""
-    sc = rows.sparkSession.sparkContext
+    """doc_id, held_out, n_tokens, n_known, base_score, score, rare, pairs: the sums over the words and
+    pairs that the tasks have, and the others, (word, times) and (u, w), for the joins."""
+    spark = rows.sparkSession
+    arrow_batches(spark)
     own = np.array([math.log10(model.rare[c]) if c in model.rare else 0.0 for c in np.maximum(model.trained, 0).tolist()])
-    own[model.dish < len(model.context_of) - 1] = 0  # the dishes have all of their probability in the first restaurants
-    shared = sc.broadcast((model.number, model.dish, model.context_of, model.trained, model.base(np.maximum(model.trained, 0)), own, model.log10))
-
-    def make():
-        number, dish, context_of, trained, base, own, log10 = shared.value
-        other, known = len(context_of) - 1, number.get
-
-        def work(c):
-            out = {k: [] for k in ("n_tokens", "n_known", "base_score", "score", "rare")}
-            for words in map(tokens_of, c["text"]):
-                ids = np.array([known(w, -1) for w in words])
-                dishes = np.where(ids >= 0, dish[ids], other)
-                here = (ids >= 0) & (trained[ids] >= 0)
-                at = ids[here]
-                times = Counter(words[k] for k in np.flatnonzero(~here).tolist())
-                out["n_tokens"].append(len(words))
-                out["n_known"].append(int((trained[at] > 0).sum()))
-                out["base_score"].append(float(base[at].sum()))
-                out["score"].append(float(log10[_contexts(dishes, context_of), dishes].sum(dtype=np.float64) + own[at].sum()))
-                out["rare"].append([{"word": w, "times": n} for w, n in times.items()])
-            return {"doc_id": c["doc_id"], "held_out": c["held_out"]} | out
+    own[model.dish < len(model.context_of) - 1] = 0  # the dishes have all of their probability in the bounded model
+    shared = spark.sparkContext.broadcast((model.number, model.context_of, model.trained, model.base(np.maximum(model.trained, 0)), own, model.log10, model.shift, model.pair, model.gain.astype(np.float32)))
+    salt = model.salt
 
-        return work
-
-    return map_rows(rows, make, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word: binary, times: long>>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, context_of, trained, base, own, log10, shift, pair, gain = shared.value
+        places = _Places(number, salt)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            if len(places) > HELD_WORDS:
+                places.start()
+            texts = [tokens_of(t) for t in b.column("text").to_pylist()]
+            sizes = np.array([len(t) for t in texts])
+            starts = np.cumsum(sizes) - sizes
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = places.of(texts)
+            code = np.array(places.codes, np.int64)[place]
+            before, context, dish = _classes(code, context_of)
+            at, last = np.maximum(code, 0), np.maximum(before, 0)
+            here = (code >= 0) & (trained[at] >= 0)
+            score = log10[context, dish].astype(np.float64) + np.where(here, own[at], 0)
+            free = (context == 1) | (dish == len(context_of) - 1)
+            score += np.where(free & (before >= 0), shift[last], 0)
+            # pairs: those that the tasks have, and others that may have been seen
+            free &= (code < 0) | (trained[at] > 0)
+            key = last * len(number) + at
+            found = np.minimum(np.searchsorted(pair, key), max(0, len(pair) - 1))
+            hit = free & (code >= 0) & (before >= 0) & (pair[found] == key) if len(pair) else np.zeros(len(key), bool)
+            score[hit] += gain[found[hit]]
+            left = free & ~hit
+            unseen, times = np.unique(row[~here] << 32 | place[~here], return_counts=True)
+            offsets = lambda of: pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(sizes)))]), pa.int32())
+            names = pa.array([places.words[k] for k in (unseen & 0xFFFFFFFF).tolist()], pa.binary())
+            sums = lambda values: pa.array(np.add.reduceat(values, starts))
+            out = {
+                "doc_id": b.column("doc_id"),
+                "held_out": b.column("held_out"),
+                "n_tokens": pa.array(sizes, pa.int64()),
+                "n_known": sums((here & (trained[at] > 0)).astype(np.int64)),
+                "base_score": sums(np.where(here, base[at], 0)),
+                "score": sums(score),
+                "rare": pa.ListArray.from_arrays(offsets(unseen >> 32), pa.StructArray.from_arrays([names, pa.array(times, pa.int64())], names=["word", "times"])),
+                "pairs": pa.ListArray.from_arrays(offsets(row[left]), pa.StructArray.from_arrays([pa.array(before[left]), pa.array(code[left])], names=["u", "w"])),
+            }
+            yield pa.RecordBatch.from_pydict(out)
+
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word: binary, times: long>>, pairs array<struct<u: long, w: long>>")
 
 
 def scores(docs: DataFrame, model: Model, folds: int = 5, held: int = 1) -> DataFrame:
@@ -263,12 +511,16 @@ def scores(docs: DataFrame, model: Model, folds: int = 5, held: int = 1) -> Data
     """
     here = written(scored_here(_with_folds(docs, folds, held), model).withColumn("__row", F.monotonically_increasing_id()))
     rare = here.select("__row", F.explode("rare").alias("r")).select("__row", "r.word", "r.times")
-    count = F.coalesce(F.col("train"), F.lit(0))
-    levels = docs.sparkSession.createDataFrame([(c, math.log10(p)) for c, p in model.rare.items()], "level long, own double")
-    joined = rare.join(model.words.select("word", "train"), "word", "left").join(F.broadcast(levels), count == F.col("level"), "left")
+    joined = rare.join(model.far.select("word", "train", "own", "shift"), "word", "left")
+    count, times = F.coalesce(F.col("train"), F.lit(0)), F.col("times")
     share = F.log10((count + 0.5) / (model.tokens + 0.5 * (model.types + 1)))
-    sums = joined.groupBy("__row").agg(F.sum(F.col("times") * share).alias("more_base"), F.sum(F.when(count > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.coalesce("own", F.lit(0.0))).alias("more_score"))
-    both = here.drop("rare").join(sums, "__row", "left")
+    own = F.coalesce("own", F.lit(math.log10(model.rare[0]))) + F.coalesce("shift", F.lit(0.0))
+    none, nothing = F.lit(0).cast("long"), F.lit(0.0)
+    of_words = joined.groupBy("__row").agg(F.sum(times * share).alias("more_base"), F.sum(F.when(count > 0, times).otherwise(none)).alias("more_known"), F.sum(times * own).alias("more_score"))
+    pairs = here.select("__row", F.explode("pairs").alias("p")).select("__row", "p.u", "p.w")
+    of_pairs = pairs.join(model.links, ["u", "w"]).groupBy("__row").agg(nothing.alias("more_base"), none.alias("more_known"), F.sum("gain").alias("more_score"))
+    sums = of_words.unionByName(of_pairs).groupBy("__row").agg(*(F.sum(c).alias(c) for c in ("more_base", "more_known", "more_score")))
+    both = here.drop("rare", "pairs").join(sums, "__row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     score = F.col("score") + zero("more_score")
     return both.select(
