@@ -8,7 +8,9 @@ dishes are all of them and a single unknown one. For a pair of two frequent word
 model is the restaurant of the word itself, so only other pairs have one on top of it.
 
 The counts of all words and pairs of all training texts are added up by Spark and stay in
-tables. Tasks hold those of the most frequent words and pairs; scores join all others.
+tables. Tasks hold those of the most frequent words and pairs; scores look up all others, each in
+the slot that a hash of the pair gives. What goes there and back are packed arrays, one for each
+slot of a chunk of texts, with every pair of the chunk once.
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chirpline.llm import seating
-from chirpline.llm.common import arrow_batches, crc_fold, forget, written
+from chirpline.llm.common import arrow_batches, crc_fold, forget
+from chirpline.llm.common import written as _written
+from chirpline.llm.packing import packed, unpacked
 
 #: Words that are dishes of their own in the bounded model, at most.
 LEXICON = 16_384
@@ -50,6 +54,14 @@ HELD_WORDS = 500_000
 HELD_TOKENS = 1_000_000
 #: Rows of an Arrow batch of pairs.
 PAIR_ROWS = 50_000
+#: Tokens of a chunk of texts whose pairs a task looks up together.
+CHUNK_TOKENS = 500_000
+#: Pairs that a task packs together.
+PACKED_PAIRS = 250_000
+#: Training tokens for each task that looks pairs up, at most, and its slots.
+LOOKED_UP, SLOTS = 4_000_000, 4
+#: Values of single rows that such a task holds before it adds them up.
+HELD_VALUES = 2_000_000
 #: Strength of the restaurants of single words.
 STRENGTH = 1.0
 #: What stands for the context in rows that count cells of the bounded model.
@@ -60,6 +72,17 @@ _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 END = b"\n"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As in common; the shuffle files go at once, since nothing else reads them."""
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name)
+    conf.set(name, "true")
+    try:
+        return _written(df)
+    finally:
+        conf.set(name, before)
+
+
 def tokens_of(text: bytes | None) -> list[bytes]:
     """Words, A-Z in small letters, and one end."""
     return [*(text or b"").translate(_FOLD).split(), END]
@@ -236,17 +259,23 @@ def rare_levels(sizes: dict[int, int], sweeps: int, burn: int, seed: int = 1, st
     return {0: unknown, **dict(zip(counts.tolist(), mean.tolist()))}
 
 
+def _base(count, tokens: int, types: int):
+    return np.log10((count + 0.5) / (tokens + 0.5 * (types + 1)))
+
+
 @dataclass
 class Model:
     """What scoring needs. ``far`` (word, code, train, own, shift) is the table of the words that have
-    no number, ``links`` (u, w, gain) that of all pairs; the rest is bounded.
+    no number, ``slotted`` (slot, blob) has the pairs and what scores need of those words, packed
+    for each of ``slots`` slots; the rest is bounded.
 
     The probability of w after u is that of the bounded model times 10 ** (shift of u + gain of
     (u, w)); pairs that have a cell of the bounded model to themselves have neither.
     """
 
     far: DataFrame
-    links: DataFrame
+    slotted: DataFrame
+    slots: int
     tokens: int
     types: int
     number: dict[bytes, int]
@@ -260,8 +289,21 @@ class Model:
     pair: np.ndarray
     gain: np.ndarray
 
+    @property
+    def links(self) -> DataFrame:
+        """(u, w, gain) of all pairs."""
+        arrow_batches(self.slotted.sparkSession)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for blob in (x for b in batches for x in b.column("blob").to_pylist()):
+                u, w, gain, _ = unpacked(blob)
+                some = u != GRID
+                yield pa.RecordBatch.from_pydict({"u": pa.array(u[some]), "w": pa.array(w[some]), "gain": pa.array(gain[some].astype(np.float64))})
+
+        return self.slotted.select("blob").mapInArrow(run, "u long, w long, gain double")
+
     def base(self, count):
-        return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
+        return _base(count, self.tokens, self.types)
 
 
 def _with_folds(docs: DataFrame, folds: int, held: int) -> DataFrame:
@@ -424,6 +466,7 @@ def train(
     far = written(
         unnumbered.join(F.broadcast(levels), "train").select("word", rare_code(F.col("word"), salt).alias("code"), "train", F.col("train").alias("size"), (F.col("rare_p") * float(first[-1])).alias("any_p"), "rare_p")
     )
+    forget(unnumbered)
     cells = pairs.where(F.col("u") != GRID)
     twice, many = cells.agg(F.count_if(F.col("c") == 2), F.coalesce(F.sum(F.when(F.col("c") > 1, F.col("c"))), F.lit(0))).first()
     once = int(followers.sum()) - many
@@ -433,47 +476,91 @@ def train(
     saved, shared = _saved(more, len(every))
     near["opened"] = STRENGTH + discount * (size - shared)
     opened = F.lit(STRENGTH) + F.lit(discount) * (F.col("size") - F.coalesce("saved", F.lit(0.0)))
+    unopened = far
     far = written(
         far.join(saved.where("code < 0"), "code", "left").withColumn("opened", opened).withColumn("own", F.log10("rare_p")).withColumn("shift", F.log10(F.col("opened") / (F.col("size") + STRENGTH))).drop("saved")
     )
+    forget(unopened)
     gain = F.log10(1 + (F.col("c") - discount * F.col("t")) / (F.col("of_u") * F.col("p0"))).alias("gain")
     several = written(_priced(more, near, far, named, "opened").select("u", "w", "c", gain))
     single = _priced(with_t(cells.where("c = 1")), near, far, named, "opened").select("u", "w", gain)
     top = _frequent_pairs(several, frequent_pairs).select((F.col("u") * len(every) + F.col("w")).alias("pair"), "gain").toArrow().sort_by("pair")
+    slots = SLOTS * max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // LOOKED_UP + 1)
+    none = F.lit(0).cast("long").alias("train")
+    of_words = far.where("train > 0").select(F.lit(GRID).cast("long").alias("u"), F.col("code").alias("w"), (F.col("own") + F.col("shift") - math.log10(rare[0])).alias("gain"), "train")
+    packs = written(slotted(several.select("u", "w", "gain", none).unionByName(single.select("u", "w", "gain", none)).unionByName(of_words), slots))
+    for table in (words, pairs, more, saved, several):
+        forget(table)
     return Model(
-        far, several.select("u", "w", "gain").unionByName(single), int(tokens), int(types), number, dish, context_of, trained, log10, rare,
+        far, packs, slots, int(tokens), int(types), number, dish, context_of, trained, log10, rare,
         salt, np.log10(near["opened"] / (size + STRENGTH)), top["pair"].to_numpy(), top["gain"].to_numpy(),
     )
 
 
+def _slot_of(u: np.ndarray, w: np.ndarray, slots: int) -> np.ndarray:
+    mixed = u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(32)) % np.uint64(slots)).astype(np.min_scalar_type(slots))
+
+
+def _starts(slot: np.ndarray, slots: int) -> list[int]:
+    """Where each slot starts in sorted ones, and the end."""
+    return np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=slots))]).tolist()
+
+
+def slotted(links: DataFrame, slots: int) -> DataFrame:
+    """(slot, blob) of (u, w, gain, train): the rows of each slot, as tasks pack them together."""
+    arrow_batches(links.sparkSession, PAIR_ROWS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blobs(held: list[pa.RecordBatch]):
+            u, w, gain, train = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("u", "w", "gain", "train"))
+            slot = _slot_of(u, w, slots)
+            order = np.lexsort((w, u, slot))
+            u, w, gain, train = u[order], w[order], gain[order].astype(np.float32), train[order]
+            for k, (a, b) in enumerate(itertools.pairwise(_starts(slot, slots))):
+                if a < b:
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed(u[a:b], w[a:b], gain[a:b], train[a:b])], pa.binary())], names=["slot", "blob"])
+
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n > PACKED_PAIRS:
+                yield from blobs(held)
+                held, n = [], 0
+        if n:
+            yield from blobs(held)
+
+    return links.mapInArrow(run, "slot int, blob binary")
+
+
 def scored_here(rows: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, base_score, score, rare, pairs: the sums over the words and
-    pairs that the tasks have, and the others, (word, times) and (u, w), for the joins."""
+    """(slot, kind, chunk, blob). Kind 2: the texts of a chunk, with the sums over the words and pairs
+    that the tasks have. Kind 1: the others of a slot, each once, and the rows that have it; a
+    word without a number stands after GRID."""
     spark = rows.sparkSession
     arrow_batches(spark)
     own = np.array([math.log10(model.rare[c]) if c in model.rare else 0.0 for c in np.maximum(model.trained, 0).tolist()])
     own[model.dish < len(model.context_of) - 1] = 0  # the dishes have all of their probability in the bounded model
     shared = spark.sparkContext.broadcast((model.number, model.context_of, model.trained, model.base(np.maximum(model.trained, 0)), own, model.log10, model.shift, model.pair, model.gain.astype(np.float32)))
-    salt = model.salt
+    salt, slots, no_base, no_own = model.salt, model.slots, float(model.base(0)), math.log10(model.rare[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, context_of, trained, base, own, log10, shift, pair, gain = shared.value
         places = _Places(number, salt)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            if len(places) > HELD_WORDS:
-                places.start()
-            texts = [tokens_of(t) for t in b.column("text").to_pylist()]
-            sizes = np.array([len(t) for t in texts])
+        chunks = itertools.count(TaskContext.get().partitionId() << 32)
+
+        def blobs(held: list[tuple]):
+            ids, null, out, sizes, place = (np.concatenate(x) for x in zip(*held))
             starts = np.cumsum(sizes) - sizes
             row = np.repeat(np.arange(len(sizes)), sizes)
-            place = places.of(texts)
-            code = np.array(places.codes, np.int64)[place]
+            codes = np.array(places.codes, np.int64)
+            code = codes[place]
             before, context, dish = _classes(code, context_of)
             at, last = np.maximum(code, 0), np.maximum(before, 0)
             here = (code >= 0) & (trained[at] >= 0)
-            score = log10[context, dish].astype(np.float64) + np.where(here, own[at], 0)
+            score = log10[context, dish].astype(np.float64) + np.where(here, own[at], no_own)
             free = (context == 1) | (dish == len(context_of) - 1)
             score += np.where(free & (before >= 0), shift[last], 0)
             # pairs: those that the tasks have, and others that may have been seen
@@ -482,24 +569,153 @@ def scored_here(rows: DataFrame, model: Model) -> DataFrame:
             found = np.minimum(np.searchsorted(pair, key), max(0, len(pair) - 1))
             hit = free & (code >= 0) & (before >= 0) & (pair[found] == key) if len(pair) else np.zeros(len(key), bool)
             score[hit] += gain[found[hit]]
+            sums = lambda values: np.add.reduceat(values, starts)
+            known = sums((here & (trained[at] > 0)).astype(np.int64))
+            texts = packed(ids, null, out, sizes, known, sums(np.where(here, base[at], no_base)), sums(score))
+            chunk = next(chunks)
+            yield int(_slot_of(np.array([chunk]), np.array([GRID]), slots)[0]), 2, chunk, texts
+            # ranks of the words by their codes; GRID has rank 0
+            used = np.zeros(len(codes), bool)
+            used[place] = used[0] = True
+            used = np.flatnonzero(used)
+            used = used[np.argsort(codes[used])]
+            rank = np.empty(len(codes), np.int64)
+            rank[used] = 1 + np.arange(len(used))
+            ranked = np.concatenate([[GRID], codes[used]])
             left = free & ~hit
-            unseen, times = np.unique(row[~here] << 32 | place[~here], return_counts=True)
-            offsets = lambda of: pa.array(np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(sizes)))]), pa.int32())
-            names = pa.array([places.words[k] for k in (unseen & 0xFFFFFFFF).tolist()], pa.binary())
-            sums = lambda values: pa.array(np.add.reduceat(values, starts))
-            out = {
-                "doc_id": b.column("doc_id"),
-                "held_out": b.column("held_out"),
-                "n_tokens": pa.array(sizes, pa.int64()),
-                "n_known": sums((here & (trained[at] > 0)).astype(np.int64)),
-                "base_score": sums(np.where(here, base[at], 0)),
-                "score": sums(score),
-                "rare": pa.ListArray.from_arrays(offsets(unseen >> 32), pa.StructArray.from_arrays([names, pa.array(times, pa.int64())], names=["word", "times"])),
-                "pairs": pa.ListArray.from_arrays(offsets(row[left]), pa.StructArray.from_arrays([pa.array(before[left]), pa.array(code[left])], names=["u", "w"])),
-            }
-            yield pa.RecordBatch.from_pydict(out)
-
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<word: binary, times: long>>, pairs array<struct<u: long, w: long>>")
+            key = np.concatenate([rank[np.concatenate([[0], place[:-1]])[left]] << 32 | rank[place[left]], rank[place[~here]]])
+            row = np.concatenate([row[left], row[~here]])
+            order = np.argsort(key, kind="stable")
+            key, row = key[order], row[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+            times = np.diff(first, append=len(key))
+            u, w = ranked[key[first] >> 32], ranked[key[first] & 0xFFFFFFFF]
+            slot = _slot_of(u, w, slots)
+            row = row[np.argsort(np.repeat(slot, times), kind="stable")]
+            order = np.argsort(slot, kind="stable")
+            u, w, times = u[order], w[order], times[order]
+            ends = np.concatenate([[0], np.cumsum(times)]).tolist()
+            for k, (a, b) in enumerate(itertools.pairwise(_starts(slot, slots))):
+                if a < b:
+                    yield k, 1, chunk, packed(u[a:b], w[a:b], times[a:b], row[ends[a] : ends[b]])
+
+        def batch(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            all_blobs = blobs(held)
+            while some := list(itertools.islice(all_blobs, 64)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*some), (pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["slot", "kind", "chunk", "blob"])
+
+        held, n = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            texts = [tokens_of(t) for t in b.column("text").to_pylist()]
+            ids = b.column("doc_id")
+            null = ids.is_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            held.append((ids.fill_null(0).to_numpy(), null, b.column("held_out").to_numpy(zero_copy_only=False).astype(np.int64), np.array([len(t) for t in texts]), places.of(texts)))
+            n += len(held[-1][-1])
+            if n > CHUNK_TOKENS:
+                yield from batch(held)
+                held, n = [], 0
+                if len(places) > HELD_WORDS:
+                    places.start()
+        if held:
+            yield from batch(held)
+
+    return rows.mapInArrow(run, "slot int, kind int, chunk long, blob binary")
+
+
+def looked_up(rows: DataFrame, model: Model) -> DataFrame:
+    """(chunk, part, blob) of the rows of ``scored_here`` and of the model, dealt and sorted by slot:
+    sums of what the slots have for each text. The texts themselves are part -1."""
+    tokens, types = model.tokens, model.types
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = itertools.count(TaskContext.get().partitionId() << 32)
+        links, texts, found, held, slot = [], [], [], 0, None
+
+        def find() -> None:
+            """The gains of the pairs of one slot."""
+            nonlocal held
+            if not links or not texts:
+                return
+            u, w, gain, train = (np.concatenate(x) for x in zip(*(unpacked(x) for x in links)))
+            us, ws = np.unique(u), np.unique(w)
+            key = np.searchsorted(us, u) << 32 | np.searchsorted(ws, w)
+            order = np.argsort(key)
+            key, gain, train = key[order], gain[order].astype(np.float64), train[order]
+            for chunk, blob in texts:
+                u, w, times, row = unpacked(blob)
+                a, b = np.minimum(np.searchsorted(us, u), len(us) - 1), np.minimum(np.searchsorted(ws, w), len(ws) - 1)
+                at = np.minimum(np.searchsorted(key, a << 32 | b), len(key) - 1)
+                hit = (us[a] == u) & (ws[b] == w) & (key[at] == (a << 32 | b))
+                at, some = np.repeat(at, times), np.repeat(hit, times)
+                at = at[some]
+                found.append((np.full(len(at), chunk), row[some], gain[at], train[at]))
+                held += len(at)
+
+        def sums() -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            if not found:
+                return
+            chunk, row, gain, train = (np.concatenate(x) for x in zip(*found))
+            found.clear()
+            held = 0
+            chunks, of = np.unique(chunk, return_inverse=True)
+            key, of = np.unique(of << 32 | row, return_inverse=True)
+            score = np.bincount(of, gain, minlength=len(key)).astype(np.float32)
+            word = train > 0
+            known = np.bincount(of[word], minlength=len(key))
+            more = np.bincount(of[word], _base(train[word], tokens, types) - _base(0, tokens, types), minlength=len(key))
+            part = next(parts)
+            for k, (a, b) in enumerate(itertools.pairwise(_starts(key >> 32, len(chunks)))):
+                if a < b:
+                    some = known[a:b] > 0
+                    blob = packed(key[a:b] & 0xFFFFFFFF, known[a:b], more[a:b][some], score[a:b])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(chunks[k])], pa.int64()), pa.array([part], pa.int64()), pa.array([blob], pa.binary())], names=["chunk", "part", "blob"])
+
+        for b in batches:
+            for k, kind, chunk, blob in zip(*(b.column(c).to_pylist() for c in ("slot", "kind", "chunk", "blob"))):
+                if k != slot:
+                    find()
+                    links, texts, slot = [], [], k
+                    if held > HELD_VALUES:
+                        yield from sums()
+                if kind == 2:
+                    yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([-1], pa.int64()), pa.array([blob], pa.binary())], names=["chunk", "part", "blob"])
+                elif kind:
+                    texts.append((chunk, blob))
+                else:
+                    links.append(blob)
+        find()
+        yield from sums()
+
+    both = rows.unionByName(model.slotted.select("slot", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("chunk"), "blob"))
+    dealt = both.repartition(model.slots // SLOTS, "slot").sortWithinPartitions("slot", "kind", "chunk")
+    return dealt.mapInArrow(run, "chunk long, part long, blob binary")
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The texts of each chunk with all of their sums, of rows sorted by chunk and part."""
+    texts = None
+
+    def out():
+        ids, null, held_out, sizes, known, base, score = texts
+        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, mask=null > 0), "held_out": pa.array(held_out > 0), "n_tokens": pa.array(sizes), "n_known": pa.array(known), "base_score": pa.array(base), "score": pa.array(score)})
+
+    for b in batches:
+        for part, blob in zip(b.column("part").to_pylist(), b.column("blob").to_pylist()):
+            arrays = unpacked(blob)
+            if part < 0:
+                if texts:
+                    yield from out()
+                texts = [a.copy() for a in arrays]
+            else:
+                row, known, base, score = arrays
+                texts[4][row] += known
+                texts[5][row[known > 0]] += base
+                texts[6][row] += score
+    if texts:
+        yield from out()
 
 
 def scores(docs: DataFrame, model: Model, folds: int = 5, held: int = 1) -> DataFrame:
@@ -509,27 +725,9 @@ def scores(docs: DataFrame, model: Model, folds: int = 5, held: int = 1) -> Data
     count as empty: one end. Repeated rows get the same result each. Very long texts count
     whole. An empty table gives no rows. Other columns are ignored.
     """
-    here = written(scored_here(_with_folds(docs, folds, held), model).withColumn("__row", F.monotonically_increasing_id()))
-    rare = here.select("__row", F.explode("rare").alias("r")).select("__row", "r.word", "r.times")
-    joined = rare.join(model.far.select("word", "train", "own", "shift"), "word", "left")
-    count, times = F.coalesce(F.col("train"), F.lit(0)), F.col("times")
-    share = F.log10((count + 0.5) / (model.tokens + 0.5 * (model.types + 1)))
-    own = F.coalesce("own", F.lit(math.log10(model.rare[0]))) + F.coalesce("shift", F.lit(0.0))
-    none, nothing = F.lit(0).cast("long"), F.lit(0.0)
-    of_words = joined.groupBy("__row").agg(F.sum(times * share).alias("more_base"), F.sum(F.when(count > 0, times).otherwise(none)).alias("more_known"), F.sum(times * own).alias("more_score"))
-    pairs = here.select("__row", F.explode("pairs").alias("p")).select("__row", "p.u", "p.w")
-    of_pairs = pairs.join(model.links, ["u", "w"]).groupBy("__row").agg(nothing.alias("more_base"), none.alias("more_known"), F.sum("gain").alias("more_score"))
-    sums = of_words.unionByName(of_pairs).groupBy("__row").agg(*(F.sum(c).alias(c) for c in ("more_base", "more_known", "more_score")))
-    both = here.drop("rare", "pairs").join(sums, "__row", "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    score = F.col("score") + zero("more_score")
-    return both.select(
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + zero("more_known")).cast("long").alias("n_known"),
-        F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + zero("more_base")).alias("base_score"),
-        score.alias("score"),
-        F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+    parts = looked_up(scored_here(_with_folds(docs, folds, held), model), model)
+    rows = parts.repartition("chunk").sortWithinPartitions("chunk", "part").select("part", "blob")
+    added = rows.mapInArrow(_added, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return added.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity")
     )
