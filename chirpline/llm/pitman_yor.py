@@ -189,7 +189,71 @@ def _classes(code: np.ndarray, context_of: np.ndarray) -> tuple[np.ndarray, np.n
     return before, context, dish
 
 
-def pair_counts(docs: DataFrame, number: dict[bytes, int], context_of: np.ndarray, salt: str) -> DataFrame:
+def _slot_of(u: np.ndarray, w: np.ndarray, slots: int) -> np.ndarray:
+    mixed = u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(32)) % np.uint64(slots)).astype(np.min_scalar_type(slots))
+
+
+def _starts(slot: np.ndarray, slots: int) -> list[int]:
+    """Where each slot starts in sorted ones, and the end."""
+    return np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=slots))]).tolist()
+
+
+def _blobs(u: np.ndarray, w: np.ndarray, slots: int, *more: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(slot, blob) of pairs in the order of u and w, and what belongs to them."""
+    slot = _slot_of(u, w, slots)
+    order = np.argsort(slot, kind="stable")
+    arrays = [x[order] for x in (u, w, *more)]
+    for k, (a, b) in enumerate(itertools.pairwise(_starts(slot, slots))):
+        if a < b:
+            yield k, packed(*(x[a:b] for x in arrays))
+
+
+def _rows_of(blobs: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    while some := list(itertools.islice(blobs, 64)):
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], names=["slot", "blob"])
+
+
+def _ranks(codes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of the places by their codes, and the code of each rank; GRID has rank 0."""
+    used = np.zeros(len(codes), bool)
+    used[place] = used[0] = True
+    used = np.flatnonzero(used)
+    used = used[np.argsort(codes[used])]
+    rank = np.zeros(len(codes), np.int64)
+    rank[used] = 1 + np.arange(len(used))
+    return rank, np.concatenate([[GRID], codes[used]])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, w, c) added up, of (slot, blob) sorted by slot."""
+
+    def out(blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        u, w, n = (np.concatenate(x) for x in zip(*(unpacked(x) for x in blobs)))
+        us, ws = np.unique(u), np.unique(w)
+        key = np.searchsorted(us, u) << 32 | np.searchsorted(ws, w)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        n, key = np.add.reduceat(n[order], first), key[first]
+        for k in range(0, len(key), PAIR_ROWS):
+            some = key[k : k + PAIR_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(us[some >> 32]), pa.array(ws[some & 0xFFFFFFFF]), pa.array(n[k : k + PAIR_ROWS])], names=["u", "w", "c"])
+
+    blobs, slot = [], None
+    for b in batches:
+        for k, blob in zip(b.column("slot").to_pylist(), b.column("blob").to_pylist()):
+            if k != slot and blobs:
+                yield from out(blobs)
+                blobs = []
+            slot = k
+            blobs.append(blob)
+    if blobs:
+        yield from out(blobs)
+
+
+def pair_counts(docs: DataFrame, number: dict[bytes, int], context_of: np.ndarray, salt: str, slots: int) -> DataFrame:
     """(u, w, c): how often word w follows u in training texts, by their codes. With u = GRID, w
     is a cell of the bounded model, contexts x dishes; pairs that have such a cell alone to
     themselves aren't counted again. 0 stands for the start as u, for the end as w.
@@ -204,18 +268,16 @@ def pair_counts(docs: DataFrame, number: dict[bytes, int], context_of: np.ndarra
         places = _Places(number, salt)
         grid, waiting, held = np.zeros(contexts * dishes, np.int64), [], 0
 
-        def rows(u, w, n):
-            for k in range(0, len(n), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000], pa.int64()) for x in (u, w, n)], names=["u", "w", "c"])
-
         def sums():
             place = np.concatenate(waiting)
             codes = np.array(places.codes, np.int64)
             _, context, dish = _classes(codes[place], context_of)
             np.add(grid, np.bincount(context * dishes + dish, minlength=len(grid)), out=grid)
             own = (context == 1) | (dish == dishes - 1)
-            pair, n = np.unique(np.concatenate([[0], place[:-1]])[own] << 32 | place[own], return_counts=True)
-            yield from rows(codes[pair >> 32], codes[pair & 0xFFFFFFFF], n)
+            rank, ranked = _ranks(codes, place)
+            before = np.concatenate([[0], place[:-1]])
+            pair, n = np.unique(rank[before[own]] << 32 | rank[place[own]], return_counts=True)
+            yield from _rows_of(_blobs(ranked[pair >> 32], ranked[pair & 0xFFFFFFFF], slots, n))
 
         for b in batches:
             waiting.append(places.of([tokens_of(t) for t in b.column("text").to_pylist()]))
@@ -227,9 +289,10 @@ def pair_counts(docs: DataFrame, number: dict[bytes, int], context_of: np.ndarra
         if waiting:
             yield from sums()
         some = np.flatnonzero(grid)
-        yield from rows(np.full(len(some), GRID), some, grid[some])
+        yield from _rows_of(_blobs(np.full(len(some), GRID), some, slots, grid[some]))
 
-    return docs.where("not held_out").select("text").mapInArrow(run, "u long, w long, c long").groupBy("u", "w").agg(F.sum("c").alias("c"))
+    blobs = docs.where("not held_out").select("text").mapInArrow(run, "slot int, blob binary")
+    return blobs.repartition(slots // SLOTS, "slot").sortWithinPartitions("slot").mapInArrow(_summed, "u long, w long, c long")
 
 
 def rare_levels(sizes: dict[int, int], sweeps: int, burn: int, seed: int = 1, strength: float = 1.0) -> dict[int, float]:
@@ -333,20 +396,32 @@ def _filled(values: pa.Array, code: np.ndarray, numbered: np.ndarray) -> np.ndar
     return np.where(code >= 0, numbered[np.maximum(code, 0)], values.to_numpy(zero_copy_only=False))
 
 
+def _unpriced(cells: DataFrame, far: DataFrame, column: str) -> DataFrame:
+    """Add of_u, any_p, rare_p, what ``far`` has of u and w. A join is made of those without a number alone."""
+    rare = {"any_p": "any_p", "rare_p": "rare_p"}
+    null = lambda names: [F.lit(None).cast("double").alias(n) for n in names]
+    near_u, far_u = cells.where("u >= 0"), cells.where("u < 0").join(far.select(F.col("code").alias("u"), F.col(column).cast("double").alias("of_u")).hint("merge"), "u")
+    return near_u.where("w >= 0").select("*", *null(["of_u", *rare])).unionByName(_by_code(near_u.where("w < 0").select("*", *null(["of_u"])), far, "w", rare)).unionByName(_by_code(far_u, far, "w", rare))
+
+
+def _prices(b: pa.RecordBatch, near: tuple[np.ndarray, np.ndarray, np.ndarray], named: int) -> tuple[np.ndarray, np.ndarray]:
+    """What of_u is, and what the base predicts for w after u."""
+    of_u, any_p, rare_p = near
+    u, w = b.column("u").to_numpy(), b.column("w").to_numpy()
+    p0 = np.where((u >= 0) & (u <= named), _filled(b.column("rare_p"), w, rare_p), _filled(b.column("any_p"), w, any_p))
+    return _filled(b.column("of_u"), u, of_u), p0
+
+
 def _priced(cells: DataFrame, near: dict[str, np.ndarray], far: DataFrame, named: int, column: str) -> DataFrame:
     """(u, w, c, t, of_u, p0) of (u, w, c, t): ``column`` of u, and what the base predicts for w after u."""
-    spark = cells.sparkSession
-    both = _by_code(_by_code(cells, far, "u", {"of_u": column}), far, "w", {"any_p": "any_p", "rare_p": "rare_p"})
-    shared = spark.sparkContext.broadcast((near[column], near["any_p"], near["rare_p"]))
+    shared = cells.sparkSession.sparkContext.broadcast((near[column], near["any_p"], near["rare_p"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_u, any_p, rare_p = shared.value
         for b in batches:
-            u, w = b.column("u").to_numpy(), b.column("w").to_numpy()
-            p0 = np.where((u >= 0) & (u <= named), _filled(b.column("rare_p"), w, rare_p), _filled(b.column("any_p"), w, any_p))
-            yield pa.RecordBatch.from_pydict({n: b.column(n) for n in ("u", "w", "c", "t")} | {"of_u": pa.array(_filled(b.column("of_u"), u, of_u)), "p0": pa.array(p0)})
+            of_u, p0 = _prices(b, shared.value, named)
+            yield pa.RecordBatch.from_pydict({n: b.column(n) for n in ("u", "w", "c", "t")} | {"of_u": pa.array(of_u), "p0": pa.array(p0)})
 
-    return both.mapInArrow(run, "u long, w long, c long, t double, of_u double, p0 double")
+    return _unpriced(cells, far, column).mapInArrow(run, "u long, w long, c long, t double, of_u double, p0 double")
 
 
 def _drawn(cells: DataFrame, saved: np.ndarray, discount: float, sweep: int, kept: bool, seed: int = 1) -> DataFrame:
@@ -409,7 +484,9 @@ def fitted_grid(pairs: DataFrame, contexts: int, dishes: int) -> tuple[np.ndarra
     to themselves."""
     grid = pairs.where(F.col("u") == GRID).select("w", "c").toArrow()
     cell, n = grid["w"].to_numpy(), grid["c"].to_numpy()
+    del grid
     context, dish = cell // dishes, cell % dishes
+    del cell
     free = (context == 1) | (dish == dishes - 1)
     return fitted_words((context, dish, n), contexts, dishes), np.bincount(context[free], n[free], minlength=contexts).astype(np.int64)
 
@@ -442,17 +519,18 @@ def train(
     trained = np.array([counts.get(w, -1) for w in every], np.int64)
     dish = np.minimum(np.arange(len(every)), len(dishes))
     numbered = spark.createDataFrame(pa.table({"word": pa.array(every, pa.binary())}))
+    least = min((float(t) for _, t, _ in trained_most), default=math.inf)
+    del trained_most, counts, lexical
     unnumbered = written(words.join(F.broadcast(numbered), "word", "left_anti"))
     salt = _unlike(unnumbered)
 
-    pairs = written(pair_counts(rows, number, context_of, salt))
+    slots = SLOTS * max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // LOOKED_UP + 1)
+    pairs = written(pair_counts(rows, number, context_of, salt, slots))
     width = len(dishes) + 1
     probabilities, followers = fitted_grid(pairs, int(context_of.max()) + 1, width)
     first, log10 = probabilities[1].copy(), np.log10(probabilities).astype(np.float32)
     del probabilities
     long = F.length("word") > WORD_BYTES
-    least = min((float(t) for _, t, _ in trained_most), default=math.inf)
-    del trained_most, counts, lexical
     others = words.where((F.col("train") > 0) & (long | (F.col("train") < least)) & (F.col("word") != F.lit(END)))
     rare = rare_levels({r["train"]: r["count"] for r in others.groupBy("train").count().collect()}, SWEEPS, BURN)
 
@@ -483,12 +561,12 @@ def train(
     forget(unopened)
     gain = F.log10(1 + (F.col("c") - discount * F.col("t")) / (F.col("of_u") * F.col("p0"))).alias("gain")
     several = written(_priced(more, near, far, named, "opened").select("u", "w", "c", gain))
-    single = _priced(with_t(cells.where("c = 1")), near, far, named, "opened").select("u", "w", gain)
-    top = _frequent_pairs(several, frequent_pairs).select((F.col("u") * len(every) + F.col("w")).alias("pair"), "gain").toArrow().sort_by("pair")
-    slots = SLOTS * max(int(spark.conf.get("spark.sql.shuffle.partitions")), tokens // LOOKED_UP + 1)
     none = F.lit(0).cast("long").alias("train")
-    of_words = far.where("train > 0").select(F.lit(GRID).cast("long").alias("u"), F.col("code").alias("w"), (F.col("own") + F.col("shift") - math.log10(rare[0])).alias("gain"), "train")
-    packs = written(slotted(several.select("u", "w", "gain", none).unionByName(single.select("u", "w", "gain", none)).unionByName(of_words), slots))
+    null = [F.lit(None).cast("double").alias(n) for n in ("gain", "of_u", "any_p", "rare_p")]
+    single = _unpriced(cells.where("c = 1").select("u", "w", null[0], none), far, "opened")
+    top = _frequent_pairs(several, frequent_pairs).select((F.col("u") * len(every) + F.col("w")).alias("pair"), "gain").toArrow().sort_by("pair")
+    of_words = far.where("train > 0").select(F.lit(GRID).cast("long").alias("u"), F.col("code").alias("w"), (F.col("own") + F.col("shift") - math.log10(rare[0])).alias("gain"), "train", *null[1:])
+    packs = written(slotted(several.select("u", "w", "gain", none, *null[1:]).unionByName(single).unionByName(of_words), slots, (near["opened"], near["any_p"], near["rare_p"]), named, discount))
     for table in (words, pairs, more, saved, several):
         forget(table)
     return Model(
@@ -497,34 +575,24 @@ def train(
     )
 
 
-def _slot_of(u: np.ndarray, w: np.ndarray, slots: int) -> np.ndarray:
-    mixed = u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return ((mixed >> np.uint64(32)) % np.uint64(slots)).astype(np.min_scalar_type(slots))
-
-
-def _starts(slot: np.ndarray, slots: int) -> list[int]:
-    """Where each slot starts in sorted ones, and the end."""
-    return np.concatenate([[0], np.cumsum(np.bincount(slot, minlength=slots))]).tolist()
-
-
-def slotted(links: DataFrame, slots: int) -> DataFrame:
-    """(slot, blob) of (u, w, gain, train): the rows of each slot, as tasks pack them together."""
+def slotted(links: DataFrame, slots: int, near: tuple[np.ndarray, np.ndarray, np.ndarray], named: int, discount: float) -> DataFrame:
+    """(slot, blob) of (u, w, gain, train, of_u, any_p, rare_p): the rows of each slot, as tasks
+    pack them together. Where gain is null, it's that of a pair that occurs once."""
     arrow_batches(links.sparkSession, PAIR_ROWS)
+    shared = links.sparkSession.sparkContext.broadcast(near)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def blobs(held: list[pa.RecordBatch]):
-            u, w, gain, train = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("u", "w", "gain", "train"))
-            slot = _slot_of(u, w, slots)
-            order = np.lexsort((w, u, slot))
-            u, w, gain, train = u[order], w[order], gain[order].astype(np.float32), train[order]
-            for k, (a, b) in enumerate(itertools.pairwise(_starts(slot, slots))):
-                if a < b:
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed(u[a:b], w[a:b], gain[a:b], train[a:b])], pa.binary())], names=["slot", "blob"])
+        def blobs(held: list[tuple]):
+            u, w, gain, train = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((w, u))
+            yield from _rows_of(_blobs(u[order], w[order], slots, gain[order].astype(np.float32), train[order]))
 
         held, n = [], 0
         for b in batches:
-            held.append(b)
+            of_u, p0 = _prices(b, shared.value, named)
+            once = np.log10(1 + (1 - discount) / (of_u * p0))
+            gain = b.column("gain").to_numpy(zero_copy_only=False)
+            held.append((b.column("u").to_numpy(), b.column("w").to_numpy(), np.where(b.column("gain").is_null().to_numpy(zero_copy_only=False), once, gain), b.column("train").to_numpy()))
             n += b.num_rows
             if n > PACKED_PAIRS:
                 yield from blobs(held)
@@ -574,14 +642,7 @@ def scored_here(rows: DataFrame, model: Model) -> DataFrame:
             texts = packed(ids, null, out, sizes, known, sums(np.where(here, base[at], no_base)), sums(score))
             chunk = next(chunks)
             yield int(_slot_of(np.array([chunk]), np.array([GRID]), slots)[0]), 2, chunk, texts
-            # ranks of the words by their codes; GRID has rank 0
-            used = np.zeros(len(codes), bool)
-            used[place] = used[0] = True
-            used = np.flatnonzero(used)
-            used = used[np.argsort(codes[used])]
-            rank = np.empty(len(codes), np.int64)
-            rank[used] = 1 + np.arange(len(used))
-            ranked = np.concatenate([[GRID], codes[used]])
+            rank, ranked = _ranks(codes, place)
             left = free & ~hit
             key = np.concatenate([rank[np.concatenate([[0], place[:-1]])[left]] << 32 | rank[place[left]], rank[place[~here]]])
             row = np.concatenate([row[left], row[~here]])

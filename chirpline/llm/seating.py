@@ -38,7 +38,7 @@ def drawn_tables(c: np.ndarray, others: np.ndarray, p0: np.ndarray, discount: fl
     start = np.minimum(c, EXACT)
     for n in np.unique(start[start > 1]):
         cells = np.flatnonzero(start == n)
-        for some in np.array_split(cells, max(1, len(cells) * int(n) // 2_000_000)):
+        for some in np.array_split(cells, max(1, len(cells) * int(n) // 250_000)):
             opened = np.cumsum(np.log(strength + discount * (others[some, None] + np.arange(n))), axis=1)
             weight = stirling[n, 1 : n + 1] + opened + log_p[some, None] * np.arange(1, n + 1)
             weight = np.exp(weight - weight.max(axis=1, keepdims=True)).cumsum(axis=1)
@@ -166,5 +166,6 @@ class Restaurants:
             self.sweep()
             if k >= burn:
                 now = self.tables_of_probabilities()
-                total = [a + b for a, b in zip(total, now)] if total else [a.copy() for a in now]
-        return [a / (sweeps - burn) for a in total]
+                total = [np.add(a, b, out=a) for a, b in zip(total, now)] if total else now
+                del now
+        return [np.divide(a, sweeps - burn, out=a) for a in total]
