@@ -566,7 +566,7 @@ def train(
     single = _unpriced(cells.where("c = 1").select("u", "w", null[0], none), far, "opened")
     top = _frequent_pairs(several, frequent_pairs).select((F.col("u") * len(every) + F.col("w")).alias("pair"), "gain").toArrow().sort_by("pair")
     of_words = far.where("train > 0").select(F.lit(GRID).cast("long").alias("u"), F.col("code").alias("w"), (F.col("own") + F.col("shift") - math.log10(rare[0])).alias("gain"), "train", *null[1:])
-    packs = written(slotted(several.select("u", "w", "gain", none, *null[1:]).unionByName(single).unionByName(of_words), slots, (near["opened"], near["any_p"], near["rare_p"]), named, discount))
+    packs = written(slotted(several.select("u", "w", "gain", none, *null[1:]).unionByName(single).unionByName(of_words), slots, (near["opened"], near["any_p"], near["rare_p"]), named, discount, max(spark.sparkContext.defaultParallelism, tokens // PACKED_PAIRS)))
     for table in (words, pairs, more, saved, several):
         forget(table)
     return Model(
@@ -575,9 +575,10 @@ def train(
     )
 
 
-def slotted(links: DataFrame, slots: int, near: tuple[np.ndarray, np.ndarray, np.ndarray], named: int, discount: float) -> DataFrame:
+def slotted(links: DataFrame, slots: int, near: tuple[np.ndarray, np.ndarray, np.ndarray], named: int, discount: float, tasks: int) -> DataFrame:
     """(slot, blob) of (u, w, gain, train, of_u, any_p, rare_p): the rows of each slot, as tasks
-    pack them together. Where gain is null, it's that of a pair that occurs once."""
+    pack them together. Where gain is null, it's that of a pair that occurs once. Each task has a
+    row for every slot, so a table of few pairs gets few tasks, however it is dealt."""
     arrow_batches(links.sparkSession, PAIR_ROWS)
     shared = links.sparkSession.sparkContext.broadcast(near)
 
@@ -600,7 +601,7 @@ def slotted(links: DataFrame, slots: int, near: tuple[np.ndarray, np.ndarray, np
         if n:
             yield from blobs(held)
 
-    return links.mapInArrow(run, "slot int, blob binary")
+    return links.coalesce(tasks).mapInArrow(run, "slot int, blob binary")
 
 
 def scored_here(rows: DataFrame, model: Model) -> DataFrame:

@@ -48,3 +48,16 @@ def test_chunks_change_no_score(spark, monkeypatch, tokens):
     assert len(got) == len(want)
     for a, b in zip(got, want):
         assert a[:5] == b[:5] and abs(a[5] - b[5]) < 0.01
+
+
+def test_few_pairs_make_few_packs(spark):
+    # a row for each slot and task; tables dealt over many partitions had one task for each
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        model = pitman_yor.train(cases.frame(spark), lexicon=30, contexts=6, frequent=50)
+        assert model.slotted.count() <= model.slots * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
