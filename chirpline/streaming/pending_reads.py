@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,24 +33,48 @@ def log_of(pieces: DataFrame, requests: DataFrame, ends: DataFrame) -> DataFrame
     return _rows(pieces, "piece").unionByName(_rows(requests, "read", F.col("request_id"))).unionByName(_rows(closing, "end"))
 
 
+def unions(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted, separate ranges of any ranges; those that touch are one, empty ones go."""
+    there = ends > starts
+    order = np.argsort(starts[there], kind="stable")
+    starts, ends = starts[there][order], np.maximum.accumulate(ends[there][order])
+    apart = starts[1:] > ends[:-1]
+    return starts[np.r_[True, apart]] if len(starts) else starts, ends[np.r_[apart, True]] if len(ends) else ends
+
+
+def covered(starts: np.ndarray, ends: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which ranges [low, high) lie in one of the sorted, separate ranges, or are empty."""
+    at = np.searchsorted(starts, low, "right") - 1
+    inside = high <= ends[at] if len(ends) else np.zeros(len(low), bool)
+    return (high <= low) | (at >= 0) & inside
+
+
 def united(islands: list[tuple[int, int]], start: int, end: int) -> list[tuple[int, int]]:
-    """Sorted, separate ranges with one more; ranges that touch are one, empty ones go."""
-    if end <= start:
-        return islands
-    apart = [(a, b) for a, b in islands if b < start or a > end]
-    near = [(a, b) for a, b in islands if b >= start and a <= end]
-    return sorted([*apart, (min([start, *(a for a, _ in near)]), max([end, *(b for _, b in near)]))])
+    """``unions`` of sorted, separate ranges and one more."""
+    found = unions(*np.array([*islands, (start, end)], np.int64).T)
+    return list(zip(*(part.tolist() for part in found)))
 
 
 def covers(islands: list[tuple[int, int]], start: int, end: int) -> bool:
-    return end <= start or any(a <= start and end <= b for a, b in islands)
+    return bool(covered(*np.array(islands, np.int64).reshape(-1, 2).T, np.array([start]), np.array([end]))[0])
+
+
+#: Reads that one entry of the state holds.
+BLOCK = 8192
+#: A waiting read: request, start, end, deadline.
+READ = 4
 
 
 class Reads(StatefulProcessor):
     """State of a signal: the ranges that have arrived, its length once it has ended, and
     the reads that wait. A missing piece splits the ranges once, however long it is missing,
     and reads leave when they are answered or after ``wait_ms``; so state doesn't grow with
-    the signal."""
+    the signal.
+
+    Reads wait in blocks of packed numbers, all full but one: a batch asks the state once for
+    each block, not for each read, and only blocks that lose or gain reads are written. Ranges and reads
+    are compared sorted, not in pairs. One timer runs, for the earliest deadline.
+    """
 
     def __init__(self, wait_ms: int):
         self.wait_ms = wait_ms
@@ -57,49 +82,80 @@ class Reads(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.arrived = handle.getValueState("arrived", "starts array<long>, ends array<long>, length long, frontier long")
-        self.waiting = handle.getMapState("waiting", "request_id long", "start long, end long, deadline long")
+        self.waiting = handle.getMapState("waiting", "block long", "reads binary")
 
-    def _known(self) -> tuple[list[tuple[int, int]], int, int]:
+    def _known(self) -> tuple[np.ndarray, np.ndarray, int, int]:
         if not self.arrived.exists():
-            return [], -1, 0
+            return np.empty(0, np.int64), np.empty(0, np.int64), -1, 0
         starts, ends, length, frontier = self.arrived.get()
-        return list(zip(map(int, starts), map(int, ends))), int(length), int(frontier)
+        return np.array(starts, np.int64), np.array(ends, np.int64), int(length), int(frontier)
+
+    def _blocks(self) -> dict[int, np.ndarray]:
+        if not self.waiting.exists():
+            return {}
+        return {int(k[0]): np.frombuffer(v[0], np.int64).reshape(-1, READ) for k, v in self.waiting.iterator()}
+
+    def _keep(self, before: dict[int, np.ndarray], stay: dict[int, np.ndarray], fresh: np.ndarray) -> None:
+        """Write the reads that ``stay`` in each block and fresh ones, and set the timer."""
+        changed = [k for k, block in before.items() if not stay[k].all() or len(block) < BLOCK]
+        left = np.concatenate([*(before[k][stay[k]] for k in changed), fresh])
+        whole = [block for k, block in before.items() if k not in changed]
+        if len(fresh) or any(not stay[k].all() for k in changed):
+            free = [*changed, *range(max(before, default=-1) + 1, max(before, default=-1) + 1 + -(-len(left) // BLOCK))]
+            used = free[: -(-len(left) // BLOCK)]
+            for n, k in enumerate(used):
+                self.waiting.updateValue((k,), (left[n * BLOCK : (n + 1) * BLOCK].tobytes(),))
+            for k in set(changed) - set(used):
+                self.waiting.removeKey((k,))
+        if deadlines := [int(block[:, 3].min()) for block in (*whole, left) if len(block)]:
+            self.handle.registerTimer(min(deadlines))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        islands, length, before = self._known()
-        fresh = []
+        starts, ends, length, before = self._known()
+        pieces, asked = [np.stack([starts, ends])], [np.empty((0, READ), np.int64)]
         for batch in rows:
-            for kind, request, start, end, at in zip(batch["kind"], batch["request_id"], batch["start"], batch["end"], batch["at"]):
-                if kind == "piece":
-                    islands = united(islands, int(start), int(end))
-                elif kind == "end":
-                    length = max(length, int(end))
-                else:
-                    fresh.append((int(request), int(start), int(end), int(at.timestamp() * 1000) + self.wait_ms))
-        frontier = next((b for a, b in islands if a <= 0), 0)
-        self.arrived.update(([a for a, _ in islands], [b for _, b in islands], length, frontier))
-        out = [(key[0], None, "frontier", 0, frontier)] if frontier > before else []
-        old = [(int(k[0]), *map(int, v)) for k, v in self.waiting.iterator()] if self.waiting.exists() else []
-        for k, (request, start, end, deadline) in enumerate(old + fresh):
-            there = min(end, length) if length >= 0 and end > start else end
-            if covers(islands, start, there):
-                out.append((key[0], request, "full" if there == end else "partial", start, max(start, there)))
-                if k < len(old):
-                    self.waiting.removeKey((request,))
-            elif k >= len(old):
-                self.waiting.updateValue((request,), (start, end, deadline))
-                self.handle.registerTimer(deadline)
-        if out:
-            yield pd.DataFrame(out, columns=["source_id", "request_id", "status", "start", "end"]).astype({"request_id": "Int64"})
+            kind = batch["kind"].to_numpy()
+            request, start, end, at = (batch[c].to_numpy(np.int64) for c in ("request_id", "start", "end", "at_ms"))
+            piece, read, closing = (kind == k for k in ("piece", "read", "end"))
+            pieces.append(np.stack([start[piece], end[piece]]))
+            asked.append(np.stack([request[read], start[read], end[read], at[read] + self.wait_ms], 1))
+            length = max(length, int(end[closing].max(initial=-1)))
+        fresh, blocks = np.concatenate(asked), self._blocks()
+        starts, ends = unions(*np.concatenate(pieces, 1))
+        first = np.searchsorted(starts, 0, "right") - 1
+        frontier = max(0, int(ends[first])) if first >= 0 else 0
+        self.arrived.update((starts.tolist(), ends.tolist(), length, frontier))
+        if frontier > before:
+            yield pd.DataFrame({"source_id": [key[0]], "request_id": pd.array([None], "Int64"), "status": ["frontier"], "start": [0], "end": [frontier]})
+
+        def there(reads):
+            _, low, high, _ = reads.T
+            return np.where(high > low, np.minimum(high, length), high) if length >= 0 else high
+
+        def done(reads):
+            return covered(starts, ends, reads[:, 1], there(reads))
+
+        answers = {k: done(block) for k, block in blocks.items()}
+        found = [blocks[k][answered] for k, answered in answers.items()] + [fresh[now := done(fresh)]]
+        # a request that is asked again while it waits takes the place of the former
+        late = fresh[~now][::-1]
+        late = late[np.unique(late[:, 0], return_index=True)[1]]
+        self._keep(blocks, {k: ~answers[k] & ~np.isin(block[:, 0], late[:, 0]) for k, block in blocks.items()}, late)
+        if len(out := np.concatenate(found)):
+            stop = there(out)
+            yield self._told(key, out, np.where(stop == out[:, 2], "full", "partial"), np.maximum(out[:, 1], stop))
+
+    def _told(self, key, reads: np.ndarray, status, end: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"source_id": key[0], "request_id": reads[:, 0], "status": status, "start": reads[:, 1], "end": end})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # the timer of a read that was answered meanwhile finds nothing
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        late = [(int(k[0]), int(v[0]), int(v[1])) for k, v in self.waiting.iterator() if int(v[2]) <= now]
-        for request, *_ in late:
-            self.waiting.removeKey((request,))
-        if late:
-            yield pd.DataFrame([(key[0], r, "expired", a, b) for r, a, b in late], columns=["source_id", "request_id", "status", "start", "end"])
+        # the timer of a read that was answered meanwhile finds nothing, or the next
+        now, blocks = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1), self._blocks()
+        stay = {k: block[:, 3] > now for k, block in blocks.items()}
+        late = np.concatenate([np.empty((0, READ), np.int64), *(block[~stay[k]] for k, block in blocks.items())])
+        self._keep(blocks, stay, np.empty((0, READ), np.int64))
+        if len(late):
+            yield self._told(key, late, "expired", late[:, 2])
 
 
 def answered(log: DataFrame, wait_seconds: float, delay: str) -> DataFrame:
@@ -113,7 +169,9 @@ def answered(log: DataFrame, wait_seconds: float, delay: str) -> DataFrame:
     """
     prepare_workers(log.sparkSession)
     use_state_store(log.sparkSession)
-    return log.withWatermark("at", delay).groupBy("source_id").transformWithStateInPandas(Reads(int(wait_seconds * 1000)), OUT, "Append", "EventTime")
+    # no nulls and plain milliseconds, so that numbers stay whole ones and no time zone matters
+    plain = log.withWatermark("at", delay).withColumn("request_id", F.coalesce("request_id", F.lit(-1))).withColumn("at_ms", F.unix_millis("at"))
+    return plain.groupBy("source_id").transformWithStateInPandas(Reads(int(wait_seconds * 1000)), OUT, "Append", "EventTime")
 
 
 def frontiers(answers: DataFrame) -> DataFrame:

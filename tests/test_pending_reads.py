@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chirpline.streaming.pending_reads import answered, covers, log_of, read_many, united
+from chirpline.streaming.pending_reads import BLOCK, Reads, answered, covers, log_of, read_many, united
 
 
 def test_ranges_unite():
@@ -75,3 +77,74 @@ def test_read_many_takes_all_samples_of_each_range(spark):
     got = read_many(chunks, spark.createDataFrame(asked, "request_id long, source_id string, start long, end long"), 8).collect()
     want = [(i, float(n)) for i, s, a, b in asked if s == "a" for n in range(max(0, a), min(b, 50))]
     assert sorted((r["request_id"], r["x"]) for r in got) == sorted(want) and all(r["n"] == r["x"] for r in got)
+
+
+class Held:
+    """State in memory that counts how often it is asked; a handle, a value and a map."""
+
+    def __init__(self):
+        self.calls, self.value, self.map, self.timers, self.states = 0, None, {}, set(), {}
+
+    def getValueState(self, name, *schema):
+        return self.states.setdefault(name, Held())
+
+    getMapState = getValueState
+
+    def exists(self):
+        return bool(self.value or self.map)
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def iterator(self):
+        self.calls += len(self.map)
+        return iter(list(self.map.items()))
+
+    def updateValue(self, key, value):
+        self.calls, self.map[key] = self.calls + 1, value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self.map[key]
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.add(at)
+
+
+class Due:
+    def __init__(self, at):
+        self.getExpiryTimeInMs = self.getCurrentWatermarkInMs = lambda: at
+
+
+def test_many_reads_wait_in_few_entries():
+    """Batches of pieces with gaps and reads, as sets of samples answer them; the state is asked by block."""
+    rng = np.random.default_rng(5)
+    handle, reads = Held(), Reads(1000)
+    reads.init(handle)
+    held, waiting, total, size = np.zeros(60_100, bool), {}, 3 * BLOCK, 0
+    for k in range(6):
+        start = rng.permutation(6000)[:900] * 10
+        ids = np.arange(size, size := size + total // 6)
+        low = rng.integers(0, 60_000, len(ids))
+        wide = rng.integers(0, 25, len(ids))
+        rows = pd.DataFrame({"kind": ["piece"] * 900 + ["read"] * len(ids), "request_id": [-1] * 900 + ids.tolist(), "start": [*start, *low], "end": [*(start + 10), *(low + wide)], "at_ms": [0] * 900 + (ids % 5).tolist()})
+        for a in start:
+            held[a : a + 10] = True
+        waiting |= {i: (a, a + n) for i, a, n in zip(ids.tolist(), low.tolist(), wide.tolist())}
+        got = pd.concat(reads.handleInputRows(("s",), iter([rows.iloc[:700], rows.iloc[700:]]), None))
+        full = got[got["status"] == "full"]["request_id"].tolist()
+        want = [i for i, (a, b) in waiting.items() if held[a:b].all()]
+        assert sorted(full) == want
+        for i in want:
+            del waiting[i]
+    assert len(waiting) > BLOCK
+    expired, due = [], 0
+    while left := [t for t in handle.timers if t > due]:
+        due = min(left)
+        expired += [r for made in reads.handleExpiredTimer(("s",), Due(due), Due(due)) for r in made.itertuples()]
+    assert sorted((r.request_id, r.start, r.end) for r in expired) == sorted((i, a, b) for i, (a, b) in waiting.items())
+    assert not handle.states["waiting"].map and handle.calls + sum(s.calls for s in handle.states.values()) < 150
