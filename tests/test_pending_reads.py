@@ -71,6 +71,20 @@ def test_a_lost_piece_leaves_bounded_state(spark, tmp_path):
     assert spark.read.format("statestore").option("stateVarName", "waiting").load(f"{tmp_path}/state").count() == 0
 
 
+def test_numbers_and_deadlines_stay_exact(spark, tmp_path):
+    """Requests beyond 2**53 beside pieces without one; deadlines in a session of another time zone."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/Denver")
+    try:
+        first, second, third = (2**53 + k for k in (1, 3, 5))
+        steps = [[("piece", "a", None, 0, 10, 0), ("read", "a", first, 0, 5, 0), ("read", "a", second, 20, 25, 0), ("read", "a", third, 40, 50, 300)]]
+        steps += [[("piece", "~", None, 0, 0, 310)], [("piece", "a", None, 40, 50, 320)], [("piece", "~", None, 0, 0, 2000)]]
+        rows = run(spark, tmp_path, steps)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert {r["request_id"]: r["status"] for r in rows if r["request_id"] is not None} == {first: "full", second: "expired", third: "full"}
+
+
 def test_read_many_takes_all_samples_of_each_range(spark):
     chunks = spark.createDataFrame([("a", n0, [float(k) for k in range(n0, min(n0 + 8, 50))]) for n0 in range(0, 50, 8)], "source_id string, n0 long, x array<double>")
     asked = [(1, "a", 0, 50), (2, "a", 5, 6), (3, "a", 45, 80), (4, "a", 9, 9), (5, "b", 0, 4), (6, "a", 16, 24), (7, "a", -3, 2)]
