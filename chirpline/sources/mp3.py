@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -44,9 +45,11 @@ def tag_size(raw: bytes) -> int:
 
 
 def frame_header(raw: bytes, at: int = 0) -> FrameHeader | None:
-    if len(raw) < at + 4:
-        return None
-    h = struct.unpack_from(">I", raw, at)[0]
+    return _header(struct.unpack_from(">I", raw, at)[0]) if len(raw) >= at + 4 else None
+
+
+@lru_cache(1 << 14)
+def _header(h: int) -> FrameHeader | None:
     version, layer = {3: 1.0, 2: 2.0, 0: 2.5}.get(h >> 19 & 3), {3: 1, 2: 2, 1: 3}.get(h >> 17 & 3)
     rate_at, bit_at = h >> 10 & 3, h >> 12 & 15
     if h >> 21 != 0x7FF or version is None or layer is None or rate_at == 3 or bit_at in (0, 15):

@@ -60,3 +60,28 @@ def test_ranges_equal_a_whole_walk(spark, tmp_path, grid):
 def test_files_without_frames(spark):
     files = spark.createDataFrame([("a", b""), ("b", b"no frames here" * 50), ("c", None)], "path string, content binary").where("content is not null")
     assert mp3_seek.seek_index(files).count() == 0
+
+
+def test_files_are_walked_once_by_many_tasks(spark, data):
+    """One Python stage makes the index and one the answers; no content is exchanged."""
+    from chirpline.queries import mp3_seeks
+
+    found = mp3_seeks.mp3_seek_frames(spark, data)
+    found.collect()
+    lines = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].splitlines()
+    assert sum("MapInArrow" in line for line in lines) == 2
+    exchanged = [below for line, below in zip(lines, lines[1:]) if "Exchange" in line]
+    assert exchanged and not any("content" in line for line in exchanged)
+    assert mp3_seeks.varied_files(spark, data).rdd.getNumPartitions() == mp3_seeks.TASKS * spark.sparkContext.defaultParallelism
+
+
+def test_ranges_that_touch_the_ends(spark):
+    """Ends far beyond a file, starts just before its end, and requests that occur twice."""
+    raw = made(2, 50)
+    seconds = walk(raw)[-1][4]
+    files = spark.createDataFrame([("f", raw)], "path string, content binary")
+    asked = [(1, "f", -5.0, 1e15), (2, "f", seconds - 1e-6, seconds), (3, "f", seconds, seconds + 1), (4, "f", 0.3, 0.4), (4, "f", 0.3, 0.4)]
+    found = mp3_seek.byte_ranges(spark.createDataFrame(asked, "id int, path string, start double, end double"), mp3_seek.seek_index(files, 0.1), 0.1).collect()
+    assert sorted(r["id"] for r in found) == [1, 2, 4, 4]
+    whole = next(r for r in found if r["id"] == 1)
+    assert (whole["a"], whole["b"]) == (walk(raw)[0][1], walk(raw)[-1][1] + walk(raw)[-1][2])
