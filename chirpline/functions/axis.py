@@ -43,11 +43,23 @@ def ticks_between(start: Column, end: Column, step: Column) -> Column:
 
 
 def fixed(x: Column, decimals: Column) -> Column:
-    """Fixed-point text with a number of decimals that varies by row, at most four."""
-    out = F.format_string("%.0f", x)
-    for d in range(1, 5):
-        out = F.when(decimals == d, F.format_string(f"%.{d}f", x)).otherwise(out)
-    return out
+    """Fixed-point text of non-negative values with a number of decimals that varies by row, at
+    most four: the nearest to the double itself, ties to even, as C's printf gives it. Spark's
+    ``format_string`` rounds the shortest decimal text of a double half up instead."""
+    whole = F.floor(x)
+    part = x - whole
+    by = F.element_at(F.array(*[F.lit(10.0**d) for d in range(5)]), F.greatest(F.lit(1), F.least(F.lit(5), decimals.cast("int") + 1)))
+    # the product as two exact doubles: 26 bits of the part, and what is left of it
+    high = F.floor(part * 2.0**26) / 2.0**26
+    units = F.floor(high * by)
+    over = (high * by - units - 0.5) + (part - high) * by
+    odd = F.when(by == 1, whole % 2).otherwise(units % 2) == 1
+    units = units + F.when((over > 0) | (over == 0) & odd, 1).otherwise(0)
+    carried = (whole + F.when(units >= by, 1).otherwise(0)).cast("string")
+    digits = F.substring((units % by + by).cast("long").cast("string"), 2, 4)
+    exact = F.when(by == 1, carried).otherwise(F.concat(carried, F.lit("."), digits))
+    # beyond, doubles are whole numbers, or none
+    return F.when(x < 2.0**53, exact).otherwise(F.concat(F.format_string("%.0f", x), F.when(by == 1, "").otherwise(F.concat(F.lit("."), F.substring(by.cast("long").cast("string"), 2, 4)))))
 
 
 def time_label(seconds: Column, step: Column, style: str | Callable[[Column], Column] = "auto") -> Column:
@@ -87,9 +99,9 @@ def frequency_label(hz: Column, style: str | Callable[[Column], Column] = "auto"
     if style == "hz":
         return plain
     if style == "khz":
-        return F.concat(F.format_string("%.2f", a / 1000), F.lit(" kHz"))
+        return F.concat(fixed(a / 1000, F.lit(2)), F.lit(" kHz"))
     k = a / 1000
-    return F.when(a < 1000, plain).when(k % 1 == 0, F.concat(k.cast("long").cast("string"), F.lit(" kHz"))).otherwise(F.concat(F.format_string("%.1f", k), F.lit(" kHz")))
+    return F.when(a < 1000, plain).when(k % 1 == 0, F.concat(k.cast("long").cast("string"), F.lit(" kHz"))).otherwise(F.concat(fixed(k, F.lit(1)), F.lit(" kHz")))
 
 
 def multiples(low: Column, high: Column, of: Column) -> Column:

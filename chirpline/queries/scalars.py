@@ -142,7 +142,9 @@ def _time_label_sql(style: str) -> str:
 
 def _labels(spark, sf_dir, style):
     step = F.get(F.array(*map(F.lit, _LABEL_STEPS)), (F.col("c_custkey") % 4).cast("int"))
-    return table(spark, sf_dir, "customer").select("c_custkey", axis.time_label(F.col("c_acctbal") * 1.37, step, style).alias("label"))
+    # SQL's concat leaves nulls out
+    label = F.coalesce(axis.time_label(F.col("c_acctbal") * 1.37, step, style), F.lit(""))
+    return table(spark, sf_dir, "customer").select("c_custkey", label.alias("label"))
 
 
 @query(_time_label_sql("timecode"))

@@ -49,3 +49,23 @@ def test_labels_of_all_styles(spark):
     assert label(7, 1, lambda c: F.concat(F.lit("t"), c.cast("int").cast("string"))) == "t7"
     hz = lambda f, style: spark.range(1).select(axis.frequency_label(F.lit(float(f)), style)).first()[0]
     assert hz(1234.4, "hz") == "1234 Hz" and hz(1234.4, "khz") == "1.23 kHz" and hz(2000, "auto") == "2 kHz"
+
+
+def test_fixed_text_is_that_of_printf(spark):
+    """Ties of doubles go to even, and what only looks like a tie to the nearer side."""
+    import random
+
+    rng = random.Random(1)
+    values = [0.0, 0.25, 0.125, 0.375, 36.305, 1.005, 2.5, 3.5, 0.5, 1.5, 0.99995, 9.9999, 59.9995, 0.05, 0.15, 2.0**-16, 5e-324, 4503599627370497.5]
+    values += [k / 2**n for n in (1, 2, 3, 4, 5, 14, 20) for k in rng.sample(range(2**20), 30)]
+    values += [rng.uniform(0, 10.0**e) for e in range(-6, 8) for _ in range(30)] + [(2 * rng.randrange(10**6) + 1) / (2 * 10**d) for d in range(5) for _ in range(60)]
+    rows = spark.createDataFrame([(x, d) for x in values for d in range(5)], "x double, d int")
+    wrong = [(r["x"], r["d"], r["t"]) for r in rows.select("x", "d", axis.fixed(F.col("x"), F.col("d")).alias("t")).collect() if r["t"] != f"{r['x']:.{r['d']}f}"]
+    assert not wrong
+
+
+def test_labels_round_as_sql(spark):
+    label = lambda s, step: spark.range(1).select(axis.time_label(F.lit(s), F.lit(step))).first()[0]
+    assert label(-1318.625, 0.01) == "-21:58.62" and label(-1267.25, 0.5) == "-21:07.2" and label(-36.305, 0.01) == "-36.30s"
+    hz = lambda f, style: spark.range(1).select(axis.frequency_label(F.lit(f), style)).first()[0]
+    assert hz(1250.0, "auto") == "1.2 kHz" and hz(1125.0, "khz") == "1.12 kHz"

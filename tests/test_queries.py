@@ -51,3 +51,13 @@ def test_spectra_are_computed_once(spark, data, name):
     plan.collect()
     text = plan._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert len(re.findall("MapInArrow", text)) == 1
+
+
+def test_labels_of_ties_and_nulls_match_sql(spark, tmp_path):
+    """Balances whose labels are ties between two decimals, and none."""
+    c = duckdb.connect()
+    c.execute("create table customer as select row_number() over () - 1 as c_custkey, v::double as c_acctbal from (select unnest([-962.5, -925, -26.5, -25, 0.0, 12.5, 750, 987.5, null]) as v), range(4)")
+    c.execute(f"copy customer to '{tmp_path}/customer.parquet' (format parquet)")
+    for name in ("time_label_auto", "time_label_timecode"):
+        got = sorted(tuple(row) for row in catalog.queries()[name](spark, str(tmp_path)).select("c_custkey", "label").collect())
+        assert got == sorted(c.execute(catalog.oracle_sql()[name]).fetchall())
