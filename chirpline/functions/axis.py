@@ -66,6 +66,11 @@ def time_label(seconds: Column, step: Column, style: str | Callable[[Column], Co
     """Label of a time: 'auto', 'seconds', 'timecode', 'hhmmss' or a column function."""
     if callable(style):
         return style(seconds)
+    # format_string would write nulls out
+    return F.when(seconds.isNotNull(), _time_label(seconds, step, style))
+
+
+def _time_label(seconds: Column, step: Column, style: str) -> Column:
     a = F.abs(seconds)
     sign = F.when(seconds < 0, "-").otherwise("")
     places = F.ceil(-F.log10(step))
