@@ -27,11 +27,15 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(WavSource)
 
 
+#: Partitions that one scan is cut into, beside one for each file.
+PARTITIONS = 1024
+
+
 class WavSource(DataSource):
     """``spark.read.format("chirpline_wav").load(pattern)`` and ``readStream``; ``df.write`` to a folder.
 
     Reading gives a row for each channel and chunk. Options: split (bytes of a file in a
-    partition, default 16 MB), chunk (samples in a row, default 65536; rows begin at its
+    partition, default 16 MB; more where a scan would have over ``PARTITIONS`` of them), chunk (samples in a row, default 65536; rows begin at its
     multiples), start and end (seconds; only their bytes are read). Equality and lists of
     source_id and channel and bounds of n0 are pushed down to byte ranges. The driver only lists
     files; tasks read headers. A file that can't be read is one row with an error. Paths may be
@@ -123,7 +127,9 @@ class WavReader(DataSourceReader):
 
     def partitions(self):
         files = [f for f in listed(self.options["path"]) if self.wanted.sources is None or f.uri in self.wanted.sources]
-        return [Piece(f.uri, f.size, a, min(a + self.split, f.size)) for f in files for a in range(0, max(1, f.size), self.split)]
+        # each partition is a task, which the driver holds and reports on, however small it is
+        split = max(self.split, -(-sum(f.size for f in files) // PARTITIONS))
+        return [Piece(f.uri, f.size, a, min(a + split, f.size)) for f in files for a in range(0, max(1, f.size), split)]
 
     def read(self, piece: Piece | None) -> Iterator[pa.RecordBatch]:
         if piece is None:  # there is no file

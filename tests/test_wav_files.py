@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from chirpline.sources import wav
 from chirpline.sources.byte_files import listed
 from chirpline.sources.signals import chunked
-from chirpline.sources.wav_source import WavReader, interleaved, register
+from chirpline.sources.wav_source import PARTITIONS, WavReader, interleaved, register
 
 
 def long_file(path, frames=10_000, channels=2):
@@ -134,3 +134,17 @@ def test_listing(tmp_path):
     assert names(tmp_path / "*.wav") == ["a.wav", "b.wav"] and names(tmp_path) == ["a.wav", "b.wav", "d.txt"]
     assert names(tmp_path / "*" / "*.wav") == ["sub/e.wav"] and names(tmp_path / "a.wav") == ["a.wav"] and names(tmp_path / "nothing") == []
     assert [f.uri for f in listed(f"file://{tmp_path}/a.*")] == [f"file://{tmp_path}/a.wav"]
+
+
+def test_small_splits_of_long_files_make_no_more_tasks(tmp_path):
+    """Partitions of a scan are bounded; they hold every byte once, and all chunks are read."""
+    for name, frames in (("a", 40_000), ("b", 7)):
+        (tmp_path / f"{name}.wav").write_bytes(wav.encode(np.arange(frames).reshape(-1, 1) % 100 / 128, 100, bits=16))
+    reader = WavReader({"path": str(tmp_path), "chunk": "100", "split": "64"})
+    pieces = reader.partitions()
+    assert len(pieces) <= PARTITIONS + 2
+    for name in ("a", "b"):
+        mine = [p for p in pieces if p.uri.endswith(f"{name}.wav")]
+        assert mine[0].first == 0 and mine[-1].last == mine[-1].size and all(p.last == q.first for p, q in zip(mine, mine[1:]))
+    starts = sorted(n for p in pieces for b in reader.read(p) for n in b.column("n0").to_pylist())
+    assert starts == sorted([*range(0, 40_000, 100), 0])
